@@ -2,9 +2,9 @@
 
 Each rule votes for a document (1), against it (-1) or abstains (0). Documents are added
 up by their votes, and expectation-maximisation over those counts estimates how often each
-rule votes each way on good and on bad documents; the driver sees at most 3 ** rules counts,
-never documents. A document's quality probability is the posterior given its votes, a sum
-of log ratios that runs as a column expression.
+rule votes each way on good documents and on each kind of bad ones; the driver sees at most
+3 ** rules counts, never documents. A document's quality probability is the posterior given
+its votes, which runs as a column expression.
 
 Defined results. Null text is empty; a document with fewer words than ``MIN_WORDS`` or
 with too many repeated words fails the base and is not kept, whatever its posterior. Tied
@@ -23,9 +23,10 @@ from tidemark.llm.common import SPACE, store
 MIN_WORDS = 10
 WINDOW = 5
 MAX_REPEAT_PERCENT = 20
-#: Pseudo-counts of a rule's votes given the document: (against, abstain, for).
-PRIOR_GOOD, PRIOR_BAD = (1.0, 6.0, 13.0), (11.0, 6.0, 3.0)
-PRIOR_SHARE_BAD = (2.0, 8.0)
+#: Pseudo-counts (against, for) of a rule's votes on good documents, on its own kind of bad
+#: documents, and on the other kinds; pseudo-documents of the good class and of each kind.
+PRIOR_GOOD, PRIOR_OWN, PRIOR_OTHER = (0.2, 40.0), (10.0, 0.5), (1.0, 5.0)
+PRIOR_SHARE_GOOD, PRIOR_SHARE_KIND = 20.0, 0.5
 ROUNDS = 40
 
 
@@ -92,7 +93,7 @@ def rules() -> dict[str, Column]:
         "word_length": vote(~share("word_chars").between(2.5, 14), share("word_chars").between(3, 12)),
         "symbols": vote(share("n_symbols") > 0.25, share("n_symbols") < 0.05),
         "lines": vote(F.col("n_dup_lines") > 0.3 * F.col("n_lines"), (F.col("n_lines") > 1) & (F.col("n_dup_lines") == 0)),
-        "repeats": vote(share("n_repeat_words") > 0.15, (F.col("n_words") >= 40) & (share("n_repeat_words") < 0.02)),
+        "repeats": vote(share("n_repeat_words") > 0.2, (F.col("n_words") >= 40) & (share("n_repeat_words") < 0.02)),
         "variety": vote((F.col("n_words") >= 40) & (F.col("n_words") <= 2000) & (share("n_distinct") < 0.3), (F.col("n_words") >= 40) & (share("n_distinct") > 0.45)),
         "shouting": vote(share("n_shouted") > 0.4, share("n_shouted") < 0.05),
         "sentences": vote((F.col("n_words") >= 40) & (F.col("n_stops") * 80 < F.col("n_words")), F.col("n_stops") * 40 >= F.col("n_words")),
@@ -100,31 +101,44 @@ def rules() -> dict[str, Column]:
     }
 
 
-def fit(counts: list[tuple[tuple[int, ...], int]], n_rules: int) -> tuple[float, list[dict[int, float]]]:
-    """EM over (votes, documents). Returns log(P(good) / P(bad)) and each rule's log ratio by vote."""
-    post = {v: 1 / (1 + math.exp(min(30.0, -1.5 * sum(v) + 2.0 * (min(v, default=0) < 0)))) for v, _ in counts}
+def fit(counts: list[tuple[tuple[int, ...], int]], n_rules: int) -> tuple[list[float], list[list[dict[int, float]]]]:
+    """EM over (votes, documents) for a good class and, for each rule, one kind of bad document.
+
+    Junk is of many kinds, and each is seen by few rules while the others vote for it, so one
+    bad class could not tell junk from good documents. Returns the classes' log shares and
+    log P(vote | class) by rule; class 0 is the good one. An abstention says nothing. To start,
+    a document belongs to the kinds of the rules against it, with some doubt."""
+    classes = range(n_rules + 1)
+    post = {}
+    for v, _ in counts:
+        against = [k for k, x in enumerate(v) if x < 0]
+        good = 0.97 if not against else 0.2 if len(against) == 1 else 0.05
+        post[v] = [good] + [(1 - good) / (len(against) or n_rules) * (not against or k in against) for k in range(n_rules)]
     total = sum(c for _, c in counts)
-    base, ratios = 0.0, [dict.fromkeys((-1, 0, 1), 0.0) for _ in range(n_rules)]
+    share, log = [], []
     for _ in range(ROUNDS):
-        good = sum(post[v] * c for v, c in counts)
-        bad_share = (total - good + PRIOR_SHARE_BAD[0]) / (total + sum(PRIOR_SHARE_BAD))
-        base = math.log((1 - bad_share) / bad_share)
-        for k in range(n_rules):
-            g = {x: PRIOR_GOOD[x + 1] for x in (-1, 0, 1)}
-            b = {x: PRIOR_BAD[x + 1] for x in (-1, 0, 1)}
-            for v, c in counts:
-                g[v[k]] += post[v] * c
-                b[v[k]] += (1 - post[v]) * c
-            sg, sb = sum(g.values()), sum(b.values())
-            ratios[k] = {x: math.log(g[x] / sg) - math.log(b[x] / sb) for x in (-1, 0, 1)}
-            # a vote for never counts against a document, nor a vote against for it
-            ratios[k][1], ratios[k][-1] = max(ratios[k][1], 0.0), min(ratios[k][-1], 0.0)
-        fresh = {v: 1 / (1 + math.exp(-max(-30.0, min(30.0, base + sum(ratios[k][x] for k, x in enumerate(v)))))) for v, _ in counts}
-        moved = max((abs(fresh[v] - post[v]) for v in fresh), default=0.0)
-        post = fresh
+        mass = [sum(post[v][c] * n for v, n in counts) for c in classes]
+        prior = [PRIOR_SHARE_GOOD, *[PRIOR_SHARE_KIND] * n_rules]
+        share = [math.log((m + p) / (total + sum(prior))) for m, p in zip(mass, prior, strict=True)]
+        log = []
+        for c in classes:
+            rows = []
+            for k in range(n_rules):
+                no, yes = PRIOR_GOOD if c == 0 else PRIOR_OWN if c == k + 1 else PRIOR_OTHER
+                no += sum(post[v][c] * n for v, n in counts if v[k] < 0)
+                yes += sum(post[v][c] * n for v, n in counts if v[k] > 0)
+                rows.append({-1: math.log(no / (no + yes)), 0: 0.0, 1: math.log(yes / (no + yes))})
+            log.append(rows)
+        moved = 0.0
+        for v, _ in counts:
+            z = [share[c] + sum(log[c][k][x] for k, x in enumerate(v)) for c in classes]
+            e = [math.exp(x - max(z)) for x in z]
+            fresh = [x / sum(e) for x in e]
+            moved = max(moved, abs(fresh[0] - post[v][0]))
+            post[v] = fresh
         if moved < 1e-6:
             break
-    return base, ratios
+    return share, log
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, threshold: float = 0.5) -> DataFrame:
@@ -132,12 +146,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, th
     rows = store(features(docs, id_col, text_col).select("*", *[v.alias(f"vote_{k}") for k, v in named.items()]))
     votes = [f"vote_{k}" for k in named]
     counts = [(tuple(r[v] for v in votes), r["count"]) for r in rows.groupBy(*votes).count().collect()]  # at most 3 ** rules rows
-    base, ratios = fit(sorted(counts), len(votes))
-    logit = F.lit(base)
-    for v, r in zip(votes, ratios, strict=True):
-        logit = logit + F.when(F.col(v) == -1, F.lit(r[-1])).when(F.col(v) == 1, F.lit(r[1])).otherwise(F.lit(r[0]))
+    share, log = fit(sorted(counts), len(votes))
+    weight = []
+    for c, rows_ in enumerate(log):
+        z = F.lit(share[c])
+        for v, r in zip(votes, rows_, strict=True):
+            z = z + F.when(F.col(v) < 0, F.lit(r[-1])).when(F.col(v) > 0, F.lit(r[1])).otherwise(F.lit(0.0))
+        weight.append(F.exp(z))
+    posterior = weight[0] / sum(weight[1:], weight[0])
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    posterior = F.lit(1.0) / (F.lit(1.0) + F.exp(-logit))
     return rows.select(
         F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), (~failed & (posterior >= threshold)).alias("kept"), posterior.alias("posterior"),
