@@ -22,8 +22,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -149,52 +150,63 @@ def train(sample: list[tuple[str | None, int | None]]) -> Logistic:
     return Logistic.fit(thin + texts, soft + [0.95] * len(texts), counts=[1.0] * len(thin) + [0.05] * len(texts), l2=2e-5, steps=400)
 
 
-def _score(model):
-    def run(batches):
-        weights, bias = model.value
-        cache: dict[str, list] = {}
+def _scorer(model):
+    """text -> score, with the words' features remembered between texts."""
+    weights, bias = model
+    cache: dict[str, list] = {}
 
-        def of(word: str):
-            got = cache.get(word)
-            if got is None:
-                if len(cache) > 300_000:
-                    cache.clear()
-                got = cache[word] = [f for f in features_of(word) if f in weights]
-            return got
+    def of(word: str):
+        got = cache.get(word)
+        if got is None:
+            if len(cache) > 300_000:
+                cache.clear()
+            got = cache[word] = [f for f in features_of(word) if f in weights]
+        return got
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                out = []
-                for text in part.column(1).to_pylist():
-                    found = Counter(f for w in words_of(text) for f in of(w))
-                    z = bias + sum(weights[f] * min(c, 3) for f, c in found.items())
-                    out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.float64())], ["id", "score"])
+    def one(text: str | None) -> float:
+        found = Counter(f for w in words_of(text) for f in of(w))
+        z = bias + sum(weights[f] * min(c, 3) for f, c in found.items())
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
-    return run
+    return one
+
+
+def scoring(shared):
+    """A vectorised function of a text column, for use in any projection or filter."""
+
+    @F.pandas_udf("double")
+    def toxic_score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        one = _scorer(shared.value)
+        for texts in batches:
+            yield pd.Series([one(x) for x in texts], dtype="float64")
+
+    return toxic_score
 
 
 def held_out(id_col: str) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, train_rows: int = TRAIN_ROWS, seed: int = 6) -> DataFrame:
-    """id, held_out, score, predicted for every row of ``docs``."""
-    spark = docs.sparkSession
+def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, train_rows: int = TRAIN_ROWS, seed: int = 6):
+    """The broadcast classifier: at most MAX_FEATURES weights and the lexicons."""
     text = F.col(text_col).cast("string").alias("text")
     allowed = labels.select(F.col(id_col).cast("long").alias(id_col), F.col(label_col).alias("y")).filter(F.col(id_col).isNotNull() & F.col("y").isNotNull()).filter(~held_out(id_col))
-    rows = labelled_sample(docs, allowed, id_col, [text], train_rows, seed).select("text", "y", id_col).orderBy(id_col, "text").collect()  # at most train_rows documents
+    rows = labelled_sample(docs, allowed, id_col, [text], train_rows, seed).select("text", "y", id_col).orderBy(id_col, "text").limit(train_rows).collect()  # at most train_rows documents
     sample = [(r["text"], int(r["y"])) for r in rows]
     if not sample:
         sample = [(r["text"], None) for r in bounded(docs.select(F.col(id_col).alias("i"), text), "i", min(train_rows, 2000), seed).collect()]
     model = train(sample) if sample else Logistic({w: 2.0 for x in LEXICONS.values() for w in x.split()}, -2.0)
-    shared = spark.sparkContext.broadcast((model.weights, model.bias))  # at most MAX_FEATURES weights and the lexicons
-    scored = docs.select(F.col(id_col).cast("long").alias("id"), text).mapInArrow(_score(shared), "id long, score double")
+    return docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
+
+
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **options) -> DataFrame:
+    """id, held_out, score, predicted for every row of ``docs``."""
+    of = scoring(fitted(docs, labels, id_col, text_col, label_col, **options))
+    scored = docs.select(F.col(id_col).cast("long").alias("id"), of(F.col(text_col).cast("string")).alias("score"))
     return scored.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, with all their columns."""
-    bad = score(docs, labels, id_col, text_col).filter("predicted = 1").select(F.col(id_col).alias("_bad"))
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")), "left_anti")
+def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, with all their columns; no shuffle."""
+    of = scoring(fitted(docs, labels, id_col, text_col, **options))
+    return docs.filter(of(F.col(text_col).cast("string")) < 0.5)
