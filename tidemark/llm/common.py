@@ -65,3 +65,17 @@ def n_words(text) -> F.Column:
 
 def text_bytes(text) -> F.Column:
     return F.octet_length(F.coalesce(text, F.lit(""))).cast("long")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``docs`` whose id (null included) is not an id of ``gone``."""
+    name = fresh(docs, "_gone")
+    return docs.join(gone.select(F.col(id_col).alias(name)), docs[id_col].eqNullSafe(F.col(name)), "left_anti")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import store
+from tidemark.llm.common import store, without
 
 SALTS = 16
 #: Bytes of distinct text that a task holds before it hands its entries on, and ids in one entry.
@@ -117,8 +117,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    gone = classes(docs, id_col, text_col).filter("not kept").select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    return without(docs, classes(docs, id_col, text_col).filter("not kept"), id_col)
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import n_words, store
+from tidemark.llm.common import fresh, n_words, store
 
 BINS = 4096
 MAX_REPEATS = 3
@@ -192,3 +192,12 @@ def mix_by_source(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ).withColumn("pattern", F.to_json(F.struct(F.array("source").alias("s")), {"ignoreNullFields": "false"})).drop("source")
     known = F.broadcast(known) if len(size) <= 10_000 else known
     return rows.join(known, "pattern").select(F.col("id").alias(id_col), "size", "source_size", "target", "taken")
+
+
+def resample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, seed: int = 0) -> DataFrame:
+    """The mix itself: the rows of ``docs`` that it takes, each as often as it takes them."""
+    plan = mix_by_source(docs, id_col, text_col, source_col, seed=seed).filter("taken > 0")
+    name, times, nth = (fresh(docs, c) for c in ("_id", "_times", "_nth"))
+    often = plan.groupBy(F.col(id_col).alias(name)).agg(F.max(F.expr("taken div size")).cast("int").alias(times))
+    taken = docs.join(often, docs[id_col].eqNullSafe(F.col(name))).drop(name)
+    return taken.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(nth, times)

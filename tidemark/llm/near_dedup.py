@@ -15,8 +15,8 @@
    components are verified first, then eight times as many, until none is left.
 
 Nothing is capped: a bucket of any size is dealt to blocks, a hub of any degree to chunks.
-Candidates miss a pair at the threshold itself with probability
-(1 - 0.85 ** ROWS) ** BANDS, 8e-7 for the defaults, and less above it.
+Candidates miss a pair at a threshold t itself with probability (1 - t ** ROWS) ** BANDS,
+3e-6 for the defaults and t = 0.8 (8e-7 for 24 bands and t = 0.85), and less above it.
 
 Defined results. Null and empty texts have no shingles and are linked with nothing. A row
 without an id is linked with nothing and has no component. Rows that repeat an id and text
@@ -32,9 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import store
+from tidemark.llm.common import store, without
 
-BANDS, ROWS, BATCH = 24, 5, 24
+BANDS, ROWS, BATCH = 32, 5, 20
 MISS = 1e-6
 PRUNE_CHUNK, VERIFY_CHUNK, BLOCK = 1024, 64, 512
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -324,9 +324,8 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shi
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stay, one document of each component, with all their columns."""
-    gone = link(docs, id_col, text_col, **options).filter("not kept").select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    return without(docs, link(docs, id_col, text_col, **options).filter("not kept"), id_col)
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return link(docs, id_col, text_col, shingle=3, percent=85)
+    return link(docs, id_col, text_col, shingle=3, percent=85, bands=24)

@@ -24,9 +24,11 @@ MIN_WORDS = 10
 WINDOW = 5
 MAX_REPEAT_PERCENT = 20
 #: Pseudo-counts (against, for) of a rule's votes on good documents, on its own kind of bad
-#: documents, and on the other kinds; pseudo-documents of the good class and of each kind.
+#: documents, and on the other kinds. The good class has a fixed share and the kinds share the
+#: rest evenly, so a rule against a large part of the corpus, without others to bear it out,
+#: is taken to be inaccurate rather than the corpus to be bad.
 PRIOR_GOOD, PRIOR_OWN, PRIOR_OTHER = (0.2, 40.0), (10.0, 0.5), (1.0, 5.0)
-PRIOR_SHARE_GOOD, PRIOR_SHARE_KIND = 20.0, 0.5
+SHARE_GOOD = 0.6
 ROUNDS = 40
 
 
@@ -114,12 +116,9 @@ def fit(counts: list[tuple[tuple[int, ...], int]], n_rules: int) -> tuple[list[f
         against = [k for k, x in enumerate(v) if x < 0]
         good = 0.97 if not against else 0.2 if len(against) == 1 else 0.05
         post[v] = [good] + [(1 - good) / (len(against) or n_rules) * (not against or k in against) for k in range(n_rules)]
-    total = sum(c for _, c in counts)
-    share, log = [], []
+    share = [math.log(SHARE_GOOD), *[math.log((1 - SHARE_GOOD) / n_rules)] * n_rules]
+    log: list = []
     for _ in range(ROUNDS):
-        mass = [sum(post[v][c] * n for v, n in counts) for c in classes]
-        prior = [PRIOR_SHARE_GOOD, *[PRIOR_SHARE_KIND] * n_rules]
-        share = [math.log((m + p) / (total + sum(prior))) for m, p in zip(mass, prior, strict=True)]
         log = []
         for c in classes:
             rows = []
