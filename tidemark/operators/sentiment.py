@@ -26,7 +26,7 @@ def from_scores(scores: Column) -> Column:
     both, the best label's score with its sign."""
     of = lambda want: F.get(F.reverse(F.filter(scores, lambda s: label(s["label"]) == want)), F.lit(0))["score"]
     pos, neg, neu = of("positive"), of("negative"), of("neutral")
-    raw = (pos - neg) * F.coalesce(F.greatest(F.lit(0.0), 1 - neu), F.lit(1.0))
+    raw = (pos - neg) * F.when(neu.isNull(), 1.0).otherwise(F.greatest(F.lit(0.0), 1 - neu))
     top = F.array_max(F.transform(scores, lambda s: s["score"]))
     best = F.get(F.filter(scores, lambda s: s["score"] == top), F.lit(0))
     name = label(best["label"])

@@ -99,9 +99,9 @@ def representatives(members: DataFrame, config: SummaryConfig | None = None) ->
     rows = rows.withColumn("_a", per_author).filter(F.col("_a") <= c.max_per_author)
     w = Window.partitionBy("cluster_id").orderBy(*order)
     rows = rows.withColumns({"position": F.row_number().over(w), "_sum": F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, 0))})
-    first_over = F.first("tokens").over(w) > c.max_tokens
-    kept = F.when(first_over, F.col("position") == 1).otherwise((F.col("_sum") <= c.max_tokens) & (F.col("position") <= c.max_documents))
-    return rows.filter(kept).drop("_a", "_sum")
+    rows = rows.withColumn("_over", F.first("tokens").over(w) > c.max_tokens)
+    kept = F.when(F.col("_over"), F.col("position") == 1).otherwise((F.col("_sum") <= c.max_tokens) & (F.col("position") <= c.max_documents))
+    return rows.filter(kept).drop("_a", "_sum", "_over")
 
 
 def needs_new(df: DataFrame, now: Column, config: SummaryConfig | None = None) -> Column:
