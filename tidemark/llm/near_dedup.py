@@ -11,8 +11,8 @@
    exactly, on the full shingle sets of the whole texts.
 4. Links give components (minimum labels with pointer jumping). Buckets whose members then
    lie in one component are done. In the others all pairs across components that the hubs
-   have not covered are compared, in blocks of bounded size; the likeliest pairs of two
-   components are verified first, then eight times as many, until none is left.
+   have not covered are compared and verified where they meet, in pairs of blocks of bounded
+   size, the likeliest first; only links that join components leave the task.
 
 Nothing is capped: a bucket of any size is dealt to blocks, a hub of any degree to chunks.
 Candidates miss a pair at a threshold t itself with probability (1 - t ** ROWS) ** BANDS,
@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import store, without
 
 BANDS, ROWS, BATCH = 32, 5, 20
-MISS = 1e-6
-PRUNE_CHUNK, VERIFY_CHUNK, BLOCK = 1024, 64, 512
+MISS = 1e-5
+PRUNE_CHUNK, VERIFY_CHUNK, BLOCK = 1024, 64, 1024
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -125,19 +125,25 @@ def _bands(bands: int, rows: int):
                     key = (key ^ (key >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
                     key ^= key >> np.uint64(29)
                 nodes = [x for x in part.column(0).to_pylist() for _ in range(bands)]
-                yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(nodes, pa.binary())], ["bucket", "node"])
+                band = np.tile(np.arange(bands, dtype=np.int32), len(s))
+                yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(band), pa.array(nodes, pa.binary())], ["bucket", "band", "node"])
 
     return run
 
 
 def _pack(batches):
+    """(id, node, content): the node tells apart texts under one id."""
+    import hashlib
+
     import zstandard
 
     pack = zstandard.ZstdCompressor(level=1).compress
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([pack(b" ".join(words_of(x))) for x in part.column(1).to_pylist()], pa.binary())], ["id", "content"])
+            joined = [b" ".join(words_of(x)) for x in part.column(1).to_pylist()]
+            nodes = [hashlib.blake2b(x, digest_size=16).digest() for x in joined]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes, pa.binary()), pa.array([pack(x) for x in joined], pa.binary())], ["id", "node", "content"])
 
 
 def _prune(sig, other, least: tuple[int, ...], batch: int):
@@ -172,8 +178,6 @@ def _prune_group(least: tuple[int, ...], batch: int):
 
 def _verify_group(n: int, percent: int):
     def run(group):
-        import hashlib
-
         import zstandard
 
         unpack = zstandard.ZstdDecompressor().decompress
@@ -182,8 +186,6 @@ def _verify_group(n: int, percent: int):
         rest = []
         for hub, member, role, content in zip(hubs, members, roles, packed, strict=True):
             joined = unpack(content)
-            if hashlib.blake2b(joined, digest_size=16).digest() != member:
-                continue  # another text under the same id
             if role:
                 own = shingles(joined.split(), n)
             else:
@@ -200,33 +202,62 @@ def _verify_group(n: int, percent: int):
     return run
 
 
-def _block_group(least: tuple[int, ...], batch: int, upto: int):
-    """Of the pairs across components in one pair of blocks, the ``upto`` likeliest of any two components."""
+def _block_group(n: int, percent: int, least: tuple[int, ...], batch: int, bands: int):
+    """Links across components in one pair of blocks of a bucket. A pair is looked at in the first
+    band that it shares; what the links found so far connect is not compared again."""
 
     def run(group):
         import numpy as np
+        import zstandard
 
-        node, start, now, left, right = (group.column(c).to_pylist() for c in ("node", "start", "now", "in_left", "in_right"))
+        unpack = zstandard.ZstdDecompressor().decompress
+        node, now, left, right, packed = (group.column(c).to_pylist() for c in ("node", "now", "in_left", "in_right", "content"))
+        band = group.column("band")[0].as_py()
         sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), "<u4").reshape(len(node), -1)
-        names = {}
-        comp = np.array([names.setdefault(x, len(names)) for x in start])
+        keys = sig.reshape(len(node), bands, -1)
+        names: dict[bytes, int] = {}
+        comp = np.array([names.setdefault(x, len(names)) for x in now])
+        parent = list(range(len(names)))
+
+        def find(x):
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        sets: dict[int, set] = {}
+
+        def words(i):
+            if i not in sets:
+                sets[i] = shingles(unpack(packed[i]).split(), n)
+            return sets[i]
+
         rights = np.flatnonzero(right)
-        best: dict[tuple, list] = {}
+        found = []
         for i in np.flatnonzero(left):
+            i = int(i)
             j = rights[comp[rights] != comp[i]]
-            j = j[[node[i] < node[x] or not (right[i] and left[x]) for x in j]] if len(j) else j
+            if len(j) and right[i]:  # one block with itself: each pair once
+                j = j[j > i]
             if not len(j):
                 continue
             alive, matches = _prune(sig[i], sig[j], least, batch)
-            for x in alive:
-                a, b = int(i), int(j[x])
-                pair = tuple(sorted((node[a], node[b])))
-                best.setdefault(tuple(sorted((start[a], start[b]))), []).append((-int(matches[x]), pair, now[a] != now[b]))
-        out = set()
-        for pairs in best.values():
-            out.update(pair for _, pair, apart in sorted(pairs)[:upto] if apart)
-        out = sorted(out)
-        return pa.table({"hub": pa.array([x[0] for x in out], pa.binary()), "member": pa.array([x[1] for x in out], pa.binary())})
+            if not len(alive):
+                continue
+            first = (keys[j[alive]] == keys[i]).all(axis=2).argmax(axis=1)
+            alive = alive[first == band]
+            for x in alive[np.argsort(-matches[alive], kind="stable")]:
+                b = int(j[x])
+                ca, cb = find(comp[i]), find(comp[b])
+                if ca == cb:
+                    continue
+                p, q = words(i), words(b)
+                if 100 * min(len(p), len(q)) >= percent * max(len(p), len(q)):
+                    both = len(p & q)
+                    if 100 * both >= percent * (len(p) + len(q) - both):
+                        parent[ca] = cb
+                        found.append((node[i], node[b]))
+        return pa.table({"a": pa.array([x[0] for x in found], pa.binary()), "b": pa.array([x[1] for x in found], pa.binary())})
 
     return run
 
@@ -266,7 +297,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shi
     nodes = store(
         described.filter("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("rep"), F.first("sig", ignorenulls=True).alias("sig")).filter("rep IS NOT NULL")
     )
-    in_band = nodes.select("node", "sig").mapInArrow(_bands(bands, rows), "bucket long, node binary")
+    in_band = nodes.select("node", "sig").mapInArrow(_bands(bands, rows), "bucket long, band int, node binary")
     in_band = store(in_band)
     shared = in_band.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     members = store(in_band.join(shared, "bucket"))
@@ -274,43 +305,31 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shi
     hubs = members.join(degree, "node").groupBy("bucket").agg(F.max(F.struct("degree", "node")).getField("node").alias("hub"))
     members = store(members.join(hubs, "bucket"))
     involved = nodes.join(members.select("node").distinct(), "node", "left_semi")
-    packed = texts.filter("id IS NOT NULL").mapInArrow(_pack, "id long, content binary")
-    contents = store(packed.join(involved.select("node", F.col("rep").alias("id")), "id").select("node", "content"))
-    involved = nodes.select("node", "sig")
+    packed = texts.filter("id IS NOT NULL").mapInArrow(_pack, "id long, node binary, content binary")
+    contents = store(packed.join(involved.select("node", "sig", F.col("rep").alias("id")), ["id", "node"]).dropDuplicates(["node"]).select("node", "sig", "content"))
 
     def confirmed(candidates: DataFrame) -> DataFrame:
         edges = _grouped(candidates, contents, "content", VERIFY_CHUNK).applyInArrow(_verify_group(shingle, percent), "hub binary, member binary")
         return store(edges.select(F.col("hub").alias("a"), F.col("member").alias("b")))
 
     stars = members.filter("node <> hub").select("hub", F.col("node").alias("member")).distinct()
-    credible = store(_grouped(stars, involved, "sig", PRUNE_CHUNK).applyInArrow(_prune_group(least, BATCH), "hub binary, member binary"))
+    credible = store(_grouped(stars, contents, "sig", PRUNE_CHUNK).applyInArrow(_prune_group(least, BATCH), "hub binary, member binary"))
     edges = confirmed(credible)
     labels = components(edges)
 
     # Pairs that no hub has covered, across components of shared buckets.
-    start = members.filter("node <> hub").join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("start"))
-    torn = start.groupBy("bucket").agg(F.min("start").alias("lo"), F.max("start").alias("hi"), F.count("*").alias("size")).filter("lo <> hi").select("bucket", "size")
-    open_ = start.join(torn, "bucket").select("bucket", "node", "start", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    open_ = store(open_.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).join(involved, "node"))
-    if not open_.isEmpty():
-        upto = 1
-        while True:
-            now = open_.join(labels, "node", "left").withColumn("now", F.coalesce("label", "node"))
-            dealt = now.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            dealt = dealt.select(
-                "bucket", "node", "start", "now", "sig",
-                F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"),
-                (F.col("block") <= F.col("other")).alias("in_left"), (F.col("block") >= F.col("other")).alias("in_right"),
-            )
-            pairs = dealt.groupBy("bucket", "left", "right").applyInArrow(_block_group(least, BATCH, upto), "hub binary, member binary")
-            pairs = store(pairs.distinct())
-            if pairs.isEmpty():  # no two components share a credible pair
-                break
-            edges = edges.unionByName(confirmed(pairs))
-            labels = components(edges)
-            if upto >= BLOCK * BLOCK:  # that was every pair
-                break
-            upto *= 64
+    start = members.filter("node <> hub").join(labels, "node", "left").select("bucket", "band", "node", F.coalesce("label", "node").alias("now"))
+    torn = start.groupBy("bucket").agg(F.min("now").alias("lo"), F.max("now").alias("hi"), F.count("*").alias("size")).filter("lo <> hi").select("bucket", "size")
+    open_ = start.join(torn, "bucket").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    open_ = open_.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "bucket", "band", "node", "now", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"),
+        (F.col("block") <= F.col("other")).alias("in_left"), (F.col("block") >= F.col("other")).alias("in_right"),
+    )
+    across = dealt.join(contents, "node").groupBy("bucket", "left", "right").applyInArrow(_block_group(shingle, percent, least, BATCH, bands), "a binary, b binary")
+    across = store(across.distinct())
+    if not across.isEmpty():
+        labels = components(edges.unionByName(across))
 
     least_id = nodes.join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
     by_label = least_id.groupBy("label").agg(F.min("rep").alias("component_id"))
