@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.linear import Logistic, bounded, labelled_sample
 
-TRAIN_ROWS = 6000
+TRAIN_ROWS = 3000
 MAX_FEATURES = 6000
 HEADS = (4, 5, 6, 7)
 FOLDS = 5
