@@ -198,6 +198,8 @@ ORACLES = {
     "documents_with_ml": "SELECT d.doc_id, lang AS language, sha256(text) AS text_hash, quality AS ml_category, toxic AS ml_toxicity FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
     "latest_upsert": "SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1",
     "official_documents": """SELECT event_type AS source_type, event_id % 50 = 0 OR (event_type = 'click' AND user_id % 7 = 0) OR user_id IN (5, 11) AS is_official, count(*) AS n FROM events GROUP BY ALL""",
-    "extract_page_links": None,
+    "passage_text": r"""SELECT doc_id, sha256(concat('passage: [', source, '] ', trim(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), 'https?://\S+|www\.\S+', ' ', 'g'), '@[\p{L}\p{N}\p{M}_]+', ' ', 'g'), '[\s\x1c-\x1f]+', ' ', 'g')))) AS passage_sha
+      FROM documents""",
+    "source_urls": """SELECT event_id, CASE WHEN event_id % 5 = 0 THEN concat('https://a.example/', event_id) WHEN event_id % 3 = 0 THEN concat('https://vk.com/wall', user_id, '_', event_id)
+      WHEN event_id % 3 = 1 THEN concat('https://vk.com/wall', user_id, '_', event_id, '?reply=7') END AS source_url FROM events""",
 }
-ORACLES = {k: v for k, v in ORACLES.items() if v}

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.config import ClusterConfig, DedupConfig, RankingConfig, SummaryConfig
+from tidemark.functions import language
 from tidemark.operators import cluster, dedup, filtering, geo, normalize, ranking, sentiment, serving, summarize, text, vectors
 from tidemark.plans import adapters as A
 from tidemark.sources import html
@@ -382,6 +383,25 @@ def validate_summary(spark, sf):
     return summarize.validate(rows).select("conv_id", "turn", "invalid_reason")
 
 
+def passage_text(spark, sf):
+    d = A.text_docs(spark, sf)
+    return d.select("doc_id", F.sha2(text.passage(F.col("text"), F.col("author_id")), 256).alias("passage_sha"))
+
+
+def annotate_language(spark, sf):
+    d = A.text_docs(spark, sf).select("doc_id", "text")
+    return r6(language.annotate(d, supported=("en", "de", "fr", "es")).select("doc_id", "language", "language_confidence", "is_supported_language"), "language_confidence")
+
+
+def source_urls(spark, sf):
+    e = A.table(spark, sf, "events")
+    i = F.col("event_id")
+    kind = F.when(i % 3 == 0, "vk_post").when(i % 3 == 1, "vk_comment").otherwise("rss_article")
+    ident = F.when(i % 3 == 0, F.concat_ws("_", "user_id", "event_id")).otherwise(F.concat_ws("_", "user_id", "event_id", F.lit("7")))
+    payload = F.when(i % 5 == 0, F.concat(F.lit('{"link": "https://a.example/'), i, F.lit('"}'))).otherwise(F.col("props"))
+    return e.select("event_id", text.source_url(kind, ident, payload).alias("source_url"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -390,6 +410,6 @@ QUERIES = {
         classify_document, text_fingerprint, exact_dedup_groups, shingle_stats, minhash_signature, lsh_candidates, near_dup_pairs, near_dup_groups, normalize_events_json, extract_page_links, page_article,
         geo_bbox, geo_toponym, geo_priority, nearest_region, cluster_centroids, cluster_cohesion, cluster_metrics, cluster_enrichment, reconcile_clusters, batch_cosine_stats, online_assign, buffered_candidates,
         unassigned_docs, density_clusters, representative_docs, chunk_windows, sentiment_from_scores, documents_page, top_filtered, export_rows, pipeline_stats, health_status, table_metrics, documents_with_ml,
-        latest_upsert, official_documents, parse_summary, validate_summary,
+        latest_upsert, official_documents, parse_summary, validate_summary, passage_text, annotate_language, source_urls,
     )
 }
