@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 K, M = 20, 3
 CHUNK_BYTES = 12 << 20
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 16 << 20
 NO_ID = 2**63 - 1
 WORD_CACHE = 400_000
 
@@ -61,22 +61,59 @@ def runs(words: list[bytes], k: int = K, m: int = M):
     return first.tolist(), np.diff(np.r_[first, n]).tolist(), g[at[first]]
 
 
-def _pack(chunk: dict, buckets: int, k: int):
-    """(bucket, blob) of a chunk: {string: [hash, windows, id, start, [other ids, starts]]}."""
-    import pickle
+def pack(entries: list) -> bytes:
+    """Entries (hash, windows, id, start, string, others) as one string: columns, then the words.
+    Of the hash 24 bits travel; they only bring together what is then compared by words."""
+    import numpy as np
+    import zstandard
+
+    h, windows, ids, starts, strings, others = zip(*entries, strict=True)
+    owner = [n for n, x in enumerate(others) for _ in x]
+    more = [y for x in others for y in x]
+    prints = np.array([(x >> 40) & 0xFFFFFF for x in h], "<u4").view(np.uint8).reshape(-1, 4)[:, :3]
+    parts = [
+        np.array([len(h), len(more)], "<i8"), prints, np.array(windows, np.uint8), np.array(starts, "<i4"), np.diff(np.array(ids, "<i8"), prepend=0),
+        np.array(owner, "<i4"), np.array([x[0] for x in more], "<i8"), np.array([x[1] for x in more], "<i4"),
+    ]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(x.tobytes() for x in parts) + b"\n".join(strings))
+
 
+def unpack(blob: bytes) -> list:
+    import numpy as np
     import zstandard
 
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n, m = np.frombuffer(raw, "<i8", 2).tolist()
+    at = 16
+
+    def take(kind: str, count: int):
+        nonlocal at
+        out = np.frombuffer(raw, kind, count, at)
+        at += out.nbytes
+        return out
+
+    prints = take("u1", 3 * n).reshape(-1, 3).astype(np.int64) @ np.array([1, 1 << 8, 1 << 16])
+    windows, starts, ids = take("u1", n), take("<i4", n), np.cumsum(take("<i8", n))
+    owner, other_ids, other_starts = take("<i4", m), take("<i8", m), take("<i4", m)
+    others: list = [()] * n
+    for k, i, s in zip(owner.tolist(), other_ids.tolist(), other_starts.tolist(), strict=True):
+        if not others[k]:
+            others[k] = []
+        others[k].append((i, s))
+    return list(zip(prints.tolist(), windows.tolist(), ids.tolist(), starts.tolist(), raw[at:].split(b"\n"), others, strict=True))
+
+
+def _pack(chunk: dict, buckets: int):
+    """(bucket, blob) of a chunk: {string: [hash, windows, id, start, [(other id, start)]]}."""
     by: dict[int, list] = {}
     for string, (h, windows, i, start, others) in chunk.items():
         by.setdefault(h % buckets, []).append((h, windows, i, start, string, others))
-    pack = zstandard.ZstdCompressor(level=1).compress
-    names, blobs = [], []
-    for b, entries in by.items():
-        names.append(b)
-        blobs.append(pack(pickle.dumps(entries, protocol=5)))
-    for at in range(0, len(names), 500):
-        yield pa.RecordBatch.from_arrays([pa.array(names[at : at + 500], pa.int64()), pa.array(blobs[at : at + 500], pa.binary())], ["bucket", "blob"])
+    for names in _slices(list(by), 200):
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([pack(by.pop(b)) for b in names], pa.binary())], ["bucket", "blob"])
+
+
+def _slices(items: list, n: int):
+    return (items[at : at + n] for at in range(0, len(items), n))
 
 
 def _send(buckets: int, k: int, m: int):
@@ -102,10 +139,10 @@ def _send(buckets: int, k: int, m: int):
                             known[4].append((i, s))
                             held += 150
                     if held > 4 * CHUNK_BYTES:
-                        yield from _pack(chunk, buckets, k)
+                        yield from _pack(chunk, buckets)
                         chunk, held = {}, 0
         if chunk:
-            yield from _pack(chunk, buckets, k)
+            yield from _pack(chunk, buckets)
 
     return run
 
@@ -135,13 +172,9 @@ def repeats(entries: list, k: int = K):
 
 def _count(k: int):
     def run(blobs):
-        import pickle
-
         import numpy as np
-        import zstandard
 
-        unpack = zstandard.ZstdDecompressor().decompress
-        entries = [e for blob in blobs.column("blob").to_pylist() for e in pickle.loads(unpack(blob))]
+        entries = [e for blob in blobs.column("blob").to_pylist() for e in unpack(blob)]
         spans: dict[int, list] = {}
         for i, s, c in repeats(entries, k):
             spans.setdefault(i, []).extend((s, c))
@@ -150,18 +183,30 @@ def _count(k: int):
     return run
 
 
+def _carry(batches):
+    """Texts travel packed to their spans."""
+    import zstandard
+
+    press = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            texts = [press(b" ".join((x or "").encode("utf-8", "surrogatepass").split())) for x in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.binary())], ["id", "text"])
+
+
 def _remove(k: int):
     def run(batches):
-        import hashlib
-
         import numpy as np
+        import zstandard
 
+        release = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 n, gone, kept, sha = [], [], [], []
                 for text, spans in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    words = (text or "").encode("utf-8", "surrogatepass").split()
+                    words = release(text).split()
                     n.append(len(words))
                     if spans:
                         pairs = np.frombuffer(b"".join(spans), "<i4").reshape(-1, 2)
@@ -186,7 +231,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sent = rows.select(key, "text").mapInArrow(_send(buckets, k, m), "bucket long, blob binary")
     spans = sent.groupBy("bucket").applyInArrow(_count(k), "key long, spans binary")
     by_doc = spans.groupBy("key").agg(F.collect_list("spans").alias("spans"))  # a document's own spans
-    joined = rows.join(by_doc, F.coalesce(F.col("id"), F.lit(NO_ID)) == F.col("key"), "left").select("id", "text", "spans")
+    packed = rows.mapInArrow(_carry, "id long, text binary")
+    joined = packed.join(by_doc, F.coalesce(F.col("id"), F.lit(NO_ID)) == F.col("key"), "left").select("id", "text", "spans")
     out = joined.mapInArrow(_remove(k), "id long, n_words long, n_removed long, kept string")
     return out.withColumnRenamed("id", id_col)
 
