@@ -4,7 +4,7 @@ Each rule votes for a document (1), against it (-1) or abstains (0). Documents a
 up by their votes, and expectation-maximisation over those counts estimates how often each
 rule votes each way on good documents and on each kind of bad ones; the driver sees at most
 3 ** rules counts, never documents. A document's quality probability is the posterior given
-its votes, which runs as a column expression.
+its votes, looked up by vote pattern in a table of as many rows.
 
 Defined results. Null text is empty; a document with fewer words than ``MIN_WORDS`` or
 with too many repeated words fails the base and is not kept, whatever its posterior. Tied
@@ -13,6 +13,7 @@ and repeated rows get equal verdicts. An empty table gives an empty one.
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -140,21 +141,26 @@ def fit(counts: list[tuple[tuple[int, ...], int]], n_rules: int) -> tuple[list[f
     return share, log
 
 
+def posterior_of(votes: tuple[int, ...], share: list[float], log: list) -> float:
+    z = [share[c] + sum(log[c][k][x] for k, x in enumerate(votes)) for c in range(len(share))]
+    e = [math.exp(x - max(z)) for x in z]
+    return e[0] / sum(e)
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, threshold: float = 0.5) -> DataFrame:
     named = rules()
-    rows = store(features(docs, id_col, text_col).select("*", *[v.alias(f"vote_{k}") for k, v in named.items()]))
-    votes = [f"vote_{k}" for k in named]
-    counts = [(tuple(r[v] for v in votes), r["count"]) for r in rows.groupBy(*votes).count().collect()]  # at most 3 ** rules rows
-    share, log = fit(sorted(counts), len(votes))
-    weight = []
-    for c, rows_ in enumerate(log):
-        z = F.lit(share[c])
-        for v, r in zip(votes, rows_, strict=True):
-            z = z + F.when(F.col(v) < 0, F.lit(r[-1])).when(F.col(v) > 0, F.lit(r[1])).otherwise(F.lit(0.0))
-        weight.append(F.exp(z))
-    posterior = weight[0] / sum(weight[1:], weight[0])
+    pattern = sum(((v + 1) * 3**k for k, v in enumerate(named.values())), F.lit(0)).cast("int")
+    rows = store(features(docs, id_col, text_col).withColumn("pattern", pattern))
+    votes = lambda p: tuple(p // 3**k % 3 - 1 for k in range(len(named)))
+    counts = {r["pattern"]: r["count"] for r in rows.groupBy("pattern").count().collect()}  # at most 3 ** rules rows
+    share, log = fit(sorted((votes(p), c) for p, c in counts.items()), len(named))
+    # The posterior of each pattern, as a table: at most 3 ** rules rows, so it may be broadcast.
+    table = json.dumps([{"pattern": p, "posterior": posterior_of(votes(p), share, log)} for p in counts])
+    known = docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(table), "array<struct<pattern:int,posterior:double>>")))
+    rows = rows.join(F.broadcast(known), "pattern")
+    posterior = F.col("posterior")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return rows.select(
         F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), (~failed & (posterior >= threshold)).alias("kept"), posterior.alias("posterior"),
+        failed.alias("base_failed"), (~failed & (posterior >= threshold)).alias("kept"), posterior,
     )
