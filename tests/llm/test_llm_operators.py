@@ -59,6 +59,21 @@ def test_exact_dedup_null_ids(spark):
     assert got == [(0, 0, True), (0, 5, False), (5, 5, True)]
 
 
+def test_exact_deduplicate_by_row(spark):
+    """A verdict holds for its text alone, not for other texts under the id, null included."""
+    df = spark.createDataFrame([(None, "a"), (5, "a"), (None, "b"), (7, "a"), (7, "c\td"), (9, "c d")], "doc_id long, text string")
+    got = sorted(((r.doc_id or 0, r.text) for r in exact_dedup.deduplicate(df).collect()))
+    assert got == [(0, "b"), (5, "a"), (7, "c\td")]
+
+
+def test_near_deduplicate_by_row(spark):
+    base = [f"W{i}" for i in range(60)]
+    near, other = " ".join(base[:-1] + ["é"]), "quite another text under the same id, of no copies"
+    df = spark.createDataFrame([(1, " ".join(base)), (2, "\t" + near + " \n"), (2, other), (None, near), (None, other)], "doc_id long, text string")
+    got = Counter((r.doc_id, r.text) for r in near_dedup.deduplicate(df).collect())
+    assert got == Counter([(1, " ".join(base)), (2, other), (None, near), (None, other)])
+
+
 @pytest.mark.parametrize("shingle,percent", [(3, 85), (5, 80)])
 def test_near_dedup(docs, shingle, percent):
     sets = {d[0]: near_dedup.shingles(near_dedup.words_of(d[1]), shingle) for d in DATA}

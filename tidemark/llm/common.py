@@ -75,7 +75,10 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def without(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
-    """The rows of ``docs`` whose id (null included) is not an id of ``gone``."""
-    name = fresh(docs, "_gone")
-    return docs.join(gone.select(F.col(id_col).alias(name)), docs[id_col].eqNullSafe(F.col(name)), "left_anti")
+def without(docs: DataFrame, gone: DataFrame, id_col: str, content, content_col: str) -> DataFrame:
+    """The rows of ``docs`` whose id (null included) and ``content``, a binary expression over them, are
+    not together a row of ``gone``, which holds the latter in ``content_col``: an id may stand for several texts."""
+    own, name, other = fresh(docs, "_content"), fresh(docs, "_gone"), fresh(docs, "_gone_content")
+    told = docs.withColumn(own, content)
+    both = gone.select(F.col(id_col).cast("long").alias(name), F.col(content_col).alias(other))
+    return told.join(both, told[id_col].cast("long").eqNullSafe(F.col(name)) & (F.col(own) == F.col(other)), "left_anti").drop(own)

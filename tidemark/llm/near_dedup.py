@@ -32,11 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import store, without
+from tidemark.llm.common import SPACE, store, without
 
 BANDS, ROWS, BATCH = 32, 5, 20
 MISS = 1e-5
 PRUNE_CHUNK, VERIFY_CHUNK, BLOCK = 1024, 64, 1024
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -101,7 +102,7 @@ def _describe(n: int, hashes: int):
                 for text in part.column(1).to_pylist():
                     words = words_of(text)
                     size.append(len(shingles(words, n)))
-                    node = hashlib.blake2b(b" ".join(words), digest_size=16).digest() if words else None
+                    node = hashlib.sha256(b" ".join(words)).digest()[:16] if words else None
                     nodes.append(node)
                     sigs.append(signature(words, n, coefficients).tobytes() if words and node not in seen else None)
                     if len(seen) < 1_000_000:
@@ -142,7 +143,7 @@ def _pack(batches):
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
             joined = [b" ".join(words_of(x)) for x in part.column(1).to_pylist()]
-            nodes = [hashlib.blake2b(x, digest_size=16).digest() for x in joined]
+            nodes = [hashlib.sha256(x).digest()[:16] for x in joined]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes, pa.binary()), pa.array([pack(x) for x in joined], pa.binary())], ["id", "node", "content"])
 
 
@@ -289,6 +290,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, miss: float = MISS) -> DataFrame:
     """id, n_shingles, component_id, kept for every row of ``docs``."""
+    return _linked(docs, id_col, text_col, shingle, percent, bands, rows, miss).drop("node")
+
+
+def _linked(docs: DataFrame, id_col: str, text_col: str, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, miss: float = MISS) -> DataFrame:
     hashes = bands * rows
     least = least_matches(percent, hashes, BATCH, miss)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -334,16 +339,18 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shi
     least_id = nodes.join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
     by_label = least_id.groupBy("label").agg(F.min("rep").alias("component_id"))
     of_node = least_id.join(by_label, "label").select("node", "component_id")
-    linked = named.join(of_node, "node").select("id", "n", "component_id")
-    alone = described.filter("id IS NULL OR node IS NULL").select("id", "n", F.col("id").alias("component_id"))
+    linked = named.join(of_node, "node").select("id", "n", "component_id", "node")
+    alone = described.filter("id IS NULL OR node IS NULL").select("id", "n", F.col("id").alias("component_id"), "node")
     return linked.unionByName(alone).select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), "node"
     )
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stay, one document of each component, with all their columns."""
-    return without(docs, link(docs, id_col, text_col, **options).filter("not kept"), id_col)
+    words = F.trim(F.regexp_replace(F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), UPPER, UPPER.lower()), SPACE, " "))
+    node = F.substring(F.unhex(F.sha2(words, 256)), 1, 16)  # as _describe has it
+    return without(docs, _linked(docs, id_col, text_col, **options).filter("not kept"), id_col, node, "node")
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
