@@ -200,6 +200,18 @@ def test_substring_dedup(docs):
     assert sorted(map(tuple, substring_dedup.report(clashing(docs)).collect())) == sorted(want)
 
 
+def test_substring_dedup_by_row(spark):
+    """Rows without an id, or with one id, and different texts are different documents."""
+    w = [f"w{i}" for i in range(400)]
+    a, b, c = " ".join(w[:60] + w[300:360]), " ".join(w[100:125]), " ".join(w[130:160] + w[:60])
+    data = [(1, " ".join(w[:60])), (None, a), (None, b), (None, a), (7, c), (7, b), (7, c), (None, None)]
+    got = Counter((r.doc_id, r.n_words, r.kept) for r in substring_dedup.deduplicate(spark.createDataFrame(data, "doc_id long, text string")).collect())
+    later = (None, 120, " ".join(w[300:360]))
+    assert got == Counter([(1, 60, " ".join(w[:60])), later, later, (None, 25, ""), *[(7, 90, " ".join(w[130:160]))] * 2, (7, 25, b), (None, 0, "")])
+    words_of = [(None, " ".join(w[200:230] + w[200:230])), (None, " ".join(w[380:]))]  # a span past the other text's end
+    assert sorted(r.n_removed for r in substring_dedup.deduplicate(spark.createDataFrame(words_of, "doc_id long, text string")).collect()) == [0, 30]
+
+
 def test_quality_rules(docs):
     got = {r.doc_id: r for r in quality_rules.score(clashing(docs)).collect()}
     for d in DATA:

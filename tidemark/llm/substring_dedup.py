@@ -12,8 +12,9 @@ The number of buckets follows the input's bytes, so a bucket fits a task at ever
 
 A word is removed if a window that covers it also starts earlier: in a document of smaller
 id, or earlier in the same one. Defined results. Null text has no words. A null id is larger
-than all others. Rows that repeat an id are the same document and do not make each other
-repeats. An empty table gives an empty one. Other columns are not read.
+than all others. Rows that repeat an id and words are the same document and do not make each
+other repeats; different words under one id, null included, are different documents, in the
+order of a 64-bit hash. An empty table gives an empty one. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,6 +30,13 @@ NO_ID = 2**63 - 1
 WORD_CACHE = 400_000
 
 
+def print_of(content: bytes) -> int:
+    """Tells apart texts under one id; ``content`` has the words joined by one space."""
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(content) - 2**63
+
+
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
@@ -62,7 +70,7 @@ def runs(words: list[bytes], k: int = K, m: int = M):
 
 
 def pack(entries: list) -> bytes:
-    """Entries (hash, windows, id, start, string, others) as one string: columns, then the words.
+    """Entries (hash, windows, (id, print), start, string, others) as one string: columns, then the words.
     Of the hash 24 bits travel; they only bring together what is then compared by words."""
     import numpy as np
     import zstandard
@@ -72,8 +80,8 @@ def pack(entries: list) -> bytes:
     more = [y for x in others for y in x]
     prints = np.array([(x >> 40) & 0xFFFFFF for x in h], "<u4").view(np.uint8).reshape(-1, 4)[:, :3]
     parts = [
-        np.array([len(h), len(more)], "<i8"), prints, np.array(windows, np.uint8), np.array(starts, "<i4"), np.diff(np.array(ids, "<i8"), prepend=0),
-        np.array(owner, "<i4"), np.array([x[0] for x in more], "<i8"), np.array([x[1] for x in more], "<i4"),
+        np.array([len(h), len(more)], "<i8"), prints, np.array(windows, np.uint8), np.array(starts, "<i4"), np.diff(np.array([x[0] for x in ids], "<i8"), prepend=0), np.array([x[1] for x in ids], "<i8"),
+        np.array(owner, "<i4"), np.array([x[0][0] for x in more], "<i8"), np.array([x[0][1] for x in more], "<i8"), np.array([x[1] for x in more], "<i4"),
     ]
     return zstandard.ZstdCompressor(level=3).compress(b"".join(x.tobytes() for x in parts) + b"\n".join(strings))
 
@@ -93,18 +101,18 @@ def unpack(blob: bytes) -> list:
         return out
 
     prints = take("u1", 3 * n).reshape(-1, 3).astype(np.int64) @ np.array([1, 1 << 8, 1 << 16])
-    windows, starts, ids = take("u1", n), take("<i4", n), np.cumsum(take("<i8", n))
-    owner, other_ids, other_starts = take("<i4", m), take("<i8", m), take("<i4", m)
+    windows, starts, ids = take("u1", n), take("<i4", n), zip(np.cumsum(take("<i8", n)).tolist(), take("<i8", n).tolist(), strict=True)
+    owner, other_ids, other_starts = take("<i4", m), zip(take("<i8", m).tolist(), take("<i8", m).tolist(), strict=True), take("<i4", m)
     others: list = [()] * n
-    for k, i, s in zip(owner.tolist(), other_ids.tolist(), other_starts.tolist(), strict=True):
+    for k, i, s in zip(owner.tolist(), other_ids, other_starts.tolist(), strict=True):
         if not others[k]:
             others[k] = []
         others[k].append((i, s))
-    return list(zip(prints.tolist(), windows.tolist(), ids.tolist(), starts.tolist(), raw[at:].split(b"\n"), others, strict=True))
+    return list(zip(prints.tolist(), windows.tolist(), ids, starts.tolist(), raw[at:].split(b"\n"), others, strict=True))
 
 
 def _pack(chunk: dict, buckets: int):
-    """(bucket, blob) of a chunk: {string: [hash, windows, id, start, [(other id, start)]]}."""
+    """(bucket, blob) of a chunk: {string: [hash, windows, (id, print), start, [(other (id, print), start)]]}."""
     by: dict[int, list] = {}
     for string, (h, windows, i, start, others) in chunk.items():
         by.setdefault(h % buckets, []).append((h, windows, i, start, string, others))
@@ -126,6 +134,8 @@ def _send(buckets: int, k: int, m: int):
                 for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     words = (text or "").encode("utf-8", "surrogatepass").split()
                     first, count, hashes = runs(words, k, m)
+                    if len(first):
+                        i = (i, print_of(b" ".join(words)))
                     for s, c, h in zip(first, count, hashes.tolist() if len(first) else (), strict=True):
                         string = b" ".join(words[s : s + c + k - 1])
                         known = chunk.get(string)
@@ -148,7 +158,7 @@ def _send(buckets: int, k: int, m: int):
 
 
 def repeats(entries: list, k: int = K):
-    """(id, first window, windows) of the windows that are not the first of their words."""
+    """((id, print), first window, windows) of the windows that are not the first of their words."""
     entries.sort(key=lambda e: e[0])
     out, at = [], 0
     while at < len(entries):
@@ -175,10 +185,10 @@ def _count(k: int):
         import numpy as np
 
         entries = [e for blob in blobs.column("blob").to_pylist() for e in unpack(blob)]
-        spans: dict[int, list] = {}
+        spans: dict[tuple[int, int], list] = {}
         for i, s, c in repeats(entries, k):
             spans.setdefault(i, []).extend((s, c))
-        return pa.table([pa.array(list(spans), pa.int64()), pa.array([np.array(x, "<i4").tobytes() for x in spans.values()], pa.binary())], ["key", "spans"])
+        return pa.table([pa.array([x[0] for x in spans], pa.int64()), pa.array([x[1] for x in spans], pa.int64()), pa.array([np.array(x, "<i4").tobytes() for x in spans.values()], pa.binary())], ["key", "print", "spans"])
 
     return run
 
@@ -191,8 +201,8 @@ def _carry(batches):
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            texts = [press(b" ".join((x or "").encode("utf-8", "surrogatepass").split())) for x in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.binary())], ["id", "text"])
+            texts = [b" ".join((x or "").encode("utf-8", "surrogatepass").split()) for x in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(print_of, texts), pa.int64()), pa.array(map(press, texts), pa.binary())], ["id", "print", "text"])
 
 
 def _remove(k: int):
@@ -229,10 +239,10 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     key = F.coalesce(F.col("id"), F.lit(NO_ID)).alias("key")
     sent = rows.select(key, "text").mapInArrow(_send(buckets, k, m), "bucket long, blob binary")
-    spans = sent.groupBy("bucket").applyInArrow(_count(k), "key long, spans binary")
-    by_doc = spans.groupBy("key").agg(F.collect_list("spans").alias("spans"))  # a document's own spans
-    packed = rows.mapInArrow(_carry, "id long, text binary")
-    joined = packed.join(by_doc, F.coalesce(F.col("id"), F.lit(NO_ID)) == F.col("key"), "left").select("id", "text", "spans")
+    spans = sent.groupBy("bucket").applyInArrow(_count(k), "key long, print long, spans binary")
+    by_doc = spans.groupBy("key", "print").agg(F.collect_list("spans").alias("spans"))  # a document's own spans
+    packed = rows.mapInArrow(_carry, "id long, print long, text binary").withColumn("key", F.coalesce(F.col("id"), F.lit(NO_ID)))
+    joined = packed.join(by_doc, ["key", "print"], "left").select("id", "text", "spans")
     out = joined.mapInArrow(_remove(k), "id long, n_words long, n_removed long, kept string")
     return out.withColumnRenamed("id", id_col)
 
