@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import os
 import random
 import re
@@ -357,6 +358,28 @@ def test_quality_classifier(spark):
     assert all(r.score == 0.5 and r.kept for r in plain)
 
 
+def test_quality_reads_whole_texts():
+    text = ("x" + "Y") * 3000 + "É" * 10  # every third character of 6,010 looks otherwise
+    upper = next(k for k in quality_classifier.metadata_view(text, None, None, None) if k.startswith("upper "))
+    assert upper == f"upper {int(math.log2(1 + 3010 / 6010 * 64))}" and quality_classifier.n_upper(text) == 3010
+    assert "upper 5" in quality_classifier.metadata_view("Xyyy" * 1000 + "X" * 4000, None, None, None)
+    assert quality_classifier.shape("aA0-aA0-aA0-aA0-") == "aA0-" * 4 and quality_classifier.shape("ßÉé!!12") == "aAa!0"
+    signs = [chr(c) for c in range(0x2190, 0x2190 + 60)]
+    view = quality_classifier.text_view(" ".join(s for s in signs for _ in range(2)) + " ~|~")
+    assert sum(k.startswith("shape ") for k in view) == 61
+
+
+def test_quality_pool_has_no_labels(spark, monkeypatch):
+    df, labels, known = _labelled(spark)
+    seen = {}
+    co_train = quality_classifier.co_train
+    monkeypatch.setattr(quality_classifier, "co_train", lambda rows, pool: seen.update(pool=pool) or co_train(rows, pool))
+    quality_classifier.score(df.filter("doc_id < 1000"), labels)
+    assert seen["pool"] == []
+    quality_classifier.score(df, labels.filter("doc_id >= 200"))
+    assert len(seen["pool"]) == 203  # 200 documents, one of them twice, and two of no words
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a="</p><p>no";</script><style>p{}</style></head>
 <body><header><h1>Site</h1></header><nav><ul><li>Home<li>About</ul></nav><div class="cookie-notice">We use cookies</div>
 %s<aside>Side</aside><section id="comments"><p>Nice!</p></section><form><p>Mail</p><button>Go</button></form><footer>&copy; me</footer></body></html>"""

@@ -6,8 +6,8 @@ Each starts from the labelled rows; in every round each hands the documents of a
 pool that it is surest of to the other as pseudo-labels. Both are calibrated on labelled rows
 that neither has trained on (Platt), and a document's score combines the calibrated views.
 
-Training reads at most ``TRAIN_ROWS`` labelled and ``POOL_ROWS`` unlabelled rows, both chosen
-by a seeded hash; two small models are all that is broadcast. Scoring is one narrow pass over
+Training reads at most ``TRAIN_ROWS`` labelled rows and ``POOL_ROWS`` rows without a label, both
+chosen by a seeded hash; two small models are all that is broadcast. Scoring is one narrow pass over
 whole texts.
 
 Defined results. Null and empty texts score as texts without words; null metadata is a value
@@ -17,7 +17,9 @@ scores. An empty table gives an empty one. Other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 import math
+import re
 from collections import Counter
 
 import pyarrow as pa
@@ -30,17 +32,25 @@ TRAIN_ROWS, POOL_ROWS, CALIBRATION_SHARE = 4000, 2000, 0.25
 ROUNDS, SURE, PER_ROUND = 3, 0.95, 300
 
 
+_SIGNS = str.maketrans({chr(c): "A" if chr(c).isupper() else "a" if chr(c).isalpha() else "0" for c in range(128) if chr(c).isalnum()})
+_UPPER = bytes(range(65, 91))
+_run = re.compile(r"(.)\1+", re.S)
+_wide = re.compile(r"[^\x00-\x7f]+")
+
+
 def shape(word: str) -> str:
-    """Runs of upper, lower, digit characters as one sign each; other characters as they are."""
-    out, last = [], ""
-    for c in word:
-        k = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
-        if k != last:
-            out.append(k)
-            last = k
-        if len(out) == 8:
-            break
-    return "".join(out)
+    """Runs of upper, lower, digit characters as one sign each; other characters as they are. Of a
+    shape longer than 64 signs a hash is the name, so that a name is short."""
+    signs = word.translate(_SIGNS) if word.isascii() else "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word)
+    out = _run.sub(r"\1", signs)
+    return out if len(out) <= 64 else hashlib.blake2b(out.encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
+
+
+def n_upper(text: str) -> int:
+    """Upper-case characters of the whole text."""
+    raw = text.encode("utf-8", "surrogatepass")
+    n = len(raw) - len(raw.translate(None, _UPPER))
+    return n if len(raw) == len(text) else n + sum(map(str.isupper, "".join(_wide.findall(text))))
 
 
 def text_view(text: str | None, shapes: dict | None = None) -> dict[str, float]:
@@ -58,7 +68,7 @@ def text_view(text: str | None, shapes: dict | None = None) -> dict[str, float]:
                     shapes.clear()
                 shapes[w] = s
         seen[s] += c
-    row = {f"shape {s}": math.sqrt(c / n) for s, c in seen.most_common(40)}
+    row = {f"shape {s}": math.sqrt(c / n) for s, c in seen.items()}
     again = sum(a == b for a, b in zip(words, words[1:], strict=False))
     row["again"] = math.sqrt(again / n)
     triples = max(1, n - 2)
@@ -72,7 +82,7 @@ def metadata_view(text: str | None, source, lang, n_chars) -> dict[str, float]:
     t = text or ""
     n = max(1, len(t))
     lines = [x for x in t.split("\n") if x.strip()]
-    upper = sum(map(str.isupper, t[:: max(1, n // 2000)])) / max(1, len(t[:: max(1, n // 2000)]))
+    upper = n_upper(t) / n
     marks = sum(t.count(c) for c in "#*$%&|<>!") / n
     digits = sum(t.count(c) for c in "0123456789") / n
     size = int(n_chars) if n_chars is not None else len(t)
@@ -164,7 +174,8 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         zero = ({}, 0.0, 1.0, 0.0)
         fitted = [zero, zero], [0.5, 0.5]
     else:
-        chosen = bounded(docs.select(F.col(id_col).cast("long").alias(id_col)).filter(F.col(id_col).isNotNull()), id_col, pool_rows, seed + 1).distinct()
+        free = docs.select(F.col(id_col).cast("long").alias(id_col)).filter(F.col(id_col).isNotNull()).join(known, id_col, "left_anti")
+        chosen = bounded(free, id_col, pool_rows, seed + 1).distinct()
         pool = docs.select(F.col(id_col).cast("long").alias(id_col), *columns).join(F.broadcast(chosen), id_col).orderBy(id_col, "text").limit(pool_rows).collect()
         fitted = co_train(labelled, [views(r) for r in pool])
     shared = docs.sparkSession.sparkContext.broadcast(fitted)
