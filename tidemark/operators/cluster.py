@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import ClusterConfig
 from tidemark.operators import vectors
+from tidemark.operators.dedup import _cut
 from tidemark.operators.ranking import ntz
 
 
@@ -105,7 +106,15 @@ def hdbscan(points, min_cluster_size: int = 10, min_samples: int = 5):
         nxt = int(np.argmin(np.where(inside, np.inf, far)))
         edges.append((far[nxt], via[nxt], nxt))
         at = nxt
-    edges.sort(key=lambda e: e[0])
+    return condensed(edges, n, min_cluster_size)
+
+
+def condensed(edges, n: int, min_cluster_size: int):
+    """Labels and strengths from the spanning tree's edges (distance, a, b) over nodes 0 to n - 1."""
+    import numpy as np
+
+    labels, strength = np.full(n, -1), np.zeros(n)
+    edges = sorted(edges, key=lambda e: e[0])
     # single linkage: node n + i joins two nodes at a distance
     parent = list(range(2 * n - 1))
     size = [1] * n + [0] * (n - 1)
@@ -180,14 +189,159 @@ def hdbscan(points, min_cluster_size: int = 10, min_samples: int = 5):
     return labels, strength
 
 
-def density_clusters(docs: DataFrame, partition: str, config: ClusterConfig | None = None, max_rows: int = 20_000) -> DataFrame:
-    """(partition, doc_id, label, strength) of each partition (a recompute window); one window is one
-    task, and its size is checked, since the algorithm looks at all of it."""
+def _smallest(pdf, k: int):
+    """Of a pair of blocks: for each block, its rows' k + 1 least squared distances to the other's rows."""
+    for left, right in _both(pdf):
+        import numpy as np
+
+        x, y = _vectors(left), _vectors(right)
+        out = np.concatenate([np.partition(np.pad(d, ((0, 0), (0, max(0, k + 1 - d.shape[1]))), constant_values=np.inf), k, axis=1)[:, : k + 1] for _, d in _distances(x, y)])
+        yield left.block, out
+
+
+def _both(pdf):
+    rows = list(pdf.sort_values("block").itertuples())
+    return [(rows[0], rows[0])] if len(rows) == 1 else [(rows[0], rows[1]), (rows[1], rows[0])]
+
+
+def _vectors(row):
+    import numpy as np
+
+    return np.frombuffer(row.vectors).reshape(row.n, -1)
+
+
+def _distances(x, y, tile: int = 512):
+    """(first row, squared distances of the next rows of x to all of y)."""
+    import numpy as np
+
+    sx, sy = (x * x).sum(1), (y * y).sum(1)
+    for at in range(0, len(x), tile):
+        yield at, np.maximum(0, sx[at : at + tile, None] + sy - 2 * x[at : at + tile] @ y.T)
+
+
+def _nearest_outside(pdf):
+    """Of a pair of blocks: the least edge (distance, a, b) by mutual reachability that leaves each component."""
+    import numpy as np
+
+    best: dict[int, tuple] = {}
+    for left, right in _both(pdf):
+        x, y = _vectors(left), _vectors(right)
+        core, other = np.frombuffer(left.core), np.frombuffer(right.core)
+        comp, across = np.frombuffer(left.comp, "<i8"), np.frombuffer(right.comp, "<i8")
+        nodes, far = np.frombuffer(left.nodes, "<i8"), np.frombuffer(right.nodes, "<i8")
+        for at, d in _distances(x, y):
+            to = slice(at, at + len(d))
+            d = np.maximum(np.maximum(np.sqrt(d), core[to, None]), other)
+            d[comp[to, None] == across] = np.inf
+            j = d.argmin(axis=1)
+            for i, m in enumerate(d[np.arange(len(d)), j].tolist()):
+                if m < np.inf:
+                    a, b = int(nodes[at + i]), int(far[j[i]])
+                    c, edge = int(comp[at + i]), (m, min(a, b), max(a, b))
+                    if c not in best or edge < best[c]:
+                        best[c] = edge
+    return best
+
+
+def _large_windows(docs: DataFrame, c: ClusterConfig, block_rows: int) -> DataFrame:
+    """HDBSCAN where a window does not fit a task: rows are dealt to blocks, pairs of blocks give
+    the core distances and, round by round, each component's least outgoing edge (Boruvka). All
+    pairs of rows are compared; only n - 1 edges of a window, no vectors, meet in one task.
+    ``docs``: w, doc_id, embedding; returns w, doc_id, label, strength."""
+    import numpy as np
+    import pandas as pd
+
+    kinds = dict(docs.dtypes)
+    w = kinds["w"]
+    sizes = docs.groupBy("w").agg(F.count("*").alias("size"), F.ceil(F.count("*") / block_rows).cast("long").alias("blocks"))
+    dealt = docs.join(sizes, "w").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    local = F.row_number().over(Window.partitionBy("w", "block").orderBy("doc_id")) - 1
+    rows = _cut(dealt.withColumn("node", local * F.col("blocks") + F.col("block")))
+
+    def pack(pdf):
+        x = np.stack([np.asarray(v, float) for v in pdf["embedding"]])
+        x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        first = pdf.iloc[:1]
+        nodes = pdf["node"].to_numpy("<i8")
+        return first[["w", "block", "blocks", "size"]].assign(n=len(pdf), nodes=[nodes.tobytes()], vectors=[x.tobytes()])
+
+    blocks = _cut(rows.groupBy("w", "block").applyInPandas(pack, f"w {w}, block long, blocks long, size long, n long, nodes binary, vectors binary"))
+
+    def pairs(df):
+        met = df.join(blocks.select("w", F.col("block").alias("other")), "w")  # numbers of blocks, no rows
+        return met.withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")}).groupBy("w", "left", "right")
+
+    def close(pdf):
+        k = min(c.min_samples, int(pdf["size"].iloc[0]) - 1)
+        found = [(b, out.tobytes()) for b, out in _smallest(pdf, k)]
+        return pd.DataFrame({"w": [pdf["w"].iloc[0]] * len(found), "block": [b for b, _ in found], "least": [x for _, x in found], "k": k})
+
+    def core(pdf):
+        k = int(pdf["k"].iloc[0])
+        each = np.concatenate([np.frombuffer(x).reshape(-1, k + 1) for x in pdf["least"]], axis=1)
+        return pdf.iloc[:1][["w", "block"]].assign(core=[np.sqrt(np.partition(each, k, axis=1)[:, k]).tobytes()])
+
+    cores = pairs(blocks).applyInPandas(close, f"w {w}, block long, least binary, k int").groupBy("w", "block").applyInPandas(core, f"w {w}, block long, core binary")
+    blocks_ = _cut(blocks.join(cores, ["w", "block"]))
+    comps = blocks_.select("w", "block", F.col("nodes").alias("comp"))
+    edges = None
+
+    def leave(pdf):
+        found = _nearest_outside(pdf)
+        return pd.DataFrame({"w": [pdf["w"].iloc[0]] * len(found), "comp": list(found), "d": [e[0] for e in found.values()], "a": [e[1] for e in found.values()], "b": [e[2] for e in found.values()]})
+
+    def join(pdf):
+        """Edges that joined so far, and the components of each block's nodes."""
+        known = pdf[pdf["kind"] == 0].sort_values(["old", "d", "a", "b"], ascending=[False, True, True, True])
+        parts = [(r.block, np.frombuffer(r.nodes, "<i8")) for r in pdf[pdf["kind"] == 1].itertuples()]
+        parent: dict[int, int] = {}
+
+        def find(v):
+            while parent.setdefault(v, v) != v:
+                parent[v] = parent[parent[v]]
+                v = parent[v]
+            return v
+
+        kept = []
+        for r in known.itertuples():
+            a, b = find(r.a), find(r.b)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                kept.append((r.d, r.a, r.b))
+        out = [(0, None, None, *e) for e in kept]
+        out += [(1, block, np.array([find(v) for v in nodes.tolist()], "<i8").tobytes(), None, None, None) for block, nodes in parts]
+        df = pd.DataFrame(out, columns=["kind", "block", "comp", "d", "a", "b"]).astype({"block": "Int64", "a": "Int64", "b": "Int64", "d": float})
+        return df.assign(w=[pdf["w"].iloc[0]] * len(df))[["w", "kind", "block", "comp", "d", "a", "b"]]
+
+    none = F.lit(None)
+    nodes_of = blocks_.select("w", F.lit(1).alias("kind"), "block", "nodes", none.cast("double").alias("d"), none.cast("long").alias("a"), none.cast("long").alias("b"), F.lit(False).alias("old"))
+    while True:
+        found = pairs(blocks_.join(comps, ["w", "block"])).applyInPandas(leave, f"w {w}, comp long, d double, a long, b long")
+        least = found.groupBy("w", "comp").agg(F.min(F.struct("d", "a", "b")).alias("e")).select("w", "e.*").distinct()
+        fresh = _cut(least)
+        if fresh.isEmpty():
+            break
+        as_rows = lambda e, old: e.select("w", F.lit(0).alias("kind"), none.cast("long").alias("block"), none.cast("binary").alias("nodes"), "d", "a", "b", F.lit(old).alias("old"))
+        given = as_rows(fresh, False) if edges is None else as_rows(fresh, False).unionByName(as_rows(edges, True))
+        state = _cut(given.unionByName(nodes_of).groupBy("w").applyInPandas(join, f"w {w}, kind int, block long, comp binary, d double, a long, b long"))
+        edges, comps = state.filter("kind = 0").select("w", "d", "a", "b"), state.filter("kind = 1").select("w", "block", "comp")
+
+    def label(pdf):
+        nodes, flat = np.unique(pdf[["a", "b"]].to_numpy("<i8"), return_inverse=True)
+        ends = flat.reshape(-1, 2)
+        labels, strength = condensed(list(zip(pdf["d"].tolist(), ends[:, 0].tolist(), ends[:, 1].tolist(), strict=True)), len(nodes), c.min_cluster_size)
+        return pd.DataFrame({"w": [pdf["w"].iloc[0]] * len(nodes), "node": nodes, "label": labels.astype("int32"), "strength": strength})
+
+    labelled = edges.groupBy("w").applyInPandas(label, f"w {w}, node long, label int, strength double")
+    return rows.join(labelled, ["w", "node"]).select("w", "doc_id", "label", "strength")
+
+
+def density_clusters(docs: DataFrame, partition: str, config: ClusterConfig | None = None, max_rows: int = 20_000, block_rows: int = 4096) -> DataFrame:
+    """(partition, doc_id, label, strength) of each partition (a recompute window). A window of at most
+    ``max_rows`` is one task, since the algorithm looks at all of it; a larger one is dealt to blocks."""
     c = config or ClusterConfig()
 
     def run(pdf):
-        if len(pdf) > max_rows:
-            raise ValueError(f"a window holds more than {max_rows} documents: cut it finer or raise max_rows")
         import numpy as np
 
         pdf = pdf.sort_values("doc_id")
@@ -197,4 +351,15 @@ def density_clusters(docs: DataFrame, partition: str, config: ClusterConfig | No
         return pdf[[partition, "doc_id"]].assign(label=labels.astype("int32"), strength=strength)
 
     kinds = dict(docs.dtypes)
-    return docs.select(partition, "doc_id", "embedding").groupBy(partition).applyInPandas(run, f"{partition} {kinds[partition]}, doc_id {kinds['doc_id']}, label int, strength double")
+    rows = docs.select(partition, "doc_id", "embedding")
+    one_task = lambda df: df.groupBy(partition).applyInPandas(run, f"{partition} {kinds[partition]}, doc_id {kinds['doc_id']}, label int, strength double")
+    sizes = rows.groupBy(partition).agg(F.count("*").alias("size")).cache()
+    # the windows as numbers, null included
+    large = sizes.filter(F.col("size") > max_rows).select(F.col(partition).alias("window_key"))
+    if large.isEmpty():
+        return one_task(rows)
+    large = _cut(large.withColumn("w", F.monotonically_increasing_id()))
+    same = F.col(partition).eqNullSafe(F.col("window_key"))
+    small = one_task(rows.join(large, same, "left_anti"))
+    dealt = _large_windows(rows.join(large, same).select("w", "doc_id", "embedding"), c, block_rows)
+    return small.unionByName(dealt.join(large, "w").select(F.col("window_key").alias(partition), "doc_id", "label", "strength"))
