@@ -134,6 +134,20 @@ def test_bayes_bounds():
     assert len(least) == 6 and all(a < b for a, b in zip(least, least[1:], strict=False)) and least[-1] < 0.85 * 120
 
 
+@pytest.mark.parametrize("percent,hashes", [(85, 120), (80, 160)])
+def test_pruning_misses_at_the_threshold(percent, hashes):
+    """Exactly, the chance that a pair at the threshold itself is pruned, with the default bound."""
+    t, b = percent / 100, near_dedup.BATCH
+    alive = {0: 1.0}
+    for least in near_dedup.least_matches(percent, hashes, b, near_dedup.MISS):
+        step = Counter()
+        for m, p in alive.items():
+            for x in range(b + 1):
+                step[m + x] += p * math.comb(b, x) * t**x * (1 - t) ** (b - x)
+        alive = {m: p for m, p in step.items() if m >= least}
+    assert 0 < 1 - sum(alive.values()) < 1e-5
+
+
 def _tiktoken():
     import public_tokenizers
     import tiktoken

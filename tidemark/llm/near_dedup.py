@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import SPACE, store, without
 
 BANDS, ROWS, BATCH = 32, 5, 20
-MISS = 1e-5
+MISS = 1e-6
 PRUNE_CHUNK, VERIFY_CHUNK, BLOCK = 1024, 64, 1024
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
