@@ -151,6 +151,45 @@ def test_minhash_and_groups(spark):
     assert got[4].canonical_doc_id == 4 and not got[4].near_duplicate_flag
 
 
+def test_near_duplicates_of_documents(spark, tmp_path):
+    """Long texts, copies, near copies, nulls and a hot group of documents, against brute force."""
+    import random
+
+    from tidemark.plans.queries import QUERIES
+
+    r = random.Random(8)
+    text = lambda k: " ".join(f"W{r.randrange(10**6)}" for _ in range(k))
+    texts = [text(60) for _ in range(12)] + [None, "", None, text(3000)]
+    hot = texts[0].split()
+    for _ in range(30):
+        w = list(hot)
+        for _ in range(r.randint(0, 7)):
+            w[r.randrange(60)] = "ß%d" % r.randrange(1000)
+        texts.append("  ".join(w))
+    texts += [texts[15], texts[15] + " end", texts[3]]
+    spark.createDataFrame([(i, t, "s", "en") for i, t in enumerate(texts)], "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    signed = [_slow_signature(t or "", 64) for t in texts]
+    keys = [{(b, tuple(m[4 * b : 4 * b + 4])) for b in range(16)} for _, m in signed]
+    candidates = {(i, j) for j in range(len(texts)) for i in range(j) if keys[i] & keys[j]}
+    run = lambda name: [tuple(x) for x in QUERIES[name](spark, str(tmp_path)).collect()]
+    assert dict(run("minhash_signature_documents")) == {i: hashlib.sha256("".join(m).encode()).hexdigest() for i, (_, m) in enumerate(signed)}
+    assert set(run("lsh_candidates_documents")) == candidates
+    firsts = {i for i, t in enumerate(texts) if (t or "") not in [x or "" for x in texts[:i]]}
+    share = lambda i, j: len(signed[i][0] & signed[j][0]) / len(signed[i][0] | signed[j][0])
+    near = {(i, j): round(share(i, j), 6) for i, j in candidates if {i, j} <= firsts and share(i, j) >= 0.72}
+    assert {(a, b): s for a, b, s in run("near_dup_pairs_documents")} == pytest.approx(near) and len(near) > 20
+    group = list(range(len(texts)))
+    for _ in texts:
+        for i, j in [*near, *((i, j) for i in range(len(texts)) for j in range(i) if (texts[i] or "") == (texts[j] or ""))]:
+            group[i] = group[j] = min(group[i], group[j])
+    old, dedup.BLOCK = dedup.BLOCK, 5
+    try:
+        got = {x.doc_id: x.canonical_doc_id for x in QUERIES["near_dup_groups"](spark, str(tmp_path)).collect()}
+    finally:
+        dedup.BLOCK = old
+    assert got == dict(enumerate(group))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 30)] + [(50, 51), (60, 50)]
     got = {r.node: r.component for r in dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
