@@ -8,7 +8,7 @@ tokens backwards gives the encoding of any prefix, so appended bytes need only n
 and after an edit entries are made anew only until they agree with the old ones again.
 
 Pieces are the matches of a pattern, each encoded by itself; a piece that is a token as it
-stands is that token. Distinct pieces are encoded once per worker (a bounded memory).
+stands is that token. A task remembers pieces up to ``PIECE_BYTES``.
 
 Defined results. Null text is empty: no tokens. Ids travel as packed little-endian unsigned
 32-bit integers. Rows that repeat give repeated rows; an empty table gives an empty one.
@@ -24,12 +24,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE_PIECES = 600_000
+from tidemark.llm.common import Remembered
 
-#: A common pattern, and an equal one for Python's faster matcher. They agree on texts without
-#: the characters that are _odd: there letters are the alphanumerics that are no decimal digits.
+PIECE_BYTES = 64 << 20
+STAND = 200_000
+
+#: A common pattern, and one of Python's faster matcher that equals it on texts whose characters
+#: ``_like`` leaves as they are; the others are replaced, one for one, by a character of their class.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PLAIN_PATTERN = r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
+UNICODE = "16.0.0"
+#: Code points (first, last) that Unicode 16.0 made letters and numbers; Python's
+#: table may be older. A newer table's additions count as unassigned.
+NEW_LETTERS = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+    (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+    (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+)
+NEW_NUMBERS = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
 
 
 class Vocabulary:
@@ -40,6 +52,7 @@ class Vocabulary:
         self._halves: dict[int, tuple[int, int] | None] = {}
         self._stand: dict[int, bool] = {}
         self._base = max(self.token, default=0) + 1
+        self._ends = None
 
     @classmethod
     def parse(cls, lines: bytes) -> Vocabulary:
@@ -81,28 +94,42 @@ class Vocabulary:
             else:
                 before, y = y + 1, hy[0]
 
+    @property
+    def ends(self):
+        """An automaton that names the tokens ending at each position, the longest first."""
+        if self._ends is None:
+            import ahocorasick
+
+            self._ends = ahocorasick.Automaton()
+            for token, content in self.token.items():
+                self._ends.add_word(content.decode("latin-1"), (token, len(content)))
+            self._ends.make_automaton()
+        return self._ends
+
     def extend(self, content: bytes, last: list[int], upto: int) -> None:
         """Give ``last`` an entry for each prefix length up to ``upto``."""
-        get, stand, base, longest = self.rank.get, self._stand, self._base, self.longest
-        if len(stand) > 1_000_000:
+        stand, base = self._stand, self._base
+        if len(stand) > STAND:
             stand.clear()
-        for i in range(len(last), upto + 1):
-            for j in range(i - longest if i > longest else 0, i):
-                token = get(content[j:i])
-                if token is None:
+        at = max(0, len(last) - self.longest)
+        if len(last) <= upto:
+            for end, (token, length) in self.ends.iter(content[at:upto].decode("latin-1")):
+                i = at + end + 1
+                if i < len(last):
                     continue
-                if j:
-                    key = last[j] * base + token
+                if i > len(last):
+                    break
+                if i > length:
+                    key = last[i - length] * base + token
                     ok = stand.get(key)
                     if ok is None:
-                        ok = stand[key] = self.may_follow(last[j], token)
+                        ok = stand[key] = self.may_follow(last[i - length], token)
                 else:
                     ok = self.reachable(token)
                 if ok:
                     last.append(token)
-                    break
-            else:
-                raise ValueError("the vocabulary lacks a byte")
+        if len(last) <= upto:
+            raise ValueError("the vocabulary lacks a byte")
 
 
 class Piece:
@@ -139,50 +166,54 @@ class Piece:
         return out[::-1]
 
 
-class _Packed(dict):
-    """piece -> its ids, packed."""
+def _class(c: str) -> str:
+    """L (letter), N (number), S (white space) or P by the pinned Unicode version."""
+    import unicodedata
 
-    def __init__(self, vocabulary: Vocabulary):
-        self.v = vocabulary
+    point, kind = ord(c), unicodedata.category(c)[0]
+    if any(a <= point <= b for a, b in NEW_LETTERS):
+        return "L"
+    if any(a <= point <= b for a, b in NEW_NUMBERS):
+        return "N"
+    if kind in "LN":
+        return kind
+    return "S" if c.isspace() and c not in "\x1c\x1d\x1e\x1f" else "P"
 
-    def __missing__(self, piece: str) -> bytes:
-        raw = piece.encode("utf-8", "surrogatepass")
-        whole = self.v.rank.get(raw)
-        ids = [whole] if whole is not None else Piece(self.v, raw).ids()
-        if len(self) >= CACHE_PIECES:
-            self.clear()
-        packed = b"".join(i.to_bytes(4, "little") for i in ids)
-        if len(raw) < 200:
-            self[piece] = packed
-        return packed
 
+def _plain_class(c: str) -> str:
+    """What PLAIN_PATTERN takes a character for."""
+    return "N" if c.isdecimal() else "L" if c.isalnum() else "S" if c.isspace() else "P"
 
-def _odd(c: str) -> bool:
-    """Whether the two patterns, or two Unicode versions, might differ on a character."""
-    import unicodedata
 
-    kind = unicodedata.category(c)
-    return kind in ("Cn", "No", "Nl") or c >= "\U00020000" or (c.isnumeric() and not c.isdecimal()) or (c.isspace() and c not in " \t\n\x0b\x0c\r") or c.isalpha() != (kind[0] == "L")
+def _like(c: str) -> str:
+    """The character itself, or where the pattern would mistake it, one of its class that stands for itself."""
+    kind = _class(c)
+    return c if kind == _plain_class(c) else {"L": "\u00e9", "N": "0", "S": "\t", "P": "!"}[kind]
 
 
 class Encoder:
     def __init__(self, vocabulary: Vocabulary, pattern: str):
-        import regex
-
-        self.v, self.packed, exact = vocabulary, _Packed(vocabulary), regex.compile(pattern).findall
+        self.v, self.packed = vocabulary, Remembered(self._pack, PIECE_BYTES)
         if pattern == WORD_PATTERN:
-            plain, known = re.compile(PLAIN_PATTERN).findall, set()
+            plain, pieces, known = re.compile(PLAIN_PATTERN).findall, re.compile(PLAIN_PATTERN).finditer, set()
 
             def split(text: str) -> list[str]:
-                for c in set(text) - known:
-                    if _odd(c):
-                        return exact(text)
-                    known.add(c)
-                return plain(text)
+                new = set(text) - known
+                odd = {ord(c): x for c in new if (x := _like(c)) != c}
+                known.update(c for c in new if ord(c) not in odd)
+                return [text[m.start() : m.end()] for m in pieces(text.translate(odd))] if odd else plain(text)
 
             self.split = split
         else:
-            self.split = exact
+            import regex
+
+            self.split = regex.compile(pattern).findall
+
+    def _pack(self, piece: str) -> bytes:
+        raw = piece.encode("utf-8", "surrogatepass")
+        whole = self.v.rank.get(raw)
+        ids = [whole] if whole is not None else Piece(self.v, raw).ids()
+        return b"".join(i.to_bytes(4, "little") for i in ids)
 
     def encode_packed(self, text: str) -> bytes:
         return b"".join(map(self.packed.__getitem__, self.split(text)))
@@ -195,16 +226,16 @@ class Encoder:
         return b"".join(map(self.v.token.__getitem__, memoryview(ids).cast("I"))) if ids else b""
 
 
-_encoders: dict[tuple[int, str], Encoder] = {}
+_vocabularies: dict[int, Vocabulary] = {}
 
 
 def _encoder(lines, pattern: str) -> Encoder:
-    """One a worker: its vocabulary and memory of pieces serve all tasks of the worker."""
-    key = (hash(lines.value), pattern)
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(Vocabulary.parse(lines.value), pattern)
-    return _encoders[key]
+    """A worker keeps the vocabulary, whose size is fixed; the memory of pieces ends with the task."""
+    key = hash(lines.value)
+    if key not in _vocabularies:
+        _vocabularies.clear()
+        _vocabularies[key] = Vocabulary.parse(lines.value)
+    return Encoder(_vocabularies[key], pattern)
 
 
 def _vocabulary(df: DataFrame, path: str):
@@ -212,20 +243,25 @@ def _vocabulary(df: DataFrame, path: str):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_tokens, ids (binary: packed little-endian unsigned 32-bit integers)."""
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", *, decoded: bool = False) -> DataFrame:
+    """id, n_tokens, ids (binary: packed little-endian unsigned 32-bit integers); with ``decoded`` also
+    the bytes that the ids give back, made in the same pass."""
     lines = _vocabulary(docs, path)
 
     def run(batches):
         e = _encoder(lines, pattern)
         for b in batches:
-            texts = b.column(1)
             for at in range(0, b.num_rows, 256):
-                ids = [e.encode_packed(x or "") for x in texts.slice(at, 256).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 256), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["id", "n_tokens", "ids"])
+                part = b.slice(at, 256)
+                ids = [e.encode_packed(x or "") for x in part.column(1).to_pylist()]
+                out = [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+                if decoded:
+                    out.append(pa.array(map(e.decode_packed, ids), pa.binary()))
+                yield pa.RecordBatch.from_arrays(out, names)
 
+    names = ["id", "n_tokens", "ids", *(["decoded"] if decoded else [])]
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, n_tokens long, ids binary").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, "id long, n_tokens long, ids binary" + ", decoded binary" * decoded).withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
@@ -244,5 +280,5 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id")
 
 
 def report(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    rows = decode(encode(docs, path, pattern, id_col, text_col), path, pattern, id_col)
+    rows = encode(docs, path, pattern, id_col, text_col, decoded=True)
     return rows.select(id_col, "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,9 +17,39 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
+ROW_GROUP_BYTES = 16 << 20
+
 _written: list[tuple[SparkSession, str]] = []
 
 
+class Remembered(dict):
+    """What ``make`` gives for a key. About ``limit`` bytes are held, in two generations: what is
+    asked for again outlives what is not. A task makes its own, so that it ends with the task."""
+
+    def __init__(self, make: Callable, limit: int = 16 << 20, each: int = 200, longest: int = 200):
+        self._make, self._half, self._each, self._longest = make, limit // 2, each, longest
+        self._older: dict = {}
+        self._room = self._half
+
+    def __missing__(self, key):
+        value = self._older.get(key)
+        if value is None:
+            value = self._make(key)
+        if len(key) <= self._longest:
+            if self._room <= 0:
+                self._older, self._room = dict(self), self._half
+                self.clear()
+            self._room -= len(key) + self._each
+            self[key] = value
+        return value
+
+
+def word_hashes() -> Remembered:
+    import xxhash
+
+    return Remembered(xxhash.xxh3_64_intdigest)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -40,7 +71,8 @@ def store(df: DataFrame, *, partition_by: tuple[str, ...] = ()) -> DataFrame:
     executor costs a reread, and what is read twice is computed once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
+    out = df.write.option("parquet.block.size", ROW_GROUP_BYTES)  # a writing task holds one row group
+    (out.partitionBy(*partition_by) if partition_by else out).parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 

@@ -32,11 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE, store, without
+from tidemark.llm.common import SPACE, store, without, word_hashes
 
 BANDS, ROWS, BATCH = 32, 5, 20
 MISS = 1e-6
 PRUNE_CHUNK, VERIFY_CHUNK, BLOCK = 1024, 64, 1024
+SEEN = 50_000
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -70,12 +71,10 @@ def _coefficients(n: int):
     return r.integers(1, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), r.integers(0, 2**63, n, dtype=np.uint64)
 
 
-def signature(words: list[bytes], n: int, coefficients):
+def signature(words: list[bytes], n: int, coefficients, word_hash):
     import numpy as np
 
-    from tidemark.llm.substring_dedup import _hashes
-
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(word_hash.__getitem__, words), np.uint64, len(words))
     last = max(1, len(words) - n + 1)
     g = h[:last].copy()
     with np.errstate(over="ignore"):
@@ -94,7 +93,7 @@ def _describe(n: int, hashes: int):
     def run(batches):
         import hashlib
 
-        coefficients, seen = _coefficients(hashes), set()
+        coefficients, word_hash, seen = _coefficients(hashes), word_hashes(), set()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -104,9 +103,10 @@ def _describe(n: int, hashes: int):
                     size.append(len(shingles(words, n)))
                     node = hashlib.sha256(b" ".join(words)).digest()[:16] if words else None
                     nodes.append(node)
-                    sigs.append(signature(words, n, coefficients).tobytes() if words and node not in seen else None)
-                    if len(seen) < 1_000_000:
-                        seen.add(node)
+                    sigs.append(signature(words, n, coefficients, word_hash).tobytes() if words and node not in seen else None)
+                    if len(seen) >= SEEN:  # what it holds only spares work
+                        seen.clear()
+                    seen.add(node)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array(nodes, pa.binary()), pa.array(sigs, pa.binary())], ["id", "n", "node", "sig"])
 
     return run

@@ -23,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import word_hashes
+
 K, M = 20, 3
 CHUNK_BYTES = 12 << 20
 BUCKET_BYTES = 16 << 20
 NO_ID = 2**63 - 1
-WORD_CACHE = 400_000
 
 
 def print_of(content: bytes) -> int:
@@ -37,27 +38,14 @@ def print_of(content: bytes) -> int:
     return xxhash.xxh3_64_intdigest(content) - 2**63
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= WORD_CACHE:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_hashes = _Hashes()
-
-
-def runs(words: list[bytes], k: int = K, m: int = M):
-    """(first window, windows, minimiser hash) of each maximal run of windows with one minimiser."""
+def runs(words: list[bytes], hashes, k: int = K, m: int = M):
+    """(first window, windows, minimiser hash) of each maximal run of windows with one minimiser. ``hashes``: word -> hash."""
     import numpy as np
 
     n = len(words) - k + 1
     if n < 1:
         return [], [], []
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     g = h[: len(words) - m + 1].copy()
     with np.errstate(over="ignore"):
         for j in range(1, m):
@@ -127,13 +115,13 @@ def _slices(items: list, n: int):
 def _send(buckets: int, k: int, m: int):
     def run(batches):
         chunk: dict[bytes, list] = {}
-        held = 0
+        held, word_hash = 0, word_hashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     words = (text or "").encode("utf-8", "surrogatepass").split()
-                    first, count, hashes = runs(words, k, m)
+                    first, count, hashes = runs(words, word_hash, k, m)
                     if len(first):
                         i = (i, print_of(b" ".join(words)))
                     for s, c, h in zip(first, count, hashes.tolist() if len(first) else (), strict=True):

@@ -8,13 +8,14 @@ correlations of the voters given the class, by which it counts dependent voters
 linear classifier over words and word beginnings is trained on its posterior labels; it
 alone scores documents, so a score needs nothing but the text.
 
-Training reads at most ``TRAIN_ROWS`` labelled rows (chosen by a seeded hash), never those
-of the held-out fold. The classifier has at most ``MAX_FEATURES`` weights, the only thing
-broadcast. Scoring is one narrow pass over whole texts.
+Training reads at most ``TRAIN_ROWS`` labelled rows (chosen by a seeded hash) whose texts have
+at most ``TRAIN_TEXT_BYTES``, never those of the held-out fold. The classifier has at most
+``MAX_FEATURES`` weights, the only thing broadcast. Scoring is one narrow pass over whole
+texts of any length.
 
 Defined results. Null and empty texts get the score of a text without words. Without
-labelled rows the hand-written voters alone train it, on the documents' own sample. Rows
-that repeat get equal scores. An empty table gives an empty one. Other columns are not read.
+labelled rows the words of the hand-written lexicons alone score. Rows that repeat get equal
+scores. An empty table gives an empty one. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,15 +23,15 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.linear import Logistic, bounded, labelled_sample
+from tidemark.llm.common import Remembered
+from tidemark.llm.linear import Logistic, labelled_sample
 
-TRAIN_ROWS = 3000
+TRAIN_ROWS, TRAIN_TEXT_BYTES = 3000, 100_000
 MAX_FEATURES = 6000
 HEADS = (4, 5, 6, 7)
 FOLDS = 5
@@ -153,34 +154,40 @@ def train(sample: list[tuple[str | None, int | None]]) -> Logistic:
 def _scorer(model):
     """text -> score, with the words' features remembered between texts."""
     weights, bias = model
-    cache: dict[str, list] = {}
-
-    def of(word: str):
-        got = cache.get(word)
-        if got is None:
-            if len(cache) > 300_000:
-                cache.clear()
-            got = cache[word] = [f for f in features_of(word) if f in weights]
-        return got
+    of = Remembered(lambda word: [f for f in features_of(word) if f in weights])
 
     def one(text: str | None) -> float:
-        found = Counter(f for w in words_of(text) for f in of(w))
+        found = Counter(f for w in words_of(text) for f in of[w])
         z = bias + sum(weights[f] * min(c, 3) for f, c in found.items())
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
     return one
 
 
-def scoring(shared):
-    """A vectorised function of a text column, for use in any projection or filter."""
+def _score(shared):
+    """(id, text) rows to (id, score)."""
+
+    def run(batches):
+        one = _scorer(shared.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(one, part.column(1).to_pylist()), pa.float64())], ["id", "score"])
+
+    return run
+
+
+def _clean(shared, at_text: int):
+    """The rows, with all their columns, that do not score as toxic."""
 
-    @F.pandas_udf("double")
-    def toxic_score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches):
         one = _scorer(shared.value)
-        for texts in batches:
-            yield pd.Series([one(x) for x in texts], dtype="float64")
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                yield part.filter(pa.array([one(x) < 0.5 for x in part.column(at_text).to_pylist()], pa.bool_()))
 
-    return toxic_score
+    return run
 
 
 def held_out(id_col: str) -> F.Column:
@@ -191,22 +198,20 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """The broadcast classifier: at most MAX_FEATURES weights and the lexicons."""
     text = F.col(text_col).cast("string").alias("text")
     allowed = labels.select(F.col(id_col).cast("long").alias(id_col), F.col(label_col).alias("y")).filter(F.col(id_col).isNotNull() & F.col("y").isNotNull()).filter(~held_out(id_col))
-    rows = labelled_sample(docs, allowed, id_col, [text], train_rows, seed).select("text", "y", id_col).orderBy(id_col, "text").limit(train_rows).collect()  # at most train_rows documents
+    short = docs.filter(F.octet_length(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) <= TRAIN_TEXT_BYTES)
+    rows = labelled_sample(short, allowed, id_col, [text], train_rows, seed).select("text", "y", id_col).orderBy(id_col, "text").limit(train_rows).collect()  # at most train_rows documents of bounded size
     sample = [(r["text"], int(r["y"])) for r in rows]
-    if not sample:
-        sample = [(r["text"], None) for r in bounded(docs.select(F.col(id_col).alias("i"), text), "i", min(train_rows, 2000), seed).collect()]
     model = train(sample) if sample else Logistic({w: 2.0 for x in LEXICONS.values() for w in x.split()}, -2.0)
     return docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **options) -> DataFrame:
     """id, held_out, score, predicted for every row of ``docs``."""
-    of = scoring(fitted(docs, labels, id_col, text_col, label_col, **options))
-    scored = docs.select(F.col(id_col).cast("long").alias("id"), of(F.col(text_col).cast("string")).alias("score"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    scored = rows.mapInArrow(_score(fitted(docs, labels, id_col, text_col, label_col, **options)), "id long, score double")
     return scored.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, with all their columns; no shuffle."""
-    of = scoring(fitted(docs, labels, id_col, text_col, **options))
-    return docs.filter(of(F.col(text_col).cast("string")) < 0.5)
+    return docs.mapInArrow(_clean(fitted(docs, labels, id_col, text_col, **options), docs.columns.index(text_col)), docs.schema)
