@@ -38,8 +38,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ids = bpe.encode(docs, VOCABULARY, public_tokenizers.PATTERN)
-    rows = bpe.decode(ids, VOCABULARY, public_tokenizers.PATTERN)
+    rows = bpe.encode(docs, VOCABULARY, public_tokenizers.PATTERN, decoded=True)
     return rows.select("doc_id", "n_tokens", "ids", F.col("decoded").cast("string").alias("text"))
 
 
