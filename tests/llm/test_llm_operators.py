@@ -256,12 +256,54 @@ def test_quality_rules(docs):
     assert sum(r.kept for r in got.values()) > 60
 
 
-def test_quality_rule_classes():
-    n = len(quality_rules.rules())
-    good, symbols = (1,) * n, tuple(-1 if k == 2 else 1 for k in range(n))
-    share, log = quality_rules.fit([(good, 900), (symbols, 40)], n)
-    z = lambda v, c: share[c] + sum(log[c][k][x] for k, x in enumerate(v))
-    assert max(range(n + 1), key=lambda c: z(good, c)) == 0 and max(range(n + 1), key=lambda c: z(symbols, c)) == 3
+def _votes(seed=8, n=3000):
+    """Documents of five rules: two see one kind of junk, two another, and the last votes at random."""
+    r = random.Random(seed)
+    out = []
+    for _ in range(n):
+        kind = r.choices((None, (0, 1), (2, 3)), (0.85, 0.09, 0.06))[0]
+        v = [-1 if r.random() < (0.95 if kind and k in kind else 0.01) else 0 if r.random() < 0.1 else 1 for k in range(4)]
+        out.append((kind, (*v, -1 if r.random() < 0.2 else 1)))
+    return out
+
+
+def test_quality_rules_let_a_noisy_rule_err():
+    docs = _votes()
+    share, odds = quality_rules.fit(sorted(Counter(v for _, v in docs).items()), 5)
+    post = {v: quality_rules.posterior_of(v, share, odds) for _, v in docs}
+    assert post[(1, 1, 1, 1, -1)] > 0.5 and post[(1, -1, 1, 1, 1)] > 0.5  # one vote against, and they stay
+    assert post[(-1, -1, 1, 1, 1)] < 0.5 and post[(1, 1, -1, -1, 1)] < 0.5  # the noisy rule is for them, and they go
+    right = sum((post[v] > 0.5) == (kind is None) for kind, v in docs)
+    single = [(kind, v) for kind, v in docs if v.count(-1) == 1]
+    assert right > 0.97 * len(docs) and sum(post[v] > 0.5 for _, v in single) > 0.9 * len(single) > 200
+
+
+def test_quality_rules_em_against_brute_force():
+    """Document by document, without patterns or arrays."""
+    docs = [v for _, v in _votes(9, 400)]
+    counts = sorted(Counter(docs).items())
+    kinds = quality_rules.kinds_of(counts)
+    classes, rules = range(len(kinds) + 1), range(5)
+    post = []
+    for v in docs:
+        against = {k for k in rules if v[k] < 0}
+        good = (0.98, 0.8, 0.05)[min(2, len(against))]
+        alike = [0.01 + len(against & s) / max(1, len(s)) for s in kinds]
+        post.append([good, *((1 - good) * a / sum(alike) for a in alike)])
+    share, odds = [], []
+    for _ in range(quality_rules.ROUNDS):
+        total = [sum(p[c] for p in post) for c in classes]
+        tally = lambda c, k, x: sum(p[c] for p, v in zip(post, docs, strict=True) if v[k] == x) + quality_rules.ERRORS * total[c]  # noqa: E731, B023
+        odds = [[tally(c, k, -1) / (tally(c, k, -1) + tally(c, k, 1)) for k in rules] for c in classes]
+        share = [max(t / len(docs), 1e-4) for t in total]
+        before, post = post, []
+        for v in docs:
+            p = [s * math.prod((row[k] if v[k] < 0 else 1 - row[k]) if v[k] else 1 for k in rules) for s, row in zip(share, odds, strict=True)]
+            post.append([x / sum(p) for x in p])
+        if max(abs(x - y) for p, q in zip(before, post, strict=True) for x, y in zip(p, q, strict=True)) < 1e-9:
+            break
+    fitted = quality_rules.fit(counts, 5)
+    assert all(quality_rules.posterior_of(v, *fitted) == pytest.approx(p[0], abs=1e-6) for v, p in zip(docs, post, strict=True))
 
 
 def test_repeated_words(spark):

@@ -1,14 +1,20 @@
 """Quality rules as weak supervision; built-in functions only.
 
-Each rule votes for a document (1), against it (-1) or abstains (0). Documents are added
-up by their votes, and expectation-maximisation over those counts estimates how often each
-rule votes each way on good documents and on each kind of bad ones; the driver sees at most
-3 ** rules counts, never documents. A document's quality probability is the posterior given
-its votes, looked up by vote pattern in a table of as many rows.
+Each rule votes for a document (1), against it (-1) or abstains (0). Documents are added up by
+their votes, and expectation-maximisation over those counts estimates the share of good
+documents and of a few kinds of bad ones and, of each rule, how often its votes are against each;
+an abstention says nothing. Junk is of several kinds and each rule sees only some, so the kinds
+are found first: the commonest sets of two or more rules that vote against the same documents.
+Rules are believed to err: ``ERRORS`` of a class more votes than were counted are against and
+for it, a share of the class, so that the belief is alike at every corpus size. One vote against
+is then fatal only if the accuracies and the other votes say so. A document's quality
+probability is the posterior of the good class given all its votes, looked up by vote pattern.
+The driver sees at most 3 ** rules counts, never documents.
 
 Defined results. Null text is empty; a document with fewer words than ``MIN_WORDS`` or
-with too many repeated words fails the base and is not kept, whatever its posterior. Tied
-and repeated rows get equal verdicts. An empty table gives an empty one.
+with too many repeated words fails the base and is not kept, whatever its posterior. Texts of
+any length are read whole. Tied and repeated rows get equal verdicts. An empty table gives an
+empty one. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,13 +30,11 @@ from tidemark.llm.common import SPACE, store
 MIN_WORDS = 10
 WINDOW = 5
 MAX_REPEAT_PERCENT = 20
-#: Pseudo-counts (against, for) of a rule's votes on good documents, on its own kind of bad
-#: documents, and on the other kinds. The good class has a fixed share and the kinds share the
-#: rest evenly, so a rule against a large part of the corpus, without others to bear it out,
-#: is taken to be inaccurate rather than the corpus to be bad.
-PRIOR_GOOD, PRIOR_OWN, PRIOR_OTHER = (0.2, 40.0), (10.0, 0.5), (1.0, 5.0)
-SHARE_GOOD = 0.6
-ROUNDS = 40
+#: A rule's votes that are taken to be errors, as a share of a class.
+ERRORS = 0.02
+#: Kinds of bad documents: at most so many, each the start of at least this share of the documents.
+KINDS, LEAST_KIND = 5, 0.002
+ROUNDS = 500
 
 
 def _let(value: Column, body) -> Column:
@@ -78,6 +82,9 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.regexp_count("text", F.lit(r"\p{Lu}{3,}")).cast("long").alias("n_shouted"),
         F.regexp_count("text", F.lit(r"[.!?](?:\s|$)")).cast("long").alias("n_stops"),
         F.regexp_count("text", F.lit(r"!!|\?\?")).cast("long").alias("n_excited"),
+        F.regexp_count("text", F.lit(r"\p{L}")).cast("long").alias("n_letters"),
+        F.regexp_count("text", F.lit(r"[\p{L}\p{N}][.,;:!?)\x{201d}\x22]?(?=[\x20\x09-\x0D]|$)")).cast("long").alias("n_plain"),
+        F.size(F.filter("words", lambda w, i: (i > 0) & (w == F.get("words", i - 1)))).cast("long").alias("n_again"),
     )
 
 
@@ -101,48 +108,60 @@ def rules() -> dict[str, Column]:
         "shouting": vote(share("n_shouted") > 0.4, share("n_shouted") < 0.05),
         "sentences": vote((F.col("n_words") >= 40) & (F.col("n_stops") * 80 < F.col("n_words")), F.col("n_stops") * 40 >= F.col("n_words")),
         "excitement": vote(share("n_excited") > 0.2, share("n_excited") < 0.02),
+        "letters": vote(F.col("n_letters") < 0.7 * F.col("word_chars"), F.col("n_letters") > 0.85 * F.col("word_chars")),
+        "plain_words": vote(share("n_plain") < 0.6, share("n_plain") > 0.85),
+        "again": vote(share("n_again") > 0.1, share("n_again") < 0.03),
     }
 
 
-def fit(counts: list[tuple[tuple[int, ...], int]], n_rules: int) -> tuple[list[float], list[list[dict[int, float]]]]:
-    """EM over (votes, documents) for a good class and, for each rule, one kind of bad document.
-
-    Junk is of many kinds, and each is seen by few rules while the others vote for it, so one
-    bad class could not tell junk from good documents. Returns the classes' log shares and
-    log P(vote | class) by rule; class 0 is the good one. An abstention says nothing. To start,
-    a document belongs to the kinds of the rules against it, with some doubt."""
-    classes = range(n_rules + 1)
-    post = {}
-    for v, _ in counts:
-        against = [k for k, x in enumerate(v) if x < 0]
-        good = 0.97 if not against else 0.2 if len(against) == 1 else 0.05
-        post[v] = [good] + [(1 - good) / (len(against) or n_rules) * (not against or k in against) for k in range(n_rules)]
-    share = [math.log(SHARE_GOOD), *[math.log((1 - SHARE_GOOD) / n_rules)] * n_rules]
-    log: list = []
+def kinds_of(counts: list[tuple[tuple[int, ...], int]]) -> list[frozenset[int]]:
+    """The commonest sets of two or more rules against the same documents that are mostly unlike each other."""
+    sets: dict[frozenset[int], int] = {}
+    for v, n in counts:
+        against = frozenset(k for k, x in enumerate(v) if x < 0)
+        if len(against) > 1:
+            sets[against] = sets.get(against, 0) + n
+    least, found = LEAST_KIND * sum(n for _, n in counts), []
+    for s in sorted(sets, key=lambda s: (-sets[s], sorted(s))):
+        if sets[s] >= least and len(found) < KINDS and all(2 * len(s & f) < len(s | f) for f in found):
+            found.append(s)
+    return found or [frozenset()]
+
+
+def fit(counts: list[tuple[tuple[int, ...], int]], n_rules: int) -> tuple[list[float], list[list[float]]]:
+    """EM over (votes, documents): the share of each class, and [class][rule]: P(against | a vote is
+    cast, class). Class 0 is the good one. To start, one vote against makes a document somewhat
+    doubtful and two make it bad, of the kinds whose rules are against it."""
+    import numpy as np
+
+    kinds = kinds_of(counts)
+    votes = np.array([v for v, _ in counts], np.int64).reshape(len(counts), n_rules)
+    n = np.array([c for _, c in counts], np.float64)
+    against, for_ = (votes < 0).astype(np.float64), (votes > 0).astype(np.float64)
+    good = np.array([0.98, 0.8, 0.05])[np.minimum(2, against.sum(1).astype(int))]
+    alike = np.array([[0.01 + sum(v[k] < 0 for k in s) / max(1, len(s)) for s in kinds] for v, _ in counts]).reshape(len(counts), len(kinds))
+    post = np.column_stack([good, (1 - good)[:, None] * alike / alike.sum(1, keepdims=True)])
+    share, odds = np.full(len(kinds) + 1, 1 / (len(kinds) + 1)), np.full((len(kinds) + 1, n_rules), 0.5)
     for _ in range(ROUNDS):
-        log = []
-        for c in classes:
-            rows = []
-            for k in range(n_rules):
-                no, yes = PRIOR_GOOD if c == 0 else PRIOR_OWN if c == k + 1 else PRIOR_OTHER
-                no += sum(post[v][c] * n for v, n in counts if v[k] < 0)
-                yes += sum(post[v][c] * n for v, n in counts if v[k] > 0)
-                rows.append({-1: math.log(no / (no + yes)), 0: 0.0, 1: math.log(yes / (no + yes))})
-            log.append(rows)
-        moved = 0.0
-        for v, _ in counts:
-            z = [share[c] + sum(log[c][k][x] for k, x in enumerate(v)) for c in classes]
-            e = [math.exp(x - max(z)) for x in z]
-            fresh = [x / sum(e) for x in e]
-            moved = max(moved, abs(fresh[0] - post[v][0]))
-            post[v] = fresh
-        if moved < 1e-6:
+        mass = post * n[:, None]
+        total = mass.sum(0)
+        no, yes = mass.T @ against, mass.T @ for_
+        belief = ERRORS * total[:, None] + 1e-9
+        odds = (no + belief) / (no + yes + 2 * belief)
+        share = np.maximum(total / max(1.0, n.sum()), 1e-4)
+        share /= share.sum()
+        z = np.log(share) + against @ np.log(odds).T + for_ @ np.log(1 - odds).T
+        e = np.exp(z - z.max(1, keepdims=True))
+        fresh = e / e.sum(1, keepdims=True)
+        moved = float(np.abs(fresh - post).max(initial=0.0))
+        post = fresh
+        if moved < 1e-9:
             break
-    return share, log
+    return share.tolist(), odds.tolist()
 
 
-def posterior_of(votes: tuple[int, ...], share: list[float], log: list) -> float:
-    z = [share[c] + sum(log[c][k][x] for k, x in enumerate(votes)) for c in range(len(share))]
+def posterior_of(votes: tuple[int, ...], share: list[float], odds: list[list[float]]) -> float:
+    z = [math.log(s) + sum(math.log(p if x < 0 else 1 - p) for p, x in zip(row, votes, strict=True) if x) for s, row in zip(share, odds, strict=True)]
     e = [math.exp(x - max(z)) for x in z]
     return e[0] / sum(e)
 
@@ -153,9 +172,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, th
     rows = store(features(docs, id_col, text_col).withColumn("pattern", pattern))
     votes = lambda p: tuple(p // 3**k % 3 - 1 for k in range(len(named)))
     counts = {r["pattern"]: r["count"] for r in rows.groupBy("pattern").count().collect()}  # at most 3 ** rules rows
-    share, log = fit(sorted((votes(p), c) for p, c in counts.items()), len(named))
+    share, odds = fit(sorted((votes(p), c) for p, c in counts.items()), len(named))
     # The posterior of each pattern, as a table: at most 3 ** rules rows, so it may be broadcast.
-    table = json.dumps([{"pattern": p, "posterior": posterior_of(votes(p), share, log)} for p in counts])
+    table = json.dumps([{"pattern": p, "posterior": posterior_of(votes(p), share, odds)} for p in counts])
     known = docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(table), "array<struct<pattern:int,posterior:double>>")))
     rows = rows.join(F.broadcast(known), "pattern")
     posterior = F.col("posterior")
