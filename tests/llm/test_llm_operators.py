@@ -424,31 +424,53 @@ def test_toxicity_without_labels(spark):
 def test_quality_classifier(spark):
     df, labels, known = _labelled(spark)
     got = {r.doc_id: r for r in quality_classifier.score(clashing(df), labels).collect()}
-    assert sum(got[i].kept == bool(q) for i, q, _ in known) / len(known) > 0.97
+    held = [(r.kept, q) for i, q, _ in known if (r := got[i]).held_out]
+    assert len(got) == 602 and len(held) > 60 and sum(kept == bool(q) for kept, q in held) / len(held) > 0.97
     plain = quality_classifier.score(df.select("doc_id", "text"), labels.limit(0)).collect()
-    assert all(r.score == 0.5 and r.kept for r in plain)
+    assert len(plain) == 603 and all(r.score == 0.5 and r.kept for r in plain)
 
 
 def test_quality_reads_whole_texts():
-    text = ("x" + "Y") * 3000 + "É" * 10  # every third character of 6,010 looks otherwise
-    upper = next(k for k in quality_classifier.metadata_view(text, None, None, None) if k.startswith("upper "))
-    assert upper == f"upper {int(math.log2(1 + 3010 / 6010 * 64))}" and quality_classifier.n_upper(text) == 3010
-    assert "upper 5" in quality_classifier.metadata_view("Xyyy" * 1000 + "X" * 4000, None, None, None)
+    text = ("x" + "Y") * 3000 + "É" * 10
+    assert quality_classifier.n_upper(text) == 3010
     assert quality_classifier.shape("aA0-aA0-aA0-aA0-") == "aA0-" * 4 and quality_classifier.shape("ßÉé!!12") == "aAa!0"
     signs = [chr(c) for c in range(0x2190, 0x2190 + 60)]
     view = quality_classifier.text_view(" ".join(s for s in signs for _ in range(2)) + " ~|~")
     assert sum(k.startswith("shape ") for k in view) == 61
-
-
-def test_quality_pool_has_no_labels(spark, monkeypatch):
-    df, labels, known = _labelled(spark)
-    seen = {}
-    co_train = quality_classifier.co_train
-    monkeypatch.setattr(quality_classifier, "co_train", lambda rows, pool: seen.update(pool=pool) or co_train(rows, pool))
-    quality_classifier.score(df.filter("doc_id < 1000"), labels)
-    assert seen["pool"] == []
-    quality_classifier.score(df, labels.filter("doc_id >= 200"))
-    assert len(seen["pool"]) == 203  # 200 documents, one of them twice, and two of no words
+    assert {"upper 0", "upper 2"} <= quality_classifier.text_view("Xy" * 9000 + "X" * 4000) | quality_classifier.text_view("yyyy" * 9000 + "X" * 9000)
+
+
+def test_quality_views_are_separate():
+    assert not quality_classifier.metadata_view("a", "en", 5) & quality_classifier.text_view("some text " * 9)
+    assert quality_classifier.metadata_view(None, None, None) and quality_classifier.text_view(None) == {"empty"} == quality_classifier.text_view(" \n")
+
+
+def test_quality_sums_against_brute_force(spark):
+    """The sums of a round, over all rows: training labels for both views, and of unlabelled rows those the other view is sure of."""
+    df, labels, _ = _labelled(spark)
+    rows = quality_classifier.tokens(df, labels.filter("doc_id >= 200")).collect()
+    models, _ = quality_classifier.co_train(quality_classifier.tokens(df, labels.filter("doc_id >= 200")), rounds=0)
+    shared = type("Shared", (), {"value": models})
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({c: pa.array([r[c] for r in rows], t) for c, t in (("t", pa.binary()), ("m", pa.binary()), ("y", pa.int32()), ("fold", pa.int32()))})
+    got = Counter()
+    for part in (batch.slice(0, 250), batch.slice(250)):
+        for out in quality_classifier._tally(shared)(iter([part])):
+            for r in out.to_pylist():
+                for k, c in enumerate(("l0", "l1", "p0", "p1")):
+                    got[r["view"], r["token"], k] += r[c]
+    want, sure = Counter(), 0
+    for r in rows:
+        for v, own in ((0, r.t), (1, r.m)):
+            p = 1 / (1 + math.exp(-models[1 - v].logit([r.m if v == 0 else r.t])[0]))
+            k = r.y if r.fold == quality_classifier.TRAIN else None if r.fold is not None else 3 if p >= quality_classifier.SURE else 2 if p <= 1 - quality_classifier.SURE else None
+            if k is not None:
+                sure += k > 1
+                for token in (quality_classifier.TOKENS, *memoryview(own).cast("H")):
+                    want[v, token, k] += 1
+    assert +got == want and sure > 100 and {r.fold for r in rows} == {None, 0, 1, 2}
+    assert sum(r.fold is None for r in rows) == 203
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a="</p><p>no";</script><style>p{}</style></head>
