@@ -498,6 +498,46 @@ def test_html_templates(spark):
         html_extract.BROADCAST_TOKENS = old
 
 
+def _pages(kind):
+    """A host of 12 pages: a fixed line, a menu that no tag names, and an advert."""
+    body = lambda i: (
+        f"<div class='x1'><p><a href='/{i}'>Where to go {i}</a></p></div>%s<h1>Title {i}</h1><p>Body number {i} of the page, long enough.</p><p>Read more every day</p>%s"
+        f"<div class='ad'><p>Buy thing {i}</p></div>"
+    )
+    ends = ("<article>", "</article>") if kind == "article" else ("<div>", "</div>")
+    return [(i, f"http://h.example/{i}", "<html><body>" + body(i) % ends + "</body></html>") for i in range(12)]
+
+
+@pytest.mark.parametrize("kind", ["article", "plain"])
+def test_html_template_decides(spark, kind):
+    pages = _pages(kind)
+    df = spark.createDataFrame([*pages, pages[3], (None, *pages[4][1:])], "page_id long, url string, html string")
+    want = {i: f"Title {i}\n\nBody number {i} of the page, long enough." for i in range(12)}
+    got = [(r.page_id, r.text) for r in html_extract.extract(df).collect()]
+    assert sorted(got, key=str) == sorted([*want.items(), (3, want[3]), (None, want[4])], key=str)
+    alone = {i: html_extract.main_text(html_extract.parse(p), {}) for i, _, p in pages}
+    assert all("Read more every day" in t for t in alone.values()) and (kind == "article" or "Where to go" in alone[2])
+
+
+def test_html_articles_that_repeat_stay(spark):
+    """Articles that most pages of a host share are larger than furniture: they stay."""
+    pages = [(i, f"http://h.example/{i}", f"<article><p>{'The same long story. ' * 20}</p></article><p>{i}</p>") for i in range(8)]
+    got = html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r.text for r in got} == {("The same long story. " * 20).strip()}
+
+
+def test_html_classes_nest():
+    top = [(10 + i, 1, p, p) for i, p in enumerate((0.0, 10.0, 20.0))]  # three tokens of one class
+    within = [(20, 2, 11.0, 15.0), (21, 2, 12.0, 19.0)]
+    found = html_extract.nested([*top, *within, (30, 3, 5.0, 14.0)])
+    assert found == {10: (1, 0, -1), 11: (1, 1, -1), 12: (1, 2, -1), 20: (2, 0, 11), 21: (2, 1, 11)}  # the last crosses a token of the first
+
+
+def test_html_long_page():
+    words = " ".join(f"w{i}" for i in range(200_000))
+    assert html_extract.main_text(html_extract.parse(f"<nav>x</nav><article><p>{words}<p>end</article>"), {}) == f"{words}\n\nend"
+
+
 def test_empty_tables(spark, empty):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     path, pattern, _, _ = _tiktoken()

@@ -1,27 +1,38 @@
 """Main text of web pages by equivalence-class template deduction.
 
-A page is a sequence of tokens: tags, told apart by their path and class, and blocks of text,
-told apart by their path. Over the pages of a host each token has an occurrence vector (how
-often it occurs on each page). Tokens with equal vectors form a class; a class that enough
-pages of the host hold and whose tokens keep their order on a page is valid there, and the
-valid classes, nested by where they begin and end, are the page's template. Text between
-template tokens lies in a slot. A slot belongs to the main text unless its place in the
-template is a menu, header, footer, sidebar, notice, advert, form or reader comment; blocks
-that are themselves template tokens outside the article are boilerplate.
+A page is a sequence of tokens: tags that open or close and blocks of text, told apart by their
+path, which has the tags' class names. Over the distinct pages of a host each token
+has an occurrence vector (how often it occurs on each page). Tokens with equal vectors form a
+class. Classes that at least ``SHARE`` of the pages hold are ordered by where their tokens stand;
+a class whose span crosses another's without lying inside it or in one gap of it is invalid, and
+each valid one is nested in the gap of the smallest class around it. That is the host's
+template. On a page, a class whose tokens do not stand in the template's order is invalid there.
+
+The gap after a tag of the template is a slot. What the slots of all pages hold says what each is
+for: a slot most of whose text lies in a menu, header, footer, sidebar, notice, advert, form or
+reader comment (tags and class names label it so), or that lies outside articles and holds
+almost only links over the host's pages, is not main text. Text that is itself a token
+of the template is furniture of the site, inside articles too, unless it is the larger part of
+a page's article. The rest of the text in slots is the main text. Text in parts that the template
+does not have, and pages of hosts with fewer than ``LEAST_PAGES`` distinct pages, which give no
+template, go by the labels of their own tags alone.
 
 Vectors are compared by their supports and 62-bit sums of hashes, so no list of pages is ever
 gathered; a host's template holds tokens of at least ``SHARE`` of its pages, so it is no
 larger than a page. Templates are broadcast if they have at most ``BROADCAST_TOKENS`` tokens
 in all, else joined to salted pages.
 
-Defined results. Null or empty html gives an empty text. A null url is a host of its own.
-Rows that repeat are repeated. An empty table gives an empty one. Other columns are not read.
+Defined results. Null or empty html gives an empty text. A null url is a host of its own; a null
+page_id is carried along. Rows that repeat are repeated, and count once in a template. Pages of
+any length are read whole. An empty table gives an empty one. Other columns are not read,
+whatever their names.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,7 +40,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import store
 
-SHARE, LEAST_PAGES = 0.8, 3
+SHARE, LEAST_PAGES = 0.8, 4
+LINKED = 0.9
 BROADCAST_TOKENS = 100_000
 SALTS = 16
 
@@ -41,6 +53,7 @@ _token = re.compile(
 )
 _named = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _name_parts = re.compile(r"[a-z]+")
+_number = re.compile(r"[0-9]+")
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br rp rt ruby td th".split())
@@ -80,12 +93,15 @@ def _outside(tag: str, attributes: str) -> bool:
 
 
 def parse(page: str | None):
-    """Tokens in page order: ("tag", path, names, None, ...) and ("text", path, block, flags)."""
+    """Tokens in page order: ("open" or "close", path, "") and ("text", path, block, region, barred, share in links)."""
     out, stack, text, at = [], [], [], 0
     page = page or ""
+    linked = 0
 
     def flush():
+        nonlocal linked
         if text:
+            whole = sum(map(len, text))
             block = " ".join(entities.unescape("".join(text)).split())
             text.clear()
             if block:
@@ -94,24 +110,36 @@ def parse(page: str | None):
                 barred = [x[0] for x in stack[inner + 1 if inner is not None else 0 :] if x[1]]
                 if inner is not None and barred and set(barred) == {"header"} and not HEADINGS.isdisjoint(tags):
                     barred = []  # the article's own title
-                path = "/".join(t for t in tags if t not in INLINE)
-                out.append(("text", path, block, "article" if inner is not None and "article" in tags[: inner + 1] else "main" if inner is not None else "", bool(barred)))
+                region = "article" if inner is not None and "article" in tags[: inner + 1] else "main" if inner is not None else ""
+                out.append(("text", stack[-1][2] if stack else "", block, region, bool(barred), linked / whole))
+            linked = 0
+
+    def drop(i):
+        """Close everything from the i-th open tag on."""
+        out.extend(("close", x[2], x[3]) for x in reversed(stack[i:]) if x[3] is not None)
+        del stack[i:]
 
     def close(names, stops=STOPS):
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] in names:
-                del stack[i:]
+                drop(i)
                 return
             if stack[i][0] in stops:
                 return
 
+    def put(piece):
+        nonlocal linked
+        text.append(piece)
+        if any(x[0] == "a" for x in stack):
+            linked += len(piece)
+
     for m in _token.finditer(page):
         if m.start() > at:
-            text.append(page[at : m.start()])
+            put(page[at : m.start()])
         at = m.end()
         if m[3] is None:
             if m[0].startswith("<![CDATA["):
-                text.append(m[0][9:].removesuffix("]]>"))
+                put(m[0][9:].removesuffix("]]>"))
             elif m[1]:
                 text.append(" ")
             continue
@@ -134,13 +162,19 @@ def parse(page: str | None):
             close(SAME[tag], frozenset({"ul", "ol", "dl", "table"}))
         if tag in VOID or m[4].rstrip().endswith("/") and tag in INLINE:
             continue
-        stack.append((tag, _outside(tag, m[4])))
-        if tag not in INLINE:
-            names = " ".join(sorted((x[2] or x[3] or x[4] or "") for x in _named.finditer(m[4]))) if m[4] else ""
-            out.append(("tag", "/".join(x[0] for x in stack if x[0] not in INLINE), names))
+        above = stack[-1][2] if stack else ""
+        if tag in INLINE:
+            stack.append((tag, _outside(tag, m[4]), above, None))
+            continue
+        names = " ".join(sorted((x[2] or x[3] or x[4] or "") for x in _named.finditer(m[4]))) if m[4] else ""
+        own = f"{tag}.{_number.sub('0', names)}" if names else tag  # numbers differ from page to page
+        path = f"{above}/{own}" if above else own
+        stack.append((tag, _outside(tag, m[4]), path, ""))
+        out.append(("open", path, ""))
     if at < len(page):
-        text.append(page[at:])
+        put(page[at:])
     flush()
+    drop(0)
     return out
 
 
@@ -150,60 +184,119 @@ def token_key(token) -> int:
     return xxhash.xxh3_64_intdigest("\0".join(token[:3]).encode("utf-8", "surrogatepass")) - 2**63
 
 
-def main_text(tokens: list, template: dict[int, tuple[int, float]]) -> str:
-    """Blocks of the slots that hold the article. ``template``: token -> (class, order)."""
+def nested(tokens: list[tuple[int, int, float, float]]) -> dict[int, tuple[int, int, int]]:
+    """The template of (token, class, first, last place) as token -> (class, order in the class, gap):
+    valid classes only, each nested in a gap (token) of the smallest class around it, -1 at the top."""
+    classes: dict[int, list] = {}
+    for token, name, first, last in tokens:
+        classes.setdefault(name, []).append((first, last, token))
+    for members in classes.values():
+        members.sort()
+    starts = {name: [x[0] for x in m] for name, m in classes.items()}
+    span = {name: (m[0][0], max(x[1] for x in m)) for name, m in classes.items()}
+    valid: list[int] = []
+    gap_of: dict[int, int] = {}
+    for name in sorted(classes, key=lambda c: (-len(classes[c]), span[c], c)):  # larger classes first
+        lo, hi = span[name]
+        around, crossed = [], False
+        for other in valid:
+            a, b = span[other]
+            if hi < a or lo > b:
+                continue
+            k = bisect_right(starts[other], lo) - 1
+            if k >= 0 and (k + 1 == len(starts[other]) or hi <= starts[other][k + 1]):
+                around.append((b - a, other, classes[other][k][2]))
+            elif not (lo <= a and b <= hi):
+                crossed = True  # neither in one gap of it, nor around it, nor beside it
+                break
+        if not crossed:
+            valid.append(name)
+            gap_of[name] = min(around)[2] if around else -1
+    return {token: (name, k, gap_of[name]) for name in valid for k, (_, _, token) in enumerate(classes[name])}
+
+
+def main_text(tokens: list, template: dict[int, tuple]) -> str:
+    """Blocks of the slots that hold the article. ``template``: token -> (class, order, gap, kind) with
+    kind 0 for a tag before a slot of main text, 1 for a tag before another slot, 2 for text."""
     keys = [token_key(t) for t in tokens] if template else []
-    # a class is valid on this page if its tokens occur here in its order
-    last: dict[int, float] = {}
+    last: dict[int, int] = {}
     invalid, seen = set(), set()
     for k in keys:
         if k in template and k not in seen:
             seen.add(k)
-            name, order = template[k]
-            if order < last.get(name, -1.0):
+            name, order = template[k][:2]
+            if order < last.get(name, -1):
                 invalid.add(name)
-            last[name] = max(order, last.get(name, -1.0))
-    texts = [(i, t) for i, t in enumerate(tokens) if t[0] == "text"]
-    regions = {t[3] for _, t in texts if not t[4]}
-    region = next((r for r in ("article", "main") if r in regions), "")
-    blocks = []
-    for i, t in texts:
-        if t[4] or (region and t[3] != region):
-            continue
-        if not t[3] and template and keys[i] in template and template[keys[i]][0] not in invalid:
-            continue  # fixed text of the template outside any article
-        blocks.append(t[2])
-    return "\n\n".join(blocks)
+            last[name] = max(order, last.get(name, -1))
+    for k in seen:  # what is nested in a gap of an invalid class is no part of this page's template
+        gap, steps = template[k][2], 0
+        while gap in template and steps < 64:
+            if template[gap][0] in invalid:
+                invalid.add(template[k][0])
+                break
+            gap, steps = template[gap][2], steps + 1
+    known = lambda k: template[k][3] if k in template and template[k][0] not in invalid else None
+    blocks, slot = [], None
+    for i, t in enumerate(tokens):
+        if t[0] != "text":
+            slot = known(keys[i]) if keys else None
+        elif not t[4] and slot != 1:
+            blocks.append((t[3], t[2], bool(keys) and known(keys[i]) == 2))
+    region = next((r for r in ("article", "main") if any(b[0] == r for b in blocks)), "")
+    blocks = [b for b in blocks if not region or b[0] == region]
+    fixed = sum(len(b[1]) for b in blocks if b[2])
+    if not region or 2 * fixed <= sum(len(b[1]) for b in blocks):
+        blocks = [b for b in blocks if not b[2]]
+    return "\n\n".join(b[1] for b in blocks)
+
+
+_FOUND = pa.schema([("host", pa.string()), ("page", pa.int64()), ("token", pa.int64()), ("text", pa.bool_()), ("n", pa.int32()), ("first", pa.int32()), ("last", pa.int32()), ("chars", pa.int64()), ("barred", pa.int64()), ("links", pa.int64())])
 
 
 def _tokens(batches):
+    """A row for each token of a page: its kind, count and places, and the text in the slot after it."""
     for batch in batches:
         for at in range(0, batch.num_rows, 64):
             part = batch.slice(at, 64)
-            out = {"host": [], "page": [], "token": [], "n": [], "first": []}
-            for i, (url, page) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)):
-                host, number = host_of(url), part.column(0)[i].as_py()
-                found: dict[int, list] = {}
-                for p, t in enumerate(parse(page)):
-                    if t[0] == "text" and t[3]:
-                        continue  # text of an article is no template
-                    k = found.setdefault(token_key(t), [0, p])
-                    k[0] += 1
-                found[-1] = [1, 0]  # counts the host's pages
-                for k, (n, p) in found.items():
-                    for c, v in (("host", host), ("page", number), ("token", k), ("n", n), ("first", p)):
-                        out[c].append(v)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("host", pa.string()), ("page", pa.int64()), ("token", pa.int64()), ("n", pa.int32()), ("first", pa.int32())]))
+            rows = []
+            for page, url, text in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+                host, found, slot = host_of(url), {}, None
+                found[-1] = [host, page, -1, False, 1, 0, 0, 0, 0, 0]  # counts the host's pages
+                for place, t in enumerate(parse(text)):
+                    k = token_key(t)
+                    row = found.setdefault(k, [host, page, k, t[0] == "text", 0, place, 0, 0, 0, 0])
+                    row[4] += 1
+                    row[6] = place
+                    if t[0] != "text":
+                        slot = row
+                    elif slot is not None:
+                        n = len(t[2])
+                        slot[7] += n
+                        slot[8] += n if t[4] else 0
+                        slot[9] += 0 if t[3] or t[5] < LINKED else n
+                rows.extend(found.values())
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _FOUND, strict=True)], schema=_FOUND)
+
+
+def _nest(group):
+    rows = group.to_pylist()
+    kind = {r["token"]: 2 if r["text"] else int(2 * r["barred"] > r["chars"] or (r["chars"] > 0 and r["links"] >= LINKED * r["chars"])) for r in rows}
+    found = nested([(r["token"], r["class"], r["first"], r["last"]) for r in rows])
+    out = {"host": [rows[0]["host"]] * len(found), "token": list(found), **{c: [x[i] for x in found.values()] for i, c in enumerate(("class", "nth", "gap"))}, "kind": [kind[t] for t in found]}
+    return pa.table(out, schema=pa.schema([("host", pa.string()), ("token", pa.int64()), ("class", pa.int64()), ("nth", pa.int32()), ("gap", pa.int64()), ("kind", pa.int32())]))
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, token, class, order) of the classes that at least SHARE of a host's pages hold. ``pages``: page, url, html."""
-    rows = pages.mapInArrow(_tokens, "host string, page long, token long, n int, first int")
+    """(host, token, class, nth, gap, kind) of every host's template. ``pages``: page, url, html; equal ``page`` numbers are copies."""
+    rows = pages.mapInArrow(_tokens, "host string, page long, token long, text boolean, n int, first int, last int, chars long, barred long, links long")
+    once = rows.groupBy("host", "token", "page").agg(*[F.first(c).alias(c) for c in ("text", "n", "first", "last", "chars", "barred", "links")])
     part = lambda seed: F.sum(F.pmod(F.xxhash64(F.lit(seed), "page", "n"), F.lit(2**31 - 1)))
-    vectors = store(rows.groupBy("host", "token").agg(F.count("*").alias("pages"), part(1).alias("v1"), part(2).alias("v2"), F.avg("first").alias("order")))
+    sums = [F.sum(c).alias(c) for c in ("chars", "barred", "links")]
+    vectors = store(once.groupBy("host", "token").agg(F.count("*").alias("pages"), part(1).alias("v1"), part(2).alias("v2"), F.first("text").alias("text"), F.avg("first").alias("first"), F.avg("last").alias("last"), *sums))
     totals = vectors.filter("token = -1").select("host", F.col("pages").alias("all_pages"))
     held = vectors.filter("token <> -1").filter(F.col("pages") >= LEAST_PAGES).join(totals, "host").filter(F.col("pages") >= SHARE * F.col("all_pages"))
-    return held.select("host", "token", F.xxhash64("pages", "v1", "v2").alias("class"), "order")
+    held = held.select("host", "token", F.xxhash64("pages", "v1", "v2").alias("class"), "text", "first", "last", "chars", "barred", "links")
+    return held.groupBy("host").applyInArrow(_nest, "host string, token long, class long, nth int, gap long, kind int")
 
 
 def _extract(shared):
@@ -215,7 +308,7 @@ def _extract(shared):
                 out = []
                 own = part.column(3).to_pylist() if known is None else [None] * part.num_rows
                 for url, page, rows in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), own, strict=True):
-                    t = known.get(host_of(url), {}) if known is not None else {r["token"]: (r["class"], r["order"]) for r in rows or ()}
+                    t = known.get(host_of(url), {}) if known is not None else {r["token"]: (r["class"], r["nth"], r["gap"], r["kind"]) for r in rows or ()}
                     out.append(main_text(parse(page), t))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.string())], ["id", "url", "text"])
 
@@ -226,17 +319,17 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """id, url, text for every page."""
     spark = pages.sparkSession
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    found = store(templates(rows.select(F.xxhash64("id", "url").alias("page"), "url", "html")))
+    found = store(templates(rows.select(F.xxhash64("html").alias("page"), "url", "html")))
     if found.count() <= BROADCAST_TOKENS:
         known: dict[str, dict] = {}
         for r in found.collect():  # at most BROADCAST_TOKENS rows
-            known.setdefault(r["host"], {})[r["token"]] = (r["class"], r["order"])
+            known.setdefault(r["host"], {})[r["token"]] = (r["class"], r["nth"], r["gap"], r["kind"])
         out = rows.mapInArrow(_extract(spark.sparkContext.broadcast(known)), "id long, url string, text string")
     else:
         host = F.lower(F.coalesce(F.regexp_extract("url", r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]+)", 1), F.lit("")))
-        by_host = found.groupBy("host").agg(F.collect_list(F.struct("token", "class", "order")).alias("template"))
+        by_host = found.groupBy("host").agg(F.collect_list(F.struct("token", "class", "nth", "gap", "kind")).alias("template"))
         by_host = by_host.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salted = rows.withColumn("host", host).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+        salted = rows.withColumn("host", host).withColumn("salt", F.pmod(F.xxhash64("html"), F.lit(SALTS)).cast("int"))
         joined = salted.join(by_host, ["host", "salt"], "left").select("id", "url", "html", "template")
         out = joined.mapInArrow(_extract(None), "id long, url string, text string")
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text")
