@@ -6,7 +6,8 @@ import pytest
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"minhash_signature", "lsh_candidates", "near_dup_pairs"}  # run by the driver
+SLOW = {"minhash_signature", "lsh_candidates", "near_dup_pairs", "near_dup_groups"}  # run by the driver
+EMPTY = {"rank_topics", "rank_topics_3_windows", "score_breakdown", "urgency", "explain_rank", "top_filtered", "snapshot_metrics"}  # too few documents for a topic here, rows at sf0.01
 
 
 def _plain(v):
@@ -45,4 +46,5 @@ def test_oracle(spark, duck, name):
     assert sorted(df.columns) == sorted(want.columns)
     at = [want.columns.index(c) for c in df.columns]
     ours = sorted(str([_plain(v) for v in r]) for r in df.collect())
+    assert ours or name in EMPTY
     assert ours == sorted(str([_plain(r[i]) for i in at]) for r in want.fetchall())

@@ -46,22 +46,24 @@ def candidate_matches(new: DataFrame, old: DataFrame, threshold: float, max_old:
     return pairs.select("new_id", "old_id", vectors.cosine(F.col("a"), F.col("b")).alias("similarity"))
 
 
-def reconcile(new: DataFrame, old: DataFrame, config: ClusterConfig | None = None, max_rounds: int = 1000) -> DataFrame:
+def reconcile(new: DataFrame, old: DataFrame, config: ClusterConfig | None = None) -> DataFrame:
     """(new_id, old_id, similarity): greedy matching, best pair first. A pair that is the best left
     for both of its ends is the one the greedy order would take, so all such pairs are taken at
-    once, round by round; the rows are clusters, so a round is small."""
+    once, round by round until none is left; the rows are clusters, so a round is small."""
     c = config or ClusterConfig()
-    left = candidate_matches(new, old, c.reconcile_threshold).cache()
+    left = _cut(candidate_matches(new, old, c.reconcile_threshold))
     taken = None
-    for _ in range(max_rounds):
+    while True:
         key = F.struct("similarity", "new_id", "old_id")
         by_new = left.groupBy("new_id").agg(F.max(key).alias("k"))
         by_old = left.groupBy("old_id").agg(F.max(key).alias("k"))
-        mutual = by_new.join(by_old, "k").select("k.new_id", "k.old_id", "k.similarity").cache()
+        mutual = by_new.join(by_old, "k").select("k.new_id", "k.old_id", "k.similarity")
+        mutual = _cut(mutual)
         if mutual.isEmpty():
             break
         taken = mutual if taken is None else taken.unionByName(mutual)
-        left = left.join(mutual.select("new_id"), "new_id", "left_anti").join(mutual.select("old_id"), "old_id", "left_anti").cache()
+        left = left.join(mutual.select("new_id"), "new_id", "left_anti").join(mutual.select("old_id"), "old_id", "left_anti")
+        left = _cut(left)
     return taken if taken is not None else left
 
 
@@ -76,8 +78,11 @@ def assign_online(docs: DataFrame, cents: DataFrame, config: ClusterConfig | Non
     c = config or ClusterConfig()
     if cents.limit(max_clusters + 1).count() > max_clusters:
         raise ValueError(f"more than {max_clusters} clusters to assign to: raise max_clusters")
-    pairs = docs.select("doc_id", vectors.normalised(F.col("embedding")).alias("e")).join(F.broadcast(cents.select("cluster_id", "centroid")))
-    best = pairs.groupBy("doc_id").agg(F.max(F.struct(vectors.dot(F.col("e"), F.col("centroid")).alias("s"), (-F.col("cluster_id")).alias("c"))).alias("b"))
+    # all centroids are one row, so documents are neither multiplied nor shuffled
+    one = cents.agg(F.collect_list(F.struct("cluster_id", "centroid")).alias("all"))
+    rows = docs.select("doc_id", vectors.normalised(F.col("embedding")).alias("e")).join(F.broadcast(one)).filter(F.size("all") > 0)
+    near = F.transform("all", lambda c: F.struct(vectors.dot(F.col("e"), c["centroid"]).alias("s"), (-c["cluster_id"]).alias("c")))
+    best = rows.select("doc_id", F.array_max(near).alias("b"))
     strength = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("b.s")))
     return best.select("doc_id", (-F.col("b.c")).alias("cluster_id"), strength.alias("strength"), (strength > c.assignment_threshold).alias("assigned"))
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -65,6 +67,11 @@ def stem(token: Column) -> Column:
     return F.regexp_replace(token, f"^(.{{3,}}?)(?:{endings})$", "$1")
 
 
+def stem_of(token: str) -> str:
+    """``stem`` of a constant."""
+    return re.sub(f"^(.{{3,}}?)(?:{'|'.join(dict.fromkeys(ENDINGS))})$", r"\1", token)
+
+
 def stems(text: Column, keep: Column | None = None) -> Column:
     tokens = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([0-9a-zа-яё]+)"), F.lit(1))
     return F.transform(tokens, stem)
@@ -74,26 +81,25 @@ def classify(df: DataFrame, taxonomy: Mapping[str, tuple[str, tuple[str, ...]]],
     """id, category, category_label, category_confidence, secondary_category, hits.
 
     ``taxonomy``: key -> (label, keywords), with a key "other". Keywords are matched as runs of
-    stems. The keyword table is a constant of the plan: token positions meet it in a broadcast
-    join, then hits are added by category; a document without hits is "other", certainly."""
-    spark = df.sparkSession
-    flat = [(k, label, w) for k, (label, words) in taxonomy.items() for w in words]
-    kw = spark.createDataFrame(flat, "category string, category_label string, keyword string").withColumn("kw", stems(F.col("keyword"))).filter(F.size("kw") > 0)
-    kw = kw.select("category", "category_label", F.array_join("kw", " ").alias("gram"), F.size("kw").alias("width"))
-    widths = sorted({len(w.split()) for _, _, w in flat} | {1})
-    toks = df.select(id_col, stems(F.col(text_col)).alias("toks"))
-    def runs(w: int) -> Column:
-        starts = F.sequence(F.lit(1), F.size("toks") - (w - 1))
-        return F.when(F.size("toks") >= w, F.transform(starts, lambda i: F.array_join(F.slice("toks", i, w), " "))).otherwise(F.array().cast("array<string>"))
-
-    grams = F.flatten(F.array(*map(runs, widths)))
-    hits = toks.select(id_col, F.explode(grams).alias("gram")).join(F.broadcast(kw), "gram").groupBy(id_col, "category", "category_label").agg(F.count("*").alias("hits"))
-    ranked = hits.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct((-F.col("hits")).alias("h"), "category", "category_label"))).alias("r"))
-    first, second = F.col("r")[0], F.get("r", F.lit(1))
+    stems and are constants of the plan: hits are counted within the row, so there is no explode,
+    join or shuffle. A document without hits is "other", certainly."""
+
+    def count(gram: tuple[str, ...]) -> Column:
+        at = lambda t, i: reduce(lambda a, b: a & b, [t == gram[0], *(F.get(F.col("_toks"), i + j) == g for j, g in enumerate(gram[1:], 1))])
+        return F.size(F.filter("_toks", lambda t, i: F.coalesce(at(t, i), F.lit(False))))
+
+    def hits(words: tuple[str, ...]) -> Column:
+        grams = [g for w in words if (g := tuple(map(stem_of, re.findall("[0-9a-zа-яё]+", w.lower()))))]
+        single = [g[0] for g in grams if len(g) == 1]
+        parts = [F.size(F.filter("_toks", lambda t: t.isin(*set(single))))] if len(set(single)) == len(single) > 0 else [count((g,)) for g in single]
+        return reduce(lambda a, b: a + b, [*parts, *(count(g) for g in grams if len(g) > 1)], F.lit(0))
+
+    found = [F.struct((-hits(words)).cast("long").alias("h"), F.lit(k).alias("category"), F.lit(label).alias("category_label")) for k, (label, words) in taxonomy.items() if words]
+    ranked = df.select(id_col, stems(F.col(text_col)).alias("_toks")).select(id_col, F.sort_array(F.filter(F.array(*found), lambda x: x["h"] < 0)).alias("r"))
+    first, second = F.get("r", F.lit(0)), F.get("r", F.lit(1))
     top = -first["h"]
     other = taxonomy["other"][0]
-    rows = df.select(id_col).join(ranked, id_col, "left")
-    return rows.select(
+    return ranked.select(
         id_col,
         F.coalesce(first["category"], F.lit("other")).alias("category"),
         F.coalesce(first["category_label"], F.lit(other)).alias("category_label"),

@@ -65,11 +65,10 @@ FILTERED = f"""f AS (SELECT doc_id, doc_id % 10 = 0 AS official, {TEXT} AS t FRO
 STEMS = """s AS (SELECT doc_id, list_transform(regexp_extract_all(lower(coalesce(text, '')), '[0-9a-zа-яё]+'), lambda w: regexp_replace(w,
  '^(.{3,}?)(?:иями|ями|ами|иях|его|ому|ыми|ими|ого|ему|ах|ях|ий|ый|ой|ая|яя|ое|ее|ые|ие|ам|ям|ом|ем|ов|ев|ую|юю|ей|а|я|ы|и|у|ю|е|о|ь)$', '\\1')) AS toks FROM documents)"""
 
-PART = "p AS (SELECT p_partkey AS doc_id, concat_ws(' ', p_name, p_type, p_brand) AS text FROM part)"
-SHINGLED = f"""{PART}, n AS (SELECT doc_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t FROM p),
- firsts AS (SELECT min(doc_id) AS doc_id, any_value(t) AS t FROM n JOIN p USING (doc_id) GROUP BY text),
- sh AS (SELECT doc_id, CASE WHEN length(t) <= 5 THEN [t] ELSE list_distinct(list_transform(range(1, length(t) - 3), lambda i: substr(t, i, 5))) END AS s FROM {{src}})"""
-SIGNED = ", u AS (SELECT doc_id, unnest(s) AS x FROM sh), sg AS (SELECT doc_id, k, min(substr(sha256(concat(k, ':', x)), 1, 16)) AS m FROM u CROSS JOIN (SELECT unnest(range(64)) AS k) GROUP BY ALL)"
+SHINGLED = """n AS (SELECT doc_id, trim(regexp_replace(replace(lower(coalesce(text, '')), 'ß', 'ss'), '[\\s\\x1c-\\x1f]+', ' ', 'g')) AS t FROM documents),
+ firsts AS (SELECT min(d.doc_id) AS doc_id, any_value(t) AS t FROM n JOIN documents d USING (doc_id) GROUP BY coalesce(text, '')),
+ sh AS (SELECT doc_id, CASE WHEN length(t) <= 5 THEN [t] ELSE list_distinct(list_transform(range(1, length(t) - 3), lambda i: substr(t, i, 5))) END AS s FROM {src})"""
+SIGNED = ", sg AS (SELECT doc_id, k, list_min(list_transform(s, lambda x: substr(sha256(concat(k, ':', x)), 1, 16))) AS m FROM sh CROSS JOIN (SELECT unnest(range(64)) AS k))"
 BANDED = ", bk AS (SELECT doc_id, k // 4 AS band, string_agg(m, '' ORDER BY k) AS bucket FROM sg GROUP BY ALL), cand AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM bk x JOIN bk y USING (band, bucket) WHERE x.doc_id < y.doc_id)"
 THRESHOLD = DedupConfig().threshold
 PAIRS = f""", pairs AS (SELECT a, b, len(list_intersect(x.s, y.s)) / (len(x.s) + len(y.s) - len(list_intersect(x.s, y.s))) AS similarity FROM cand JOIN sh x ON x.doc_id = a JOIN sh y ON y.doc_id = b),
@@ -91,7 +90,62 @@ ONLINE = f"""WITH {UNIT}, {centroid('c', 'doc_id % 2 = 0')},
 
 BASE = "c AS (SELECT c_custkey AS doc_id, c_nationkey * 3.0 AS lat, (c_custkey % 120 - 20)::DOUBLE AS lon FROM customer)"
 
+
+
+def shifted(sql: str, hours: int) -> str:
+    """The same SQL as of some hours earlier."""
+    import datetime as dt
+    import re
+
+    return re.sub(r"TIMESTAMP '([^']+)'", lambda m: f"TIMESTAMP '{dt.datetime.fromisoformat(m[1]) - dt.timedelta(hours=hours)}'", sql)
+
+
+#: Greedy matching, best pair first; ids of pairs taken so far.
+GREEDY = f"""WITH RECURSIVE {UNIT}, {centroid('n')}, {centroid('o', 'doc_id % 2 = 0')},
+ p AS (SELECT n.cluster_id AS new_id, o.cluster_id AS old_id, {DOT.format('n.centroid', 'o.centroid')} AS sim FROM n CROSS JOIN o),
+ q AS (SELECT *, row_number() OVER (ORDER BY sim DESC, new_id DESC, old_id DESC) AS i FROM p WHERE sim >= 0.5),
+ g AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS news, []::BIGINT[] AS olds UNION ALL
+  SELECT q.i, CASE WHEN list_contains(news, new_id) OR list_contains(olds, old_id) THEN news ELSE list_append(news, new_id) END,
+   CASE WHEN list_contains(news, new_id) OR list_contains(olds, old_id) THEN olds ELSE list_append(olds, old_id) END FROM g JOIN q ON q.i = g.i + 1),
+ f AS (SELECT unnest(news) AS new_id, unnest(olds) AS old_id FROM (SELECT * FROM g ORDER BY i DESC LIMIT 1))"""
+#: Least document reachable over near pairs between first documents.
+GROUPS = f"""WITH RECURSIVE {SHINGLED.format(src='firsts')}{SIGNED}{BANDED}{PAIRS}, e AS MATERIALIZED (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
+ r AS (SELECT a AS node, a AS seen FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen), comp AS (SELECT node, min(seen) AS c FROM r GROUP BY node),
+ d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents),
+ m AS (SELECT d.doc_id, text_sha256, coalesce(c, first) AS grp, c IS NOT NULL AS near_duplicate_flag FROM d LEFT JOIN comp ON node = first)"""
+TRIMMED = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+
 ORACLES = {
+    "snapshot_metrics": f"""WITH now_ AS (WITH {RANK} SELECT period_hours, cluster_id, rank, score FROM ranked WHERE rank <= 5), then_ AS (WITH {shifted(RANK, 6)} SELECT period_hours, cluster_id FROM ranked WHERE rank <= 5)
+      SELECT period_hours, round(min(score), 6) AS min_score, round(max(score), 6) AS max_score, round(coalesce(max(score) FILTER (WHERE rank = 1) - max(score) FILTER (WHERE rank = 2), 0.0), 6) AS score_gap,
+       count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM then_ t WHERE t.period_hours = n.period_hours AND t.cluster_id = n.cluster_id))::INTEGER AS new_entries,
+       (SELECT count(*) FROM then_ t WHERE t.period_hours = n.period_hours AND t.cluster_id NOT IN (SELECT x.cluster_id FROM now_ x WHERE x.period_hours = n.period_hours))::INTEGER AS dropped_entries
+      FROM now_ n GROUP BY period_hours""",
+    "reconcile_clusters": GREEDY + " SELECT new_id, old_id, round(sim, 5) AS similarity FROM f JOIN p USING (new_id, old_id)",
+    "near_dup_groups": GROUPS + """ SELECT doc_id, text_sha256, min(doc_id) OVER w AS duplicate_group_id, min(doc_id) OVER w AS canonical_doc_id, count(*) OVER w AS duplicate_cluster_size, near_duplicate_flag FROM m WINDOW w AS (PARTITION BY grp)""",
+    "representative_docs": f"""WITH {UNIT}, {centroid('c')}, s AS (SELECT u.cluster_id, u.doc_id, source AS author, round({DOT.format('e', 'centroid')}, 5) AS sim, rtrim(substr({TRIMMED.format("coalesce(text, '')")}, 1, 500), E' \n\t\r') AS t
+       FROM u JOIN c USING (cluster_id) JOIN documents d ON d.doc_id = u.doc_id),
+      a AS (SELECT *, ceil(length(t) / 4.0)::INTEGER AS tokens, row_number() OVER (PARTITION BY cluster_id, author ORDER BY sim DESC, doc_id) AS n FROM s),
+      r AS (SELECT *, row_number() OVER w AS position, sum(tokens) OVER w AS total, first_value(tokens) OVER w AS f FROM a WHERE n <= 3 WINDOW w AS (PARTITION BY cluster_id ORDER BY sim DESC, doc_id))
+      SELECT cluster_id, doc_id, position::INTEGER AS position, tokens FROM r WHERE CASE WHEN f > 1200 THEN position = 1 ELSE total <= 1200 AND position <= 12 END""",
+    "annotate_language": r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}]+'), lambda w: w != '') AS w FROM documents),
+      l AS (SELECT doc_id, t, length(regexp_replace(t, '[^\p{L}]', '', 'g')) AS letters, length(regexp_replace(t, '[^\p{Cyrillic}]', '', 'g')) AS cyr, [
+       {'n': len(list_filter(w, lambda x: x IN ('the', 'and', 'of', 'to', 'in', 'that', 'is', 'for', 'on', 'with'))), 'l': 'en'},
+       {'n': len(list_filter(w, lambda x: x IN ('der', 'die', 'das', 'und', 'ist', 'nicht', 'von', 'mit', 'den', 'ein'))), 'l': 'de'},
+       {'n': len(list_filter(w, lambda x: x IN ('le', 'la', 'les', 'des', 'et', 'est', 'une', 'pour', 'dans', 'que'))), 'l': 'fr'},
+       {'n': len(list_filter(w, lambda x: x IN ('el', 'los', 'las', 'una', 'que', 'con', 'para', 'por', 'del', 'como'))), 'l': 'es'}] AS c FROM t),
+      b AS (SELECT *, list_max(c) AS best, list_sum(list_transform(c, lambda x: x.n)) AS total FROM l),
+      k AS (SELECT doc_id, CASE WHEN letters = 0 THEN 'unknown' WHEN cyr * 2 > letters THEN 'ru' WHEN total > 0 THEN best.l ELSE 'unknown' END AS language,
+       CASE WHEN letters = 0 THEN 0.0 WHEN cyr * 2 > letters THEN cyr / letters WHEN total > 0 THEN best.n / total ELSE 0.0 END AS conf FROM b)
+      SELECT doc_id, language, round(conf, 6)::DOUBLE AS language_confidence, language IN ('en', 'de', 'fr', 'es') AS is_supported_language FROM k""",
+    "extract_page_links": r"""WITH h AS (SELECT page_id, regexp_extract(url, '^(https?)://([^/?#]+)', 1) AS s, regexp_extract(url, '^(https?)://([^/?#]+)', 2) AS h, regexp_replace(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '[^/]*$', '') AS d,
+       list_transform(regexp_extract_all(coalesce(html, ''), '(?is)<a\b[^>]*?\bhref\s*=\s*["'']([^"'']*)["'']', 1), lambda x: trim(x)) AS a FROM pages),
+      u AS (SELECT page_id, h, list_transform(list_filter(a, lambda x: x != '' AND NOT starts_with(x, '#')), lambda x: CASE WHEN regexp_matches(x, '(?i)^https?://') THEN x WHEN starts_with(x, '//') THEN concat(s, ':', x)
+       WHEN regexp_matches(x, '(?i)^[a-z][a-z0-9+.-]*:') THEN NULL WHEN starts_with(x, '/') THEN concat(s, '://', h, x) ELSE concat(s, '://', h, CASE WHEN d = '' THEN '/' ELSE d END, x) END) AS l FROM h),
+      p AS (SELECT page_id, h, list_transform(list_filter(l, lambda x: x IS NOT NULL), lambda x: regexp_replace(regexp_extract(x, '^([^?#]*)', 1), '/+$', '')) AS l FROM u),
+      o AS (SELECT page_id, list_filter(l, lambda x: contains(regexp_extract(x, '^https?://([^/]+)', 1), h) AND NOT regexp_matches(x, '(?i)\.(?:jpg|jpeg|png|gif|webp|pdf)$')) AS l FROM p),
+      e AS (SELECT page_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM o), f AS (SELECT page_id, x, row_number() OVER (PARTITION BY page_id ORDER BY min(i)) AS n FROM e GROUP BY page_id, x)
+      SELECT page_id, count(*) AS n_links, min(x) AS first_link FROM f WHERE n <= 15 GROUP BY page_id""",
     "rank_topics": f"""WITH {RANK} SELECT period_hours, cluster_id, rank, round(score, 6) AS score, size, weighted_size, unique_authors, unique_sources, reach_total, round(growth_rate, 6) AS growth_rate,
       round(sentiment_score, 6) AS sentiment_score, array_to_string(regions, ',') AS geo_regions, is_new, is_growing FROM ranked WHERE period_hours = 24""",
     "rank_topics_3_windows": f"WITH {RANK} SELECT period_hours, cluster_id, rank, round(score, 6) AS score, size, reach_total FROM ranked",
@@ -152,7 +206,7 @@ ORACLES = {
     "shingle_stats": r"""WITH t AS (SELECT doc_id, trim(regexp_replace(replace(lower(coalesce(text, '')), 'ß', 'ss'), '[\s\x1c-\x1f]+', ' ', 'g')) AS t FROM documents)
       SELECT doc_id, CASE WHEN length(t) <= 5 THEN 1 ELSE len(list_distinct(list_transform(range(1, length(t) - 3), lambda i: substr(t, i, 5)))) END::INTEGER AS n_shingles FROM t""",
     "minhash_signature": f"WITH {SHINGLED.format(src='n')}{SIGNED} SELECT doc_id, sha256(string_agg(m, '' ORDER BY k)) AS signature_sha FROM sg GROUP BY doc_id",
-    "lsh_candidates": f"WITH {SHINGLED.format(src='n')}{SIGNED}{BANDED} SELECT a, b FROM cand",
+    "lsh_candidates": f"WITH {SHINGLED.format(src='firsts')}{SIGNED}{BANDED} SELECT a, b FROM cand",
     "near_dup_pairs": f"WITH {SHINGLED.format(src='firsts')}{SIGNED}{BANDED}{PAIRS} SELECT a, b, round(similarity, 6) AS similarity FROM near",
     "geo_bbox": f"""WITH {BASE} SELECT doc_id, CASE WHEN lat BETWEEN 0 AND 30 AND lon BETWEEN -20 AND 40 THEN 'r0' ELSE 'r1' END AS region_id,
       CASE WHEN lat BETWEEN 0 AND 30 AND lon BETWEEN -20 AND 40 THEN NULL ELSE 'm1' END AS municipality_id, 1.0::DOUBLE AS geo_confidence FROM c WHERE (lat BETWEEN 0 AND 30 AND lon BETWEEN -20 AND 40) OR (lat BETWEEN 20 AND 60 AND lon BETWEEN 0 AND 90)""",
@@ -186,7 +240,7 @@ ORACLES = {
     "sentiment_from_scores": """WITH v AS (SELECT event_id, event_type, (((floor(value * 100)::BIGINT % 64) + 64) % 64) / 64.0 AS v FROM events)
       SELECT event_id, greatest(-1.0, least(1.0, CASE event_type WHEN 'click' THEN (v - (1 - v)) * greatest(0.0, 1 - v * 0.5) WHEN 'view' THEN v - 0.25 WHEN 'error' THEN -v ELSE 0.0 END))::DOUBLE AS sentiment_score FROM v""",
     "documents_page": f"WITH {DOCS} SELECT doc_id, created_at, reach FROM docs WHERE cluster_id = 4 ORDER BY created_at DESC, doc_id DESC LIMIT 25 OFFSET 25",
-    "top_filtered": f"""WITH {RANK}, f AS (SELECT * FROM ranked WHERE period_hours = 72 AND list_contains(regions, 'CHINA') AND cluster_id IN (SELECT cluster_id FROM win WHERE period_hours = 72 AND source_type = 'click') ORDER BY rank LIMIT 5)
+    "top_filtered": f"""WITH {RANK}, f AS (SELECT * FROM ranked WHERE period_hours = 72 AND list_contains(regions, 'NATION_0') AND cluster_id IN (SELECT cluster_id FROM win WHERE period_hours = 72 AND source_type = 'click') ORDER BY rank LIMIT 5)
       SELECT row_number() OVER (ORDER BY rank, cluster_id)::INTEGER AS rank, cluster_id, round(score, 6) AS score FROM f""",
     "pipeline_stats": " UNION ALL ".join(f"SELECT '{t}' AS name, 'table' AS kind, count(*) AS n FROM {t}" for t in ("events", "documents", "embeddings", "labels", "pages", "conversations"))
     + " UNION ALL SELECT event_type, 'source_type', count(*) FROM events GROUP BY event_type",

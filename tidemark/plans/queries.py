@@ -160,24 +160,6 @@ def shingle_stats(spark, sf):
     return A.text_docs(spark, sf).select("doc_id", F.size(dedup.shingles(F.col("text"))).alias("n_shingles"))
 
 
-def _parts(spark, sf):
-    return A.table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text"), F.col("p_partkey").alias("created_at"))
-
-
-def minhash_signature(spark, sf):
-    sig = dedup.signature_udf(64)(dedup.shingles(F.col("text")))
-    return _parts(spark, sf).select("doc_id", F.sha2(F.array_join(sig, ""), 256).alias("signature_sha"))
-
-
-def lsh_candidates(spark, sf):
-    rows = _parts(spark, sf).select("doc_id", dedup.signature_udf(64)(dedup.shingles(F.col("text"))).alias("signature"))
-    return dedup.candidates(dedup.bands(rows, DedupConfig()))
-
-
-def near_dup_pairs(spark, sf):
-    return r6(dedup.near_pairs(_parts(spark, sf)), "similarity")
-
-
 def near_dup_groups(spark, sf):
     return dedup.duplicate_groups(A.text_docs(spark, sf))
 
@@ -187,15 +169,17 @@ def _signed_documents(spark, sf):
     return A.text_docs(spark, sf).select("doc_id", dedup.text_signature(F.col("text"), c.shingle_size, c.permutations).alias("signature"))
 
 
-def minhash_signature_documents(spark, sf):
+def minhash_signature(spark, sf):
     return _signed_documents(spark, sf).select("doc_id", F.sha2(F.array_join("signature", ""), 256).alias("signature_sha"))
 
 
-def lsh_candidates_documents(spark, sf):
-    return dedup.candidates(dedup.bands(_signed_documents(spark, sf), DedupConfig()))
+def lsh_candidates(spark, sf):
+    firsts = dedup.firsts(A.text_docs(spark, sf))  # copies are one document here
+    signed = firsts.select("doc_id", dedup.text_signature(F.col("text"), 5, 64).alias("signature"))
+    return dedup.candidates(dedup.bands(signed, DedupConfig()))
 
 
-def near_dup_pairs_documents(spark, sf):
+def near_dup_pairs(spark, sf):
     return r6(dedup.near_pairs(A.text_docs(spark, sf)), "similarity")
 
 
@@ -339,7 +323,7 @@ def _items(spark, sf):
 
 
 def top_filtered(spark, sf):
-    return r6(serving.top(_items(spark, sf), limit=5, source="click", region="CHINA").select("rank", "cluster_id", "score"), "score")
+    return r6(serving.top(_items(spark, sf), limit=5, source="click", region="NATION_0").select("rank", "cluster_id", "score"), "score")
 
 
 def export_rows(spark, sf):
@@ -424,7 +408,7 @@ QUERIES = {
     for f in (
         rank_topics, rank_topics_3_windows, rank_exclusions, score_breakdown, urgency, explain_rank, topic_timeline_72h, topic_timeline_unweighted, topic_sources, topic_samples, topic_category,
         weighted_sentiment, weighted_growth, snapshot_metrics, author_burst, velocity_flood, bot_timing, history_buckets_6h, latest_snapshot_asof, filter_content, filter_baseline, clean_text, stem_tokens,
-        classify_document, text_fingerprint, exact_dedup_groups, shingle_stats, minhash_signature, lsh_candidates, near_dup_pairs, near_dup_groups, minhash_signature_documents, lsh_candidates_documents, near_dup_pairs_documents, normalize_events_json, extract_page_links, page_article,
+        classify_document, text_fingerprint, exact_dedup_groups, shingle_stats, minhash_signature, lsh_candidates, near_dup_pairs, near_dup_groups, normalize_events_json, extract_page_links, page_article,
         geo_bbox, geo_toponym, geo_priority, nearest_region, cluster_centroids, cluster_cohesion, cluster_metrics, cluster_enrichment, reconcile_clusters, batch_cosine_stats, online_assign, buffered_candidates,
         unassigned_docs, density_clusters, representative_docs, chunk_windows, sentiment_from_scores, documents_page, top_filtered, export_rows, pipeline_stats, health_status, table_metrics, documents_with_ml,
         latest_upsert, official_documents, parse_summary, validate_summary, passage_text, annotate_language, source_urls,
