@@ -143,8 +143,8 @@ def test_minhash_and_groups(spark):
     rows = [(1, base), (2, base), (3, base + "s"), (4, "something else entirely, of another kind"), (5, "")]
     df = spark.createDataFrame([(i, t, i) for i, t in rows], "doc_id long, text string, created_at long")
     c = DedupConfig(permutations=16, bands=8)
-    for sign in (dedup.signature(F.col("s"), 16), dedup.signature_udf(16)("s")):
-        got = df.select("doc_id", dedup.shingles(F.col("text")).alias("s")).select("doc_id", sign.alias("sig")).collect()
+    for sign in (dedup.signature(dedup.shingles(F.col("text")), 16), dedup.text_signature(F.col("text"), 5, 16)):
+        got = df.select("doc_id", sign.alias("sig")).collect()
         assert {r.doc_id: list(r.sig) for r in got} == {i: _slow_signature(t, 16)[1] for i, t in rows}
     got = {r.doc_id: r for r in dedup.duplicate_groups(df, c).collect()}
     assert {got[i].canonical_doc_id for i in (1, 2, 3)} == {1} and got[1].near_duplicate_flag and got[2].near_duplicate_flag and got[1].duplicate_cluster_size == 3
@@ -172,12 +172,12 @@ def test_near_duplicates_of_documents(spark, tmp_path):
     keys = [{(b, tuple(m[4 * b : 4 * b + 4])) for b in range(16)} for _, m in signed]
     candidates = {(i, j) for j in range(len(texts)) for i in range(j) if keys[i] & keys[j]}
     run = lambda name: [tuple(x) for x in QUERIES[name](spark, str(tmp_path)).collect()]
-    assert dict(run("minhash_signature_documents")) == {i: hashlib.sha256("".join(m).encode()).hexdigest() for i, (_, m) in enumerate(signed)}
-    assert set(run("lsh_candidates_documents")) == candidates
+    assert dict(run("minhash_signature")) == {i: hashlib.sha256("".join(m).encode()).hexdigest() for i, (_, m) in enumerate(signed)}
     firsts = {i for i, t in enumerate(texts) if (t or "") not in [x or "" for x in texts[:i]]}
+    assert set(run("lsh_candidates")) == {(i, j) for i, j in candidates if {i, j} <= firsts}
     share = lambda i, j: len(signed[i][0] & signed[j][0]) / len(signed[i][0] | signed[j][0])
     near = {(i, j): round(share(i, j), 6) for i, j in candidates if {i, j} <= firsts and share(i, j) >= 0.72}
-    assert {(a, b): s for a, b, s in run("near_dup_pairs_documents")} == pytest.approx(near) and len(near) > 20
+    assert {(a, b): s for a, b, s in run("near_dup_pairs")} == pytest.approx(near) and len(near) > 20
     group = list(range(len(texts)))
     for _ in texts:
         for i, j in [*near, *((i, j) for i in range(len(texts)) for j in range(i) if (texts[i] or "") == (texts[j] or ""))]:
@@ -371,3 +371,72 @@ def test_html_source(spark):
 
 def test_filter_config_is_a_parameter():
     assert FilterConfig(spam_signatures=("x",)).spam_signatures == ("x",)
+
+
+def test_payload_fingerprint(spark):
+    a = {"b": {"y": [1, {"q": "é", "p": None}], "x": 1.5}, "a": "т"}
+    want = hashlib.sha256(json.dumps(a, sort_keys=True, ensure_ascii=False).encode()).hexdigest()[:16]
+    assert one(spark, json.dumps(a), normalize.fingerprint) == want == one(spark, json.dumps({"a": "т", "b": {"x": 1.5, "y": [1, {"p": None, "q": "é"}]}}), normalize.fingerprint)
+
+
+def test_shingles(spark):
+    for t in ("", "ab", "abcde", "Aß  b\tc🙂def abcde abcde", "x" * 3000 + "y"):
+        s = " ".join(t.lower().replace("ß", "ss").split())
+        assert set(one(spark, t, dedup.shingles)) == ({s[i : i + 5] for i in range(len(s) - 4)} if len(s) > 5 else {s})
+
+
+def test_classify_counts(spark):
+    taxonomy = {"roads": ("R", ("яма на дороге", "дорога")), "heat": ("H", ("отопление",)), "other": ("O", ())}
+    rows = [(1, "Яма на дороге, дорога плохая"), (2, "отопление нет, дороги нет"), (3, None), (4, "привет")]
+    got = {r.doc_id: (r.category, r.hits, r.secondary_category) for r in text.classify(spark.createDataFrame(rows, "doc_id long, text string"), taxonomy).collect()}
+    assert got[1] == ("roads", 3, None) and got[2] == ("heat", 1, "roads") and got[3] == got[4] == ("other", 0, None)
+
+
+def test_small_rules(spark):
+    df = spark.createDataFrame([(1, 2, None), (-9, 1, 1)], "a int, b int, c int").select(text.engagement(F.col("a"), F.col("b"), F.col("c")).alias("e"))
+    assert [r.e for r in df.collect()] == [3, 0]
+    m = spark.createDataFrame([("m", "1")], "model_name string, model_version string")
+    vectors.check_model(m, "m", "1")
+    vectors.check_model(m.limit(0), "m", "2")
+    with pytest.raises(ValueError):
+        vectors.check_model(m, "m", "2")
+    assert summarize.render(" {size} texts ", {"size": 3}) == "3 texts" and "правило: слишком длинно." in summarize.render("{size}", {"size": 1}, "слишком длинно")
+    runs = [(True, False, True, 10.0, 100, 10, 0.5), (True, True, False, 20.0, 50, 5, 0.25), (False, False, False, None, None, None, None)]
+    r = summarize.run_metrics(spark.createDataFrame(runs, "regenerated boolean, fallback_used boolean, invalid boolean, generation_time_ms double, input_tokens long, output_tokens long, cost_usd double")).head()
+    assert tuple(r) == (3, 2, 1, 1, 1, 15.0, 150, 15, 0.75)
+
+
+def test_saved_rankings(spark, tmp_path):
+    rankings = spark.createDataFrame([("a", 24, NOW - dt.timedelta(hours=1)), ("b", 24, NOW), ("c", 6, NOW)], "ranking_id string, period_hours int, computed_at timestamp_ntz")
+    items = spark.createDataFrame([("a", 1, 2), ("b", 2, 1), ("c", 1, 1)], "ranking_id string, cluster_id int, rank int")
+    assert [r.ranking_id for r in serving.latest_item(rankings, items, 1).collect()] == ["a"] and serving.latest_item(rankings, items, 9).isEmpty()
+    assert [r.ranking_id for r in serving.latest(rankings, "computed_at", "ranking_id", 2).collect()] == ["c", "b"]
+    for score in (1.0, 2.0):  # a second run replaces the first
+        serving.save_ranking(spark.createDataFrame([(24,)], "period_hours int"), spark.createDataFrame([(1, score)], "cluster_id int, score double"), {"sources": spark.createDataFrame([(1, "vk")], "cluster_id int, source_type string")}, str(tmp_path), "r1")
+    assert [(r.score, r.ranking_id) for r in spark.read.parquet(f"{tmp_path}/items").collect()] == [(2.0, "r1")] and spark.read.parquet(f"{tmp_path}/header").count() == spark.read.parquet(f"{tmp_path}/sources").count() == 1
+
+
+def test_ml_results_and_raw(spark):
+    schema = "doc_id string, status string, error_message string, processed_at long"
+    old, new = spark.createDataFrame([("a", "processed", None, 1), ("b", "processed", None, 1)], schema), spark.createDataFrame([("a", None, "broke", 2), ("c", None, None, 2)], schema)
+    assert sorted((r.doc_id, r.status) for r in serving.save_ml_results(old, new).collect()) == [("a", "error"), ("b", "processed"), ("c", "processed")]
+    docs = spark.createDataFrame([("vk", "1", 5), ("vk", "2", 6)], "source_type string, source_id string, doc_id long")
+    found, missing = serving.with_raw(docs, spark.createDataFrame([("vk", "1", "{}")], "source_type string, source_id string, raw_payload string"))
+    assert [r.doc_id for r in found.collect()] == [5] and [r.doc_id for r in missing.collect()] == [6]
+
+
+def test_recompute_keeps_ids(spark):
+    r = random.Random(4)
+    at = lambda x, y: [x + r.gauss(0, 0.01), y + r.gauss(0, 0.01)]
+    rows = [(i, i % 5, "vk_post", 1, NOW - dt.timedelta(hours=1), "A", at(*((1, 0), (0, 1))[i % 2])) for i in range(60)] + [(99, 1, "vk_post", 1, NOW - dt.timedelta(hours=100), "A", [1.0, 0.0])]
+    docs = spark.createDataFrame(rows, "doc_id long, author_id long, source_type string, reach long, created_at timestamp_ntz, region string, embedding array<double>")
+    old = spark.createDataFrame([(7, [0.0, 1.0])], "cluster_id long, centroid array<double>")
+    out = cluster.recompute(docs, old, NOW)
+    of = {x.doc_id: x.cluster_id for x in out["assignments"].collect()}
+    sizes = {x.cluster_id: x.size for x in out["clusters"].collect()}
+    assert 99 not in of and len(of) == 60 and {of[i] for i in range(1, 60, 2)} - {-1} == {7}
+    other = {of[i] for i in range(0, 60, 2)} - {-1}
+    assert len(other) == 1 and min(other) > 7 and {x.cluster_id for x in out["changed"].collect()} == {7, *other} and sizes[7] > 20
+    part = cluster.rebuild(docs.join(out["assignments"], "doc_id"), NOW, touched=spark.createDataFrame([(7,)], "cluster_id long"))
+    assert [(x.cluster_id, x.size) for x in part["clusters"].collect()] == [(7, sizes[7])]
+    assert cluster.latest_model(spark.createDataFrame([(1, NOW), (2, NOW)], "snapshot_id int, created_at timestamp_ntz")).head().snapshot_id == 2

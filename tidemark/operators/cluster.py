@@ -368,3 +368,34 @@ def density_clusters(docs: DataFrame, partition: str, config: ClusterConfig | No
     small = one_task(rows.join(large, same, "left_anti"))
     dealt = _large_windows(rows.join(large, same).select("w", "doc_id", "embedding"), c, block_rows)
     return small.unionByName(dealt.join(large, "w").select(F.col("window_key").alias(partition), "doc_id", "label", "strength"))
+
+
+def latest_model(snapshots: DataFrame) -> DataFrame:
+    """The model snapshot of the last run."""
+    return snapshots.orderBy(F.desc("created_at"), F.desc("snapshot_id")).limit(1)
+
+
+def recompute(docs: DataFrame, old: DataFrame, now: dt.datetime, config: ClusterConfig | None = None, *, hours: int = 72) -> dict[str, DataFrame]:
+    """A full run over the documents of the last ``hours``: ``assignments``, ``clusters`` (of the kept ids: those of
+    ``old``, cluster_id and centroid, that a new cluster is most alike to; other clusters get ids above all of them),
+    ``metrics`` and ``changed`` (ids of the event). ``docs`` as for ``enrich``, with embedding; noise has cluster -1."""
+    c = config or ClusterConfig()
+    inside = docs.filter(F.col("created_at").between(ntz(now - dt.timedelta(hours=hours)), ntz(now)))
+    labels = _cut(density_clusters(inside.withColumn("window", F.lit(0)), "window").select("doc_id", F.col("label").alias("new_id")))
+    found = inside.drop("cluster_id").join(labels, "doc_id")
+    new = _cut(vectors.centroids(found.filter("new_id >= 0").withColumnRenamed("new_id", "cluster_id"), "cluster_id"))
+    match = _cut(reconcile(new, old, c).select("new_id", "old_id"))
+    above = F.broadcast(old.agg(F.coalesce(F.max("cluster_id") + 1, F.lit(0)).alias("base")))  # one row
+    ids = labels.join(F.broadcast(match), "new_id", "left").crossJoin(above)  # as many rows as documents, one on the right
+    kept = F.when(F.col("new_id") < 0, -1).otherwise(F.coalesce("old_id", F.col("new_id") + F.col("base"))).cast("long")
+    assignments = _cut(ids.select("doc_id", kept.alias("cluster_id")))
+    return {"assignments": assignments, **rebuild(inside.drop("cluster_id").join(assignments, "doc_id"), now, c)}
+
+
+def rebuild(members: DataFrame, now: dt.datetime, config: ClusterConfig | None = None, touched: DataFrame | None = None) -> dict[str, DataFrame]:
+    """``clusters`` (counts, centroid, cohesion), ``metrics`` and ``changed`` from members; only of ``touched`` clusters if given."""
+    rows = members if touched is None else members.join(touched.select("cluster_id").distinct(), "cluster_id", "left_semi")
+    cents = vectors.centroids(rows, "cluster_id")
+    clusters = enrich(rows, now, config).join(cents.select("cluster_id", "centroid"), "cluster_id").join(vectors.cohesion(rows, cents, "cluster_id"), "cluster_id").withColumn("noise", F.col("cluster_id") < 0)
+    clusters = _cut(clusters)
+    return {"clusters": clusters, "metrics": run_metrics(clusters), "changed": clusters.filter("NOT noise").select("cluster_id")}

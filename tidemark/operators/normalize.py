@@ -6,8 +6,13 @@ with a null value, and the first present path wins: coalesce would fall through
 
 from __future__ import annotations
 
+import hashlib
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Names a source goes by.
 SOURCE_ALIASES = {"vk": "vk", "vkontakte": "vk", "max": "max", "mailru_max": "max", "rss": "rss", "feed": "rss", "portal": "portal", "portals": "portal"}
@@ -98,11 +103,17 @@ def media_type(v: Column, attachments: tuple[str, ...], link: tuple[str, ...]) -
     return F.when(has("video"), "video").when(has("photo", "image"), "photo").when(has("link"), "link").when(linked, "link").otherwise("text")
 
 
-def fingerprint(payload: Column) -> Column:
-    """16 hex digits of the payload with its top keys in order."""
-    m = F.from_json(payload, "map<string,variant>")
-    entries = F.array_sort(F.transform(F.map_keys(m), lambda k: F.struct(k.alias("k"), F.to_json(m[k]).alias("v"))))
-    return F.substring(F.sha2(F.array_join(F.transform(entries, lambda e: F.concat(e["k"], F.lit("="), F.coalesce(e["v"], F.lit("null")))), "\x1f"), 256), 1, 16)
+@F.pandas_udf(T.StringType())
+def _print(payloads: pd.Series) -> pd.Series:
+    def one(p: str | None) -> str | None:
+        return p and hashlib.sha256(json.dumps(json.loads(p), sort_keys=True, ensure_ascii=False).encode("utf-8", "surrogatepass")).hexdigest()[:16]
+
+    return payloads.map(one)
+
+
+def fingerprint(payload: Column, where: Column | None = None) -> Column:
+    """16 hex digits of the payload's SHA-256, its keys in order at every depth; only ``where`` it is needed."""
+    return _print(payload if where is None else F.when(where, payload))
 
 
 def join_id(*parts: Column) -> Column:
@@ -118,12 +129,15 @@ def normalize(df: DataFrame, config: dict, payload_col: str = "raw_payload") ->
     f = METRICS | FIELDS[kind]
     conf = lambda *keys: next((F.lit(str(config[k])) for k in keys if config.get(k) is not None), F.lit(None).cast("string"))
     rows = df.select(F.col(payload_col).alias("_p"), F.parse_json(payload_col).alias("_v"))
-    v, print_ = F.col("_v"), fingerprint(F.col("_p"))
-    item = F.coalesce(as_id(pick(v, *f["item"])), print_)
+    v = F.col("_v")
+    own, inside = as_id(pick(v, *f["item"])), as_id(pick(v, *f["container"], default=conf("source_id"))) if kind in ("vk", "max") else F.lit("")
+    rows = rows.withColumn("_print", fingerprint(F.col("_p"), own.isNull() | inside.isNull()))
+    print_ = F.col("_print")
+    item = F.coalesce(own, print_)
     offset = next((str(config[k]) for k in ("timezone", "tz", "utc_offset") if k in config), "+00:00")
     post, plain = TYPES[kind]
     if kind in ("vk", "max"):
-        container = F.coalesce(as_id(pick(v, *f["container"], default=conf("source_id"))), F.concat(F.lit(f"{kind}:"), print_))
+        container = F.coalesce(inside, F.concat(F.lit(f"{kind}:"), print_))
         explicit = next((config[k] for k in ("entity_type", "record_type", "object_type") if config.get(k) is not None), None)
         marked = F.lit(str(explicit).strip().lower() == "comment") if explicit is not None else F.coalesce(*[F.nullif(pick(v, m), F.lit("")) for m in f["markers"]]).isNotNull()
         under = as_id(pick(v, *f["post"]))

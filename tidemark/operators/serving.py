@@ -140,3 +140,33 @@ def official(docs: DataFrame, registry: DataFrame, *, source_ids: tuple[str, ...
 def map_points(items: DataFrame) -> DataFrame:
     """Mean point of located items: lat, lon."""
     return items.agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
+
+
+def latest(df: DataFrame, at: str, id_col: str, n: int = 5) -> DataFrame:
+    """The last ``n`` rows."""
+    return df.orderBy(F.desc(at), F.desc(id_col)).limit(n)
+
+
+def latest_item(rankings: DataFrame, items: DataFrame, cluster_id, period_hours: int = 24) -> DataFrame:
+    """A cluster's item in the last ranking of a period that has it."""
+    both = rankings.filter(F.col("period_hours") == period_hours).join(items.filter(F.col("cluster_id") == cluster_id), "ranking_id")
+    return both.orderBy(F.desc("computed_at"), F.desc("ranking_id")).limit(1)
+
+
+def save_ranking(header: DataFrame, items: DataFrame, children: dict[str, DataFrame], path: str, ranking_id: str) -> None:
+    """A snapshot under one id: a table each for header, items and children, in a partition that a second run replaces.
+    The header comes last, so a snapshot that has one is whole."""
+    for name, df in (*children.items(), ("items", items), ("header", header)):
+        df.withColumn("ranking_id", F.lit(ranking_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ranking_id").parquet(f"{path}/{name}")
+
+
+def save_ml_results(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Latest result of each document; a new row without a status is ``processed``, or ``error`` if it has a message."""
+    status = F.coalesce("status", F.when(F.col("error_message").isNotNull(), "error").otherwise("processed"))
+    return upsert(old, new.withColumn("status", status), ("doc_id",), "processed_at")
+
+
+def with_raw(docs: DataFrame, raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents with their raw payload, documents whose raw message is missing), by source_type and source_id."""
+    key = ["source_type", "source_id"]
+    return docs.join(raw.select(*key, "raw_payload"), key), docs.join(raw.select(*key), key, "left_anti")

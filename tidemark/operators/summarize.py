@@ -172,3 +172,21 @@ def history(current: DataFrame, fresh: DataFrame, key: str, at: str) -> tuple[Da
     n = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(at)))
     ranked = both.withColumn("_n", n)
     return ranked.filter("_n = 1").drop("_n"), ranked.filter("_n > 1").drop("_n")
+
+
+def render(template: str, values: dict[str, object], feedback: str | None = None) -> str:
+    """The prompt for one cluster; ``feedback`` says which rule the last answer broke."""
+    prompt = template.format(**values).strip()
+    return prompt if not feedback else f"{prompt}\n\nПредыдущий ответ нарушил правило: {feedback}. Перепиши ответ строго по формату."
+
+
+def run_metrics(runs: DataFrame) -> DataFrame:
+    """Counts, mean time, tokens and cost of a run; ``runs``: regenerated, fallback_used, invalid, generation_time_ms,
+    input_tokens, output_tokens, cost_usd, one row a cluster."""
+    again = F.col("regenerated")
+    total = lambda c, zero: F.coalesce(F.sum(F.when(again, F.col(c))), F.lit(zero))
+    return runs.agg(
+        F.count("*").alias("clusters_processed"), F.count_if(again).alias("clusters_regenerated"), F.count_if(~again).alias("clusters_skipped"), F.count_if(again & F.col("fallback_used")).alias("fallback_used_count"),
+        F.count_if(again & F.col("invalid")).alias("validation_failed"), F.coalesce(F.avg(F.when(again, F.col("generation_time_ms"))), F.lit(0.0)).alias("avg_generation_time_ms"),
+        total("input_tokens", 0).alias("total_input_tokens"), total("output_tokens", 0).alias("total_output_tokens"), total("cost_usd", 0.0).alias("estimated_cost_usd"),
+    )

@@ -153,3 +153,8 @@ def source_url(source_type: Column, source_id: Column, payload: Column) -> Colum
     post = F.when((source_type == "vk_post") & wall(2), F.concat(F.lit("https://vk.com/wall"), source_id))
     comment = F.when((source_type == "vk_comment") & wall(3), F.concat(F.lit("https://vk.com/wall"), at(0), F.lit("_"), at(1), F.lit("?reply="), at(2)))
     return F.coalesce(*web, post, comment)
+
+
+def engagement(likes: Column, reposts: Column, comments: Column) -> Column:
+    zero = F.lit(0)
+    return F.greatest(zero, F.coalesce(likes, zero) + F.coalesce(reposts, zero) + F.coalesce(comments, zero))

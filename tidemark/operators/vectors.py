@@ -89,3 +89,10 @@ def hashed_backend(dimension: int = 64):
         return out
 
     return run
+
+
+def check_model(embeddings: DataFrame, name: str, version: str) -> None:
+    """Raises if stored vectors come from another model or version; reads two names at most."""
+    other = embeddings.select("model_name", "model_version").distinct().limit(2).collect()
+    if other and {tuple(r) for r in other} != {(name, version)}:
+        raise ValueError("the stored vectors come from another model or version")
