@@ -1,4 +1,4 @@
-"""The pipeline's rows against its stages' own brute force."""
+"""The pipeline's stages on small tables."""
 
 import os
 import sys
@@ -28,3 +28,18 @@ def test_pipeline(spark, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert Counter((r.doc_id, r.text) for r in got) == want
     assert all(4 * r.n_tokens == len(r.ids) for r in got)
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Null ids and texts, repeated rows, one id for two texts: what is no copy and has words stays; so does an empty table."""
+    import corpus_pipeline
+
+    long = " ".join(f"w{i}" for i in range(30))
+    data = [(None, long, "en", "a", 9), (None, "alone without an id", None, None, None), (1, None, None, None, None), (2, "", "en", "a", 0), (3, long, "en", "a", 9), (3, "another text of one id", "en", "a", 5), (4, "x y z", "en", "a", 5), (4, "x y z", "en", "a", 5)]
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    frame(spark, data).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.text) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert got == {(None, "alone without an id"), (3, long), (3, "another text of one id"), (4, "x y z")}
+    frame(spark, []).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Remembered
+from tidemark.llm.common import Remembered, small_batches
 
 PIECE_BYTES = 64 << 20
 STAND = 200_000
@@ -260,7 +260,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                 yield pa.RecordBatch.from_arrays(out, names)
 
     names = ["id", "n_tokens", "ids", *(["decoded"] if decoded else [])]
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "id long, n_tokens long, ids binary" + ", decoded binary" * decoded).withColumnRenamed("id", id_col)
 
 

@@ -18,6 +18,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 ROW_GROUP_BYTES = 16 << 20
+ARROW_ROWS = 1000
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -50,6 +51,15 @@ def word_hashes() -> Remembered:
     return Remembered(xxhash.xxh3_64_intdigest)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """Rows that hold whole texts go to Python ``ARROW_ROWS`` at a time: Spark's default of 10,000 makes
+    batches of long texts large. A session that has set its own number keeps it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key) == "10000":
+        df.sparkSession.conf.set(key, str(ARROW_ROWS))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

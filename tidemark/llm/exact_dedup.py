@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE, store, without
+from tidemark.llm.common import SPACE, small_batches, store, without
 
 SALTS = 16
 #: Bytes of distinct text that a task holds before it hands its entries on, and ids in one entry.
@@ -89,7 +89,7 @@ def _combine_locally(digest, with_content: bool):
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, digest=sha256, salts: int = SALTS) -> DataFrame:
     """One row per row of ``docs``: id, keep_id, group_size, kept, digest (binary)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     local = rows.mapInArrow(_combine_locally(digest, True), "digest binary, content binary, ids array<long>, keep long, n long")
     salted = (
         local.groupBy("digest", "content", F.pmod(F.xxhash64("keep", "ids"), F.lit(salts)).alias("salt"))

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import store
+from tidemark.llm.common import small_batches, store
 
 SHARE, LEAST_PAGES = 0.8, 4
 LINKED = 0.9
@@ -318,7 +318,7 @@ def _extract(shared):
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """id, url, text for every page."""
     spark = pages.sparkSession
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    rows = small_batches(pages).select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     found = store(templates(rows.select(F.xxhash64("html").alias("page"), "url", "html")))
     if found.count() <= BROADCAST_TOKENS:
         known: dict[str, dict] = {}

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE, store, without, word_hashes
+from tidemark.llm.common import SPACE, small_batches, store, without, word_hashes
 
 BANDS, ROWS, BATCH = 32, 5, 20
 MISS = 1e-6
@@ -296,7 +296,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shi
 def _linked(docs: DataFrame, id_col: str, text_col: str, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, miss: float = MISS) -> DataFrame:
     hashes = bands * rows
     least = least_matches(percent, hashes, BATCH, miss)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     described = store(texts.mapInArrow(_describe(shingle, hashes), "id long, n long, node binary, sig binary"))
     named = described.filter("id IS NOT NULL AND node IS NOT NULL")
     nodes = store(

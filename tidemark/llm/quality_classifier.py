@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Remembered, store
+from tidemark.llm.common import Remembered, small_batches, store
 from tidemark.llm.linear import Logistic
 
 TOKENS = 1 << 14
@@ -258,7 +258,7 @@ def tokens(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """id, t, m (tokens of the views), y and fold (null without a label) for every row of ``docs``."""
     kinds = {"source": "string", "lang": "string", "n_chars": "long"}
     columns = [F.col(text_col).cast("string").alias("text"), *[(F.col(c) if c in docs.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()]]
-    views = docs.select(F.col(id_col).cast("long").alias("id"), *columns).mapInArrow(_views, "id long, t binary, m binary")
+    views = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), *columns).mapInArrow(_views, "id long, t binary, m binary")
     known = labels.select(F.col(id_col).cast("long").alias("known"), (F.col(label_col).cast("int") > 0).cast("int").alias("y")).filter("known IS NOT NULL AND y IS NOT NULL").groupBy("known").agg(F.max("y").alias("y"))
     fold = F.when(held_out("known"), HELD_OUT).when(F.pmod(F.xxhash64(F.lit(seed), "known"), F.lit(CALIBRATION)) == 0, CALIBRATE).otherwise(TRAIN)
     known = known.select("known", "y", fold.cast("int").alias("fold"), F.lit(0).alias("other"))

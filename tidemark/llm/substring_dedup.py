@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import word_hashes
+from tidemark.llm.common import small_batches, word_hashes
 
 K, M = 20, 3
 CHUNK_BYTES = 12 << 20
@@ -224,7 +224,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """id, n_words, n_removed, kept (the words that stay, joined by one space)."""
     size = docs.agg(F.sum(F.octet_length(text_col)).alias("b")).head()["b"] or 0
     buckets = max(64, -(-int(size * 2.8) // BUCKET_BYTES))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     key = F.coalesce(F.col("id"), F.lit(NO_ID)).alias("key")
     sent = rows.select(key, "text").mapInArrow(_send(buckets, k, m), "bucket long, blob binary")
     spans = sent.groupBy("bucket").applyInArrow(_count(k), "key long, print long, spans binary")

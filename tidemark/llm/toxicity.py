@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Remembered
+from tidemark.llm.common import Remembered, small_batches
 from tidemark.llm.linear import Logistic, labelled_sample
 
 TRAIN_ROWS, TRAIN_TEXT_BYTES = 3000, 100_000
@@ -197,6 +197,7 @@ def held_out(id_col: str) -> F.Column:
 def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", *, train_rows: int = TRAIN_ROWS, seed: int = 6):
     """The broadcast classifier: at most MAX_FEATURES weights and the lexicons."""
     text = F.col(text_col).cast("string").alias("text")
+    small_batches(docs)
     allowed = labels.select(F.col(id_col).cast("long").alias(id_col), F.col(label_col).alias("y")).filter(F.col(id_col).isNotNull() & F.col("y").isNotNull()).filter(~held_out(id_col))
     short = docs.filter(F.octet_length(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) <= TRAIN_TEXT_BYTES)
     rows = labelled_sample(short, allowed, id_col, [text], train_rows, seed).select("text", "y", id_col).orderBy(id_col, "text").limit(train_rows).collect()  # at most train_rows documents of bounded size
