@@ -257,6 +257,38 @@ def test_hdbscan_finds_blobs():
     assert (labels[80:] == -1).sum() >= 4 and 0 <= strength.min() <= strength.max() <= 1
 
 
+def test_predict_against_brute_force(spark):
+    """Label and strength of new points by all distances, one at a time; edge rows have a defined result."""
+    import numpy as np
+
+    from tidemark.config import ClusterConfig
+
+    r = np.random.default_rng(4)
+    centres = r.normal(0, 1, (3, 5))
+    x = np.vstack([m + r.normal(0, 0.08, (40, 5)) for m in centres] + [r.normal(0, 1, (20, 5))])
+    asked = np.vstack([m + r.normal(0, 0.15, (25, 5)) for m in centres] + [r.normal(0, 1, (25, 5)), x[:3]])
+    known = spark.createDataFrame([(0, i, v.tolist()) for i, v in enumerate(x)], "w0 int, doc_id long, embedding array<double>")
+    c = ClusterConfig(min_cluster_size=8, min_samples=4)
+    model = cluster.density_model(known, "w0", c).join(known.drop("w0"), "doc_id")
+    rows = {m.doc_id: m for m in model.collect()}
+    new = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(asked)] + [(900, None), (None, asked[0].tolist()), (901, asked[0].tolist()), (901, asked[0].tolist())], "doc_id long, embedding array<double>")
+    got = {p.doc_id: p for p in cluster.predict(new, model, c, block_rows=16).collect()}
+    assert len(got) == len(asked) + 3
+    unit = lambda v: v / np.linalg.norm(v)
+    for i, v in enumerate(asked):
+        d = sorted((float(np.linalg.norm(unit(v) - unit(y))), j) for j, y in enumerate(x))[:8]
+        reach, j = min((max(far, rows[j].core, d[4][0]), j) for far, j in d)
+        near, density = rows[j], 1 / reach
+        label = near.label if near.label >= 0 and (density > near.birth or near.leaves <= density) else -1
+        assert got[i].label == label
+        assert got[i].strength == pytest.approx(min(density, near.top) / near.top if label >= 0 else 0.0, abs=1e-6)
+        assert got[i].assigned == (got[i].strength > 0.6)
+    assert len({p.label for p in got.values()}) == 4 and {p.assigned for p in got.values()} == {True, False}
+    assert (got[900].label, got[900].strength) == (-1, 0.0) and got[901].label == got[0].label and got[None].label == -1
+    assert cluster.predict(new.limit(0), model, c).count() == 0
+    assert {p.label for p in cluster.predict(new, model.limit(0), c).collect()} == {-1}
+
+
 def test_density_clusters_beyond_one_task(spark):
     """Windows larger than a task give the groups and strengths of one task, null window included."""
     import numpy as np

@@ -93,10 +93,18 @@ def hdbscan(points, min_cluster_size: int = 10, min_samples: int = 5):
     import numpy as np
 
     x = np.asarray(points, float)
+    if len(x) < max(2, min_cluster_size):
+        return np.full(len(x), -1), np.zeros(len(x))
+    edges, _ = spanning_tree(x, min_samples)
+    found = condensed(edges, len(x), min_cluster_size)
+    return found["label"], found["strength"]
+
+
+def spanning_tree(x, min_samples: int):
+    """(edges (distance, a, b) of the minimum spanning tree by mutual reachability, core distances)."""
+    import numpy as np
+
     n = len(x)
-    labels, strength = np.full(n, -1), np.zeros(n)
-    if n < max(2, min_cluster_size):
-        return labels, strength
     squares = (x * x).sum(1)
     row = lambda i: np.sqrt(np.maximum(0, squares + squares[i] - 2 * x @ x[i]))
     k = min(min_samples, n - 1)
@@ -111,14 +119,20 @@ def hdbscan(points, min_cluster_size: int = 10, min_samples: int = 5):
         nxt = int(np.argmin(np.where(inside, np.inf, far)))
         edges.append((far[nxt], via[nxt], nxt))
         at = nxt
-    return condensed(edges, n, min_cluster_size)
+    return edges, core
 
 
-def condensed(edges, n: int, min_cluster_size: int):
-    """Labels and strengths from the spanning tree's edges (distance, a, b) over nodes 0 to n - 1."""
+#: what a node keeps of the condensed tree: its label and strength, the density at which it leaves
+#: the tree, and the densities at which its cluster is born and at which the last of it leaves
+TREE = "label int, strength double, leaves double, birth double, top double"
+
+
+def condensed(edges, n: int, min_cluster_size: int) -> dict:
+    """The columns of ``TREE`` from the spanning tree's edges (distance, a, b) over nodes 0 to n - 1."""
     import numpy as np
 
     labels, strength = np.full(n, -1), np.zeros(n)
+    leave, birth, tops = np.zeros(n), np.zeros(n), np.zeros(n)
     edges = sorted(edges, key=lambda e: e[0])
     # single linkage: node n + i joins two nodes at a distance
     parent = list(range(2 * n - 1))
@@ -182,16 +196,18 @@ def condensed(edges, n: int, min_cluster_size: int):
     while stack:
         c, under = stack.pop()
         if under is None and chosen[c]:
-            under, label = label, label + 1
+            own = [d for _, d in clusters[c]["points"]] + [clusters[q]["birth"] for q in clusters[c]["kids"]]
+            under, label = (label, clusters[c]["birth"], min(max(own), 1e12)), label + 1
         for p, d in clusters[c]["points"]:
+            leave[p] = min(d, 1e12)
             if under is not None:
-                labels[p], strength[p] = under, d
+                (labels[p], birth[p], tops[p]), strength[p] = under, d
         stack.extend((q, under) for q in clusters[c]["kids"])
     for v in range(label):
         own = labels == v
         top = min(strength[own].max(), 1e12)
         strength[own] = np.minimum(strength[own], top) / top if top > 0 else 1.0
-    return labels, strength
+    return {"label": labels.astype("int32"), "strength": strength, "leaves": leave, "birth": birth, "top": tops}
 
 
 def _smallest(pdf, k: int):
@@ -252,7 +268,7 @@ def _large_windows(docs: DataFrame, c: ClusterConfig, block_rows: int) -> DataFr
     """HDBSCAN where a window does not fit a task: rows are dealt to blocks, pairs of blocks give
     the core distances and, round by round, each component's least outgoing edge (Boruvka). All
     pairs of rows are compared; only n - 1 edges of a window, no vectors, meet in one task.
-    ``docs``: w, doc_id, embedding; returns w, doc_id, label, strength."""
+    ``docs``: w, doc_id, embedding; returns w, doc_id, core and the columns of ``TREE``."""
     import numpy as np
     import pandas as pd
 
@@ -334,16 +350,28 @@ def _large_windows(docs: DataFrame, c: ClusterConfig, block_rows: int) -> DataFr
     def label(pdf):
         nodes, flat = np.unique(pdf[["a", "b"]].to_numpy("<i8"), return_inverse=True)
         ends = flat.reshape(-1, 2)
-        labels, strength = condensed(list(zip(pdf["d"].tolist(), ends[:, 0].tolist(), ends[:, 1].tolist(), strict=True)), len(nodes), c.min_cluster_size)
-        return pd.DataFrame({"w": [pdf["w"].iloc[0]] * len(nodes), "node": nodes, "label": labels.astype("int32"), "strength": strength})
+        found = condensed(list(zip(pdf["d"].tolist(), ends[:, 0].tolist(), ends[:, 1].tolist(), strict=True)), len(nodes), c.min_cluster_size)
+        return pd.DataFrame({"w": [pdf["w"].iloc[0]] * len(nodes), "node": nodes, **found})
 
-    labelled = edges.groupBy("w").applyInPandas(label, f"w {w}, node long, label int, strength double")
-    return rows.join(labelled, ["w", "node"]).select("w", "doc_id", "label", "strength")
+    def core_of(batches):
+        for b in batches:
+            for r in b.itertuples():
+                yield pd.DataFrame({"w": [r.w] * r.n, "node": np.frombuffer(r.nodes, "<i8"), "core": np.frombuffer(r.core)})
+
+    labelled = edges.groupBy("w").applyInPandas(label, f"w {w}, node long, {TREE}")
+    cores = blocks_.select("w", "n", "nodes", "core").mapInPandas(core_of, f"w {w}, node long, core double")
+    return rows.join(labelled, ["w", "node"]).join(cores, ["w", "node"]).drop("embedding", "node", "block", "blocks", "size")
 
 
 def density_clusters(docs: DataFrame, partition: str, config: ClusterConfig | None = None, max_rows: int = 20_000, block_rows: int = 4096) -> DataFrame:
     """(partition, doc_id, label, strength) of each partition (a recompute window). A window of at most
     ``max_rows`` is one task, since the algorithm looks at all of it; a larger one is dealt to blocks."""
+    return density_model(docs, partition, config, max_rows, block_rows).select(partition, "doc_id", "label", "strength")
+
+
+def density_model(docs: DataFrame, partition: str, config: ClusterConfig | None = None, max_rows: int = 20_000, block_rows: int = 4096) -> DataFrame:
+    """What ``predict`` needs of each document: partition, doc_id, core (distance to its ``min_samples``-th
+    neighbour) and the columns of ``TREE``. A window with fewer rows than a cluster needs is all noise."""
     c = config or ClusterConfig()
 
     def run(pdf):
@@ -352,12 +380,14 @@ def density_clusters(docs: DataFrame, partition: str, config: ClusterConfig | No
         pdf = pdf.sort_values("doc_id")
         x = np.stack([np.asarray(v, float) for v in pdf["embedding"]])
         x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        labels, strength = hdbscan(x, c.min_cluster_size, c.min_samples)
-        return pdf[[partition, "doc_id"]].assign(label=labels.astype("int32"), strength=strength)
+        if len(x) < max(2, c.min_cluster_size):
+            return pdf[[partition, "doc_id"]].assign(core=0.0, label=-1, strength=0.0, leaves=0.0, birth=0.0, top=0.0)
+        edges, core = spanning_tree(x, c.min_samples)
+        return pdf[[partition, "doc_id"]].assign(core=core, **condensed(edges, len(x), c.min_cluster_size))
 
     kinds = dict(docs.dtypes)
     rows = docs.select(partition, "doc_id", "embedding")
-    one_task = lambda df: df.groupBy(partition).applyInPandas(run, f"{partition} {kinds[partition]}, doc_id {kinds['doc_id']}, label int, strength double")
+    one_task = lambda df: df.groupBy(partition).applyInPandas(run, f"{partition} {kinds[partition]}, doc_id {kinds['doc_id']}, core double, {TREE}")
     sizes = rows.groupBy(partition).agg(F.count("*").alias("size")).cache()
     # the windows as numbers, null included
     large = sizes.filter(F.col("size") > max_rows).select(F.col(partition).alias("window_key"))
@@ -367,7 +397,70 @@ def density_clusters(docs: DataFrame, partition: str, config: ClusterConfig | No
     same = F.col(partition).eqNullSafe(F.col("window_key"))
     small = one_task(rows.join(large, same, "left_anti"))
     dealt = _large_windows(rows.join(large, same).select("w", "doc_id", "embedding"), c, block_rows)
-    return small.unionByName(dealt.join(large, "w").select(F.col("window_key").alias(partition), "doc_id", "label", "strength"))
+    return small.unionByName(dealt.join(large, "w").withColumn(partition, F.col("window_key")).drop("w", "window_key"))
+
+
+def predict(docs: DataFrame, model: DataFrame, config: ClusterConfig | None = None, block_rows: int = 4096) -> DataFrame:
+    """doc_id, label, strength and assigned of documents that came after the model was made, as HDBSCAN's
+    approximate prediction has it. ``model``: rows of ``density_model`` of one window with their embedding.
+
+    A document's neighbours are its 2 * ``min_samples`` nearest model rows; its core distance is that to
+    number ``min_samples`` (from 0). The neighbour at the least mutual reachability, the smallest doc_id
+    among equals, gives the label if the document is dense enough to be in that neighbour's cluster. Only
+    strictly more than the threshold assigns, the rest waits in the buffer. All documents meet all model
+    rows, in packed blocks; with an empty model each document has label -1. Rows without id or vector count
+    for nothing in the model; a document without a vector has label -1, and of repeated ids one row is given."""
+    import numpy as np
+    import pandas as pd
+
+    c = config or ClusterConfig()
+    near, kind = 2 * c.min_samples, dict(docs.dtypes)["doc_id"]
+    traits = ["core", "label", "leaves", "birth", "top"]
+
+    def packed(df, cols, name):
+        """One row a block: ids, unit vectors and the columns of ``cols``."""
+
+        def pack(pdf):
+            x = np.stack([np.asarray(v, float) for v in pdf["embedding"]])
+            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+            return pd.DataFrame({name: [pdf["block"].iloc[0]], f"{name}_ids": [pdf["doc_id"].tolist()], f"{name}_x": [x.tobytes()], **{k: [pdf[k].to_numpy(float).tobytes()] for k in cols}})
+
+        whole = df.filter("doc_id IS NOT NULL AND embedding IS NOT NULL")
+        blocks = max(1, -(-whole.count() // block_rows))
+        dealt = whole.select("doc_id", "embedding", *cols, F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block"))
+        ids = f"array<{dict(df.dtypes)['doc_id']}>"
+        return blocks, dealt.groupBy("block").applyInPandas(pack, f"{name} long, {name}_ids {ids}, {name}_x binary" + "".join(f", {k} binary" for k in cols))
+
+    fresh = docs.dropDuplicates(["doc_id"])
+    _, asked = packed(fresh, [], "q")
+    blocks, known = packed(model, traits, "m")
+    met = asked.withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>"))).join(known, "m")
+
+    def meet(batches):
+        for b in batches:
+            for r in b.itertuples():
+                x = np.frombuffer(r.q_x).reshape(len(r.q_ids), -1)
+                y, own = np.frombuffer(r.m_x).reshape(len(r.m_ids), -1), {k: np.frombuffer(getattr(r, k)) for k in traits}
+                order = np.argsort(r.m_ids, kind="stable")  # smaller ids first among equals
+                y, ids = y[order], np.asarray(r.m_ids)[order]
+                for at, d in _distances(x, y):
+                    best = np.argsort(d, axis=1, kind="stable")[:, :near]
+                    rows = [[{"d": float(np.sqrt(d[i, j])), "id": ids[j], **{k: float(own[k][order[j]]) for k in traits}} for j in js] for i, js in enumerate(best)]
+                    yield pd.DataFrame({"doc_id": r.q_ids[at : at + len(d)], "near": rows})
+
+    fields = f"d double, id {dict(model.dtypes)['doc_id']}, " + ", ".join(f"{k} double" for k in traits)
+    found = met.mapInPandas(meet, f"doc_id {kind}, near array<struct<{fields}>>")
+    nearest = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, near)
+    rows = found.groupBy("doc_id").agg(nearest.alias("n"))
+    own_core = F.try_element_at("n", F.least(F.size("n"), F.lit(c.min_samples + 1)))["d"]
+    reach = F.transform("n", lambda v: F.struct(F.greatest(v["d"], v["core"], F.col("own")).alias("reach"), v["id"].alias("id"), v.alias("v")))
+    best = rows.withColumn("own", own_core).select("doc_id", F.array_min(reach).alias("b"))
+    v, density = F.col("b.v"), F.when(F.col("b.reach") > 0, F.least(1 / F.col("b.reach"), F.lit(1e12))).otherwise(1e12)
+    inside = (v["label"] >= 0) & ((density > v["birth"]) | (v["leaves"] <= density))
+    strength = F.when(inside, F.when(v["top"] > 0, F.least(density, v["top"]) / v["top"]).otherwise(1.0)).otherwise(0.0)
+    judged = best.select("doc_id", F.when(inside, v["label"]).otherwise(-1).cast("int").alias("label"), strength.alias("strength"))
+    out = fresh.select("doc_id").join(judged, "doc_id", "left")
+    return out.select("doc_id", F.coalesce("label", F.lit(-1)).alias("label"), F.coalesce("strength", F.lit(0.0)).alias("strength")).withColumn("assigned", F.col("strength") > c.assignment_threshold)
 
 
 def latest_model(snapshots: DataFrame) -> DataFrame:

@@ -84,8 +84,8 @@ def centroid(name: str, where: str = "true") -> str:
 
 
 DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda p: p[1] * p[2]))"
-ONLINE = f"""WITH {UNIT}, {centroid('c', 'doc_id % 2 = 0')},
- s AS (SELECT u.doc_id, c.cluster_id, {DOT.format('u.e', 'c.centroid')} AS s FROM u CROSS JOIN c WHERE u.doc_id % 2 = 1),
+ONLINE = f"""WITH {UNIT}, {centroid('c', 'TRUE')},
+ s AS (SELECT u.doc_id, c.cluster_id, {DOT.format('u.e', 'c.centroid')} AS s FROM u CROSS JOIN c),
  b AS (SELECT doc_id, arg_max(cluster_id, s) AS cluster_id, greatest(0.0, least(1.0, max(s))) AS s FROM s GROUP BY doc_id) """
 
 BASE = "c AS (SELECT c_custkey AS doc_id, c_nationkey * 3.0 AS lat, (c_custkey % 120 - 20)::DOUBLE AS lon FROM customer)"
@@ -232,8 +232,7 @@ ORACLES = {
     "batch_cosine_stats": f"""WITH {UNIT}, n AS (SELECT sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))) AS n FROM embeddings), s AS (SELECT i, sum(x) AS s FROM (SELECT unnest(e) AS x, generate_subscripts(e, 1) AS i FROM u) GROUP BY i),
       q AS (SELECT sum(s * s) AS q FROM s) SELECT count(*) AS n_vectors, round(avg(n), 5) AS norm_mean, round(stddev_pop(n), 5) AS norm_std, round(min(n), 5) AS norm_min, round(max(n), 5) AS norm_max, 0.0::DOUBLE AS truncated_ratio,
       round((max(q) - count(*)) / (count(*) * (count(*) - 1)), 5) AS mean_pairwise_cosine FROM n CROSS JOIN q""",
-    "online_assign": ONLINE + "SELECT doc_id, cluster_id, round(s, 5) AS strength FROM b WHERE s > 0.3",
-    "buffered_candidates": ONLINE + "SELECT doc_id, round(s, 5) AS last_strength FROM b WHERE NOT s > 0.3",
+    "nearest_topic": ONLINE + "SELECT doc_id, cluster_id, round(s, 5) AS strength, s > 0.3 AS assigned FROM b",
     "unassigned_docs": "SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents a WHERE a.doc_id = d.doc_id AND a.doc_id % 3 = 0) AND NOT EXISTS (SELECT 1 FROM documents b WHERE b.doc_id = d.doc_id AND b.doc_id % 3 = 1)",
     "chunk_windows": f"""WITH t AS (SELECT doc_id, {WORDS.format("coalesce(text, '')")} AS t FROM documents), s AS (SELECT doc_id, t, unnest(range(0, greatest(len(t), 1), 448)) AS start FROM t)
       SELECT doc_id, (start // 448)::INTEGER AS chunk, start::INTEGER AS start, len(t[start + 1:start + 512])::INTEGER AS n_tokens, sha256(array_to_string(t[start + 1:start + 512], ' ')) AS chunk_sha FROM s WHERE start = 0 OR start + 64 < len(t)""",

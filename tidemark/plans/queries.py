@@ -265,18 +265,27 @@ def batch_cosine_stats(spark, sf):
     return out.select(*[F.round(c, 5).alias(c) if c != "n_vectors" else F.col(c) for c in out.columns])
 
 
+def _nearest_topic(spark, sf):
+    m = A.members(spark, sf)
+    return cluster.assign_online(m, vectors.centroids(m, "cluster_id"), ClusterConfig(assignment_threshold=0.3))
+
+
+def nearest_topic(spark, sf):
+    return _nearest_topic(spark, sf).select("doc_id", "cluster_id", F.round("strength", 5).alias("strength"), "assigned")
+
+
 def _online(spark, sf):
     m = A.members(spark, sf)
-    cents = vectors.centroids(m.filter("doc_id % 2 = 0"), "cluster_id")
-    return cluster.assign_online(m.filter("doc_id % 2 = 1"), cents, ClusterConfig(assignment_threshold=0.3))
+    model = dedup._cut(cluster.density_model(m.withColumn("window", F.lit(0)), "window"))
+    return cluster.predict(m, model.join(m.select("doc_id", "embedding"), "doc_id"))
 
 
 def online_assign(spark, sf):
-    return _online(spark, sf).filter("assigned").select("doc_id", "cluster_id", F.round("strength", 5).alias("strength"))
+    return _online(spark, sf).filter("assigned").select("doc_id", "label", F.round("strength", 6).alias("strength"))
 
 
 def buffered_candidates(spark, sf):
-    return _online(spark, sf).filter("NOT assigned").select("doc_id", F.round("strength", 5).alias("last_strength"))
+    return _online(spark, sf).filter("NOT assigned").select("doc_id", F.round("strength", 6).alias("last_strength"))
 
 
 def unassigned_docs(spark, sf):
@@ -409,7 +418,7 @@ QUERIES = {
         rank_topics, rank_topics_3_windows, rank_exclusions, score_breakdown, urgency, explain_rank, topic_timeline_72h, topic_timeline_unweighted, topic_sources, topic_samples, topic_category,
         weighted_sentiment, weighted_growth, snapshot_metrics, author_burst, velocity_flood, bot_timing, history_buckets_6h, latest_snapshot_asof, filter_content, filter_baseline, clean_text, stem_tokens,
         classify_document, text_fingerprint, exact_dedup_groups, shingle_stats, minhash_signature, lsh_candidates, near_dup_pairs, near_dup_groups, normalize_events_json, extract_page_links, page_article,
-        geo_bbox, geo_toponym, geo_priority, nearest_region, cluster_centroids, cluster_cohesion, cluster_metrics, cluster_enrichment, reconcile_clusters, batch_cosine_stats, online_assign, buffered_candidates,
+        geo_bbox, geo_toponym, geo_priority, nearest_region, cluster_centroids, cluster_cohesion, cluster_metrics, cluster_enrichment, reconcile_clusters, batch_cosine_stats, nearest_topic, online_assign, buffered_candidates,
         unassigned_docs, density_clusters, representative_docs, chunk_windows, sentiment_from_scores, documents_page, top_filtered, export_rows, pipeline_stats, health_status, table_metrics, documents_with_ml,
         latest_upsert, official_documents, parse_summary, validate_summary, passage_text, annotate_language, source_urls,
     )
