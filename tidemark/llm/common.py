@@ -117,6 +117,23 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+#: A key is heavy if it holds more than one in ``HEAVY`` of all rows, so at most ``HEAVY`` keys are.
+HEAVY, HEAVY_SALTS = 10_000, 16
+
+
+def join_salted(rows: DataFrame, unique: DataFrame, key: str, count: str, spread: str) -> DataFrame:
+    """``rows`` joined by ``key`` (no null matches) with ``unique``, which has one row a key and in ``count``
+    how many of all rows hold it. Rows of heavy keys are dealt by a hash of ``spread`` to salts, to each of
+    which their one partner is copied. Only the list of heavy keys, ``HEAVY`` at most, is broadcast."""
+    total = unique.agg(F.sum(count)).head()[0] or 0
+    is_heavy = F.col(count) * HEAVY > total
+    heavy = unique.filter(is_heavy).select(key, F.lit(True).alias("_heavy"))
+    dealt = F.when(F.col("_heavy"), F.pmod(F.xxhash64(spread), F.lit(HEAVY_SALTS))).otherwise(0).cast("int")
+    left = rows.join(F.broadcast(heavy), key, "left").withColumn("_salt", dealt).drop("_heavy")
+    salts = F.when(is_heavy, F.sequence(F.lit(0), F.lit(HEAVY_SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return left.join(unique.withColumn("_salt", F.explode(salts)), [key, "_salt"]).drop("_salt")
+
+
 def without(docs: DataFrame, gone: DataFrame, id_col: str, content, content_col: str) -> DataFrame:
     """The rows of ``docs`` whose id (null included) and ``content``, a binary expression over them, are
     not together a row of ``gone``, which holds the latter in ``content_col``: an id may stand for several texts."""

@@ -2,7 +2,8 @@
 
 Rows are first combined where they lie: a task keeps one entry for each distinct text it
 has read, with the ids of its rows. Entries meet under (digest, salt), the winners of the
-salts then meet under the digest. Every stage compares whole contents, not digests alone:
+salts then meet under the digest. A digest that holds a large share of all rows is salted
+again where its verdict goes back to its rows. Every stage compares whole contents, not digests alone:
 the content travels zstd-packed, and packing is lossless and deterministic, so packed
 contents are equal exactly when the texts are.
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE, small_batches, store, without
+from tidemark.llm.common import SPACE, join_salted, small_batches, store, without
 
 SALTS = 16
 #: Bytes of distinct text that a task holds before it hands its entries on, and ids in one entry.
@@ -107,7 +108,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     clashed = not clash.isEmpty()
     entries = local if clashed else rows.mapInArrow(_combine_locally(digest, False), "digest binary, ids array<long>, keep long, n long")
     single = winners.filter("contents = 1").select("digest", F.col("keep").alias("keep_id"), F.col("n").alias("group_size"))
-    out = entries.select("digest", "ids").join(single, "digest")
+    out = join_salted(entries.select("digest", "ids"), single, "digest", "group_size", "ids").select("digest", "ids", "keep_id", "group_size")
     if clashed:  # different contents under one digest are told apart by content
         both = clash.select("digest", "content", F.col("keep").alias("keep_id"), F.col("n").alias("group_size"))
         out = out.unionByName(entries.select("digest", "content", "ids").join(both, ["digest", "content"]).drop("content"))
