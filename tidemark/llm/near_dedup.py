@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE, small_batches, store, without, word_hashes
+from tidemark.llm.common import SPACE, join_salted, small_batches, store, without, word_hashes
 
 BANDS, ROWS, BATCH = 32, 5, 20
 MISS = 1e-6
@@ -300,15 +300,15 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, shingle: int = 5, perce
     described = store(texts.mapInArrow(_describe(shingle, hashes), "id long, n long, node binary, sig binary"))
     named = described.filter("id IS NOT NULL AND node IS NOT NULL")
     nodes = store(
-        described.filter("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("rep"), F.first("sig", ignorenulls=True).alias("sig")).filter("rep IS NOT NULL")
+        described.filter("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("rep"), F.first("sig", ignorenulls=True).alias("sig"), F.count("id").alias("copies")).filter("rep IS NOT NULL")
     )
     in_band = nodes.select("node", "sig").mapInArrow(_bands(bands, rows), "bucket long, band int, node binary")
     in_band = store(in_band)
-    shared = in_band.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    members = store(in_band.join(shared, "bucket"))
+    shared = store(in_band.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"))
+    members = store(join_salted(in_band, shared, "bucket", "size", "node"))
     degree = members.groupBy("node").agg(F.sum("size").alias("degree"))
-    hubs = members.join(degree, "node").groupBy("bucket").agg(F.max(F.struct("degree", "node")).getField("node").alias("hub"))
-    members = store(members.join(hubs, "bucket"))
+    hubs = store(members.join(degree, "node").groupBy("bucket").agg(F.max(F.struct("degree", "node")).getField("node").alias("hub"), F.max("size").alias("held")))
+    members = store(join_salted(members, hubs, "bucket", "held", "node").drop("held"))
     involved = nodes.join(members.select("node").distinct(), "node", "left_semi")
     packed = texts.filter("id IS NOT NULL").mapInArrow(_pack, "id long, node binary, content binary")
     contents = store(packed.join(involved.select("node", "sig", F.col("rep").alias("id")), ["id", "node"]).dropDuplicates(["node"]).select("node", "sig", "content"))
@@ -336,10 +336,10 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, shingle: int = 5, perce
     if not across.isEmpty():
         labels = components(edges.unionByName(across))
 
-    least_id = nodes.join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
-    by_label = least_id.groupBy("label").agg(F.min("rep").alias("component_id"))
-    of_node = least_id.join(by_label, "label").select("node", "component_id")
-    linked = named.join(of_node, "node").select("id", "n", "component_id", "node")
+    least_id = nodes.join(labels, "node", "left").select("node", "rep", "copies", F.coalesce("label", "node").alias("label"))
+    by_label = store(least_id.groupBy("label").agg(F.min("rep").alias("component_id"), F.count("*").alias("held")))
+    of_node = store(join_salted(least_id, by_label, "label", "held", "node").select("node", "component_id", "copies"))
+    linked = join_salted(named, of_node, "node", "copies", "id").select("id", "n", "component_id", "node")
     alone = described.filter("id IS NULL OR node IS NULL").select("id", "n", F.col("id").alias("component_id"), "node")
     return linked.unionByName(alone).select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), "node"
