@@ -324,8 +324,8 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, shingle: int = 5, perce
 
     # Pairs that no hub has covered, across components of shared buckets.
     start = members.filter("node <> hub").join(labels, "node", "left").select("bucket", "band", "node", F.coalesce("label", "node").alias("now"))
-    torn = start.groupBy("bucket").agg(F.min("now").alias("lo"), F.max("now").alias("hi"), F.count("*").alias("size")).filter("lo <> hi").select("bucket", "size")
-    open_ = start.join(torn, "bucket").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    torn = store(start.groupBy("bucket").agg(F.min("now").alias("lo"), F.max("now").alias("hi"), F.count("*").alias("size")).filter("lo <> hi").select("bucket", "size"))
+    open_ = join_salted(start, torn, "bucket", "size", "node").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     open_ = open_.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "bucket", "band", "node", "now", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"),
