@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup, html_extract, mixing, near_dedup, quality_classifier, quality_rules, sharding, substring_dedup, toxicity
+from tidemark.llm import bpe, exact_dedup, fim, html_extract, mixing, near_dedup, quality_classifier, quality_rules, sharding, substring_dedup, topk_search, toxicity, vector_codes
 from tidemark.llm.common import table
 
 SHARDS = 40
@@ -54,10 +54,23 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score(table(spark, sf_dir, "documents"))
 
 
+def op11_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.codes(table(spark, sf_dir, "embeddings"))
+
+
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_near_dedup, op2_exact_dedup, op3_bpe, op4_mixing, op5_sharding, op6_toxicity, op7_substring_dedup, op8_quality_classifier, op9_html_extract, op10_quality_rules,
+        op11_topk_search, op12_vector_codes, op13_fim,
     )
 }
-ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE, "op11_topk_search": topk_search.ORACLE, "op12_vector_codes": vector_codes.ORACLE, "op13_fim": fim.ORACLE}
