@@ -1,21 +1,23 @@
 """Main text of web pages by equivalence-class template deduction.
 
 A page is a sequence of tokens: tags that open or close and blocks of text, told apart by their
-path, which has the tags' class names. Over the distinct pages of a host each token
+path, a hash of the tags and class names around it. Over the distinct pages of a host each token
 has an occurrence vector (how often it occurs on each page). Tokens with equal vectors form a
 class. Classes that at least ``SHARE`` of the pages hold are ordered by where their tokens stand;
 a class whose span crosses another's without lying inside it or in one gap of it is invalid, and
-each valid one is nested in the gap of the smallest class around it. That is the host's
+each valid one is nested in the gap of the smallest class around it (of equal ones, that of the smaller class number). That is the host's
 template. On a page, a class whose tokens do not stand in the template's order is invalid there.
 
 The gap after a tag of the template is a slot. What the slots of all pages hold says what each is
 for: a slot most of whose text lies in a menu, header, footer, sidebar, notice, advert, form or
-reader comment (tags and class names label it so), or that lies outside articles and holds
+reader comment (tags, and words of class names, label it so), or that lies outside articles and holds
 almost only links over the host's pages, is not main text. Text that is itself a token
 of the template is furniture of the site, inside articles too, unless it is the larger part of
 a page's article. The rest of the text in slots is the main text. Text in parts that the template
 does not have, and pages of hosts with fewer than ``LEAST_PAGES`` distinct pages, which give no
-template, go by the labels of their own tags alone.
+template, go by the labels of their own tags alone: in an article those are tags, roles and names all of whose words say so,
+and a paragraph, list item, heading or table there is never left out for its name. A word of a name, as in ``related-work``, only hints
+at what a slot of the whole host is for.
 
 Vectors are compared by their supports and 62-bit sums of hashes, so no list of pages is ever
 gathered; a host's template holds tokens of at least ``SHARE`` of its pages, so it is no
@@ -24,7 +26,8 @@ in all, else joined to salted pages.
 
 Defined results. Null or empty html gives an empty text. A null url is a host of its own; a null
 page_id is carried along. Rows that repeat are repeated, and count once in a template. Pages of
-any length are read whole. An empty table gives an empty one. Other columns are not read,
+any length and depth are read whole, in time linear in the page: an unclosed tag or quote is text up to the next ``<``, an unclosed
+comment or script takes the rest of the page. An empty table gives an empty one. Other columns are not read,
 whatever their names.
 """
 
@@ -45,14 +48,10 @@ LINKED = 0.9
 BROADCAST_TOKENS = 100_000
 SALTS = 16
 
-_token = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-    r"|<(script|style|noscript|template|textarea|svg|math|iframe|object|select|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S | re.I,
-)
+_name = re.compile(r"/?([a-zA-Z][a-zA-Z0-9:-]*)")
+_stop = re.compile(r"[<>\"']")
 _named = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_name_parts = re.compile(r"[a-z]+")
+_word = re.compile(r"[a-z]+")
 _number = re.compile(r"[0-9]+")
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -63,8 +62,12 @@ OUTSIDE_NAMES = frozenset(
     " footer header masthead cookie cookies consent gdpr notice notices alert popup modal newsletter subscribe subscription signup login share sharing social"
     " comment comments reply replies discussion disqus related recommended widget pagination pager search skip toolbar complementary contentinfo".split()
 )
+NEUTRAL_NAMES = frozenset("area bar block body bottom box col column container content group holder inner item items left link links list main nav outer page panel post right row section site text top wrap wrapper".split())
 OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Raw elements: what they hold is neither text nor tags.
+RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in "script style noscript template textarea svg math iframe object select title".split()}
+PARAGRAPHS = frozenset("p li dt dd blockquote pre figure figcaption caption table tr td th address".split()) | HEADINGS
 CLOSES_P = frozenset("address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr",), "tbody": ("thead", "tr"), "tfoot": ("tbody", "tr")}
 STOPS = frozenset("ul ol dl table article section div body main".split())
@@ -77,27 +80,124 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def _outside(tag: str, attributes: str) -> bool:
+def _outside(tag: str, attributes: str) -> int:
+    """How much speaks for a part outside the main text: 3 its tag or role, 2 a whole name, 1 a word of a name, 0 nothing."""
     if tag in OUTSIDE:
-        return True
+        return 3
     if not attributes or tag in ("html", "body", "main"):
-        return False
+        return 0
+    most = 0
     for m in _named.finditer(attributes):
         value = (m[2] or m[3] or m[4] or "").lower()
         if m[1].lower() == "role":
             if value in OUTSIDE_ROLES:
-                return True
-        elif not OUTSIDE_NAMES.isdisjoint(_name_parts.findall(value)):
-            return True
-    return False
+                return 3
+            continue
+        for name in value.split():
+            words = _word.findall(name)
+            if not OUTSIDE_NAMES.isdisjoint(words):
+                most = max(most, 2 if all(w in OUTSIDE_NAMES or w in NEUTRAL_NAMES for w in words) else 1)
+    return most
+
+
+class _Scanner:
+    """Pieces of a page: (text, None, None, False) and (None, tag, attributes, closing). A tag ends at the first ``>``
+    outside quotes. Where a ``<`` or the end of the page comes first, or a quote has no end, there is no tag and its ``<`` is
+    text. Work is linear in the page: a quote has no end if it is the last of its kind, and a place from which
+    no ``>`` was found is not tried again."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {q: page.rfind(q) for q in "\"'>"}
+        self.vain: set[int] = set()
+
+    def tag_end(self, at: int) -> int:
+        """Place of the ``>`` that ends a tag, -1 if nothing does."""
+        tried = []
+        while at not in self.vain:
+            tried.append(at)
+            m = _stop.search(self.page, at)
+            if m is None or m[0] == "<":
+                break
+            if m[0] == ">":
+                return m.start()
+            if m.start() == self.last[m[0]]:
+                break
+            at = self.page.find(m[0], m.end()) + 1
+        self.vain.update(tried)
+        return -1
+
+    def __iter__(self):
+        page, at = self.page, 0  # text from ``at`` on is not given yet
+        lt = page.find("<")
+        while lt >= 0:
+            skip, found = 0, None
+            if page.startswith("<!--", lt):
+                end = page.find("-->", lt + 4)
+                skip = len(page) if end < 0 else end + 3
+            elif page.startswith("<![CDATA[", lt):
+                end = page.find("]]>", lt + 9)
+                end = len(page) if end < 0 else end
+                skip, found = end + 3, (page[lt + 9 : end], None, None, False)
+            elif page.startswith(("<!", "<?"), lt):
+                skip = page.find(">", lt) + 1 if lt < self.last[">"] else 0
+            elif m := _name.match(page, lt + 1):
+                end = self.tag_end(m.end()) if m.end() <= self.last[">"] else -1
+                if end >= 0:
+                    skip, found = end + 1, (None, m[1].lower(), page[m.end() : end], page[lt + 1] == "/")
+                    raw = None if found[3] else RAW.get(found[1])
+                    if raw:
+                        close = raw.search(page, skip)
+                        skip, found = (close.end() if close else len(page)), (" ", None, None, False)
+            if not skip:
+                lt = page.find("<", lt + 1)
+                continue
+            if lt > at:
+                yield page[at:lt], None, None, False
+            if found:
+                yield found
+            at = min(skip, len(page))
+            lt = page.find("<", at)
+        if at < len(page):
+            yield page[at:], None, None, False
+
+
+class _Open:
+    """An open tag with what its ancestors say: whether the text in it is barred or (``hinted``) only named so."""
+
+    __slots__ = ("tag", "path", "block", "region", "apart", "barred", "hinted", "heading")
+
+    def __init__(self, tag: str, path: str, block: bool, outside: int, above: _Open | None):
+        self.tag, self.path, self.block = tag, path, block
+        self.region, self.apart = (above.region, above.apart) if above else ("", False)
+        barred, hinted = (above.barred, above.hinted) if above else (0, 0)
+        self.heading = tag in HEADINGS or bool(above and above.heading)
+        own = 1 if tag == "header" else 2  # an article's header is barred less than other parts
+        if not self.region and tag in ("article", "main") and not self.apart:
+            self.region, barred, hinted = tag, 0, 0
+        elif outside:
+            hinted = max(hinted, own)
+            if not self.region or outside == 3 or (outside == 2 and tag not in PARAGRAPHS):
+                barred = max(barred, own)
+        self.apart = self.apart or bool(outside)
+        self.barred, self.hinted = barred, hinted
 
 
 def parse(page: str | None):
-    """Tokens in page order: ("open" or "close", path, "") and ("text", path, block, region, barred, share in links)."""
-    out, stack, text, at = [], [], [], 0
-    page = page or ""
+    """Tokens in page order: ("open" or "close", path, "") and ("text", path, block, region, barred, share in links,
+    hinted). A path is a hash of the tags and names from the page's top, so a token's size does not grow with depth."""
+    import xxhash
+
+    out, stack, text = [], [], []
+    places: dict[str, list[int]] = {}  # tag -> where it is open in the stack
     linked = 0
 
+    def put(piece):
+        nonlocal linked
+        text.append(piece)
+        if places.get("a"):
+            linked += len(piece)
+
     def flush():
         nonlocal linked
         if text:
@@ -105,52 +205,38 @@ def parse(page: str | None):
             block = " ".join(entities.unescape("".join(text)).split())
             text.clear()
             if block:
-                tags = [x[0] for x in stack]
-                inner = next((i for i, x in enumerate(stack) if x[0] in ("article", "main") and not any(y[1] for y in stack[:i])), None)
-                barred = [x[0] for x in stack[inner + 1 if inner is not None else 0 :] if x[1]]
-                if inner is not None and barred and set(barred) == {"header"} and not HEADINGS.isdisjoint(tags):
-                    barred = []  # the article's own title
-                region = "article" if inner is not None and "article" in tags[: inner + 1] else "main" if inner is not None else ""
-                out.append(("text", stack[-1][2] if stack else "", block, region, bool(barred), linked / whole))
+                top = stack[-1] if stack else _Open("", "", True, 0, None)
+                least = 1 if top.region and top.heading else 0  # the article's own title
+                out.append(("text", top.path, block, top.region, top.barred > least, linked / whole, top.hinted > least))
             linked = 0
 
     def drop(i):
         """Close everything from the i-th open tag on."""
-        out.extend(("close", x[2], x[3]) for x in reversed(stack[i:]) if x[3] is not None)
-        del stack[i:]
+        while len(stack) > i:
+            x = stack.pop()
+            places[x.tag].pop()
+            if x.block:
+                out.append(("close", x.path, ""))
 
-    def close(names, stops=STOPS):
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in names:
-                drop(i)
-                return
-            if stack[i][0] in stops:
-                return
+    def innermost(names) -> int:
+        return max((places[n][-1] for n in names if places.get(n)), default=-1)
 
-    def put(piece):
-        nonlocal linked
-        text.append(piece)
-        if any(x[0] == "a" for x in stack):
-            linked += len(piece)
+    def close(names, stops=STOPS):
+        i = innermost(names)
+        if i >= 0 and i >= innermost(stops):
+            drop(i)
 
-    for m in _token.finditer(page):
-        if m.start() > at:
-            put(page[at : m.start()])
-        at = m.end()
-        if m[3] is None:
-            if m[0].startswith("<![CDATA["):
-                put(m[0][9:].removesuffix("]]>"))
-            elif m[1]:
-                text.append(" ")
+    for piece, tag, attributes, closing in _Scanner(page or ""):
+        if tag is None:
+            text.append(piece) if piece == " " else put(piece)
             continue
-        tag = m[3].lower()
-        if m[2]:
+        if closing:
             if tag not in INLINE:
                 flush()
             elif tag in ("td", "th"):
                 text.append(" ")
-            if any(x[0] == tag for x in stack):
-                close((tag,), frozenset() if tag not in INLINE else STOPS)
+            if places.get(tag):
+                close((tag,), () if tag not in INLINE else STOPS)
             continue
         if tag not in INLINE:
             flush()
@@ -159,20 +245,18 @@ def parse(page: str | None):
         elif tag in ("br", "td", "th", "img"):
             text.append(" ")
         if tag in SAME:
-            close(SAME[tag], frozenset({"ul", "ol", "dl", "table"}))
-        if tag in VOID or m[4].rstrip().endswith("/") and tag in INLINE:
-            continue
-        above = stack[-1][2] if stack else ""
-        if tag in INLINE:
-            stack.append((tag, _outside(tag, m[4]), above, None))
+            close(SAME[tag], ("ul", "ol", "dl", "table"))
+        if tag in VOID or attributes.rstrip().endswith("/") and tag in INLINE:
             continue
-        names = " ".join(sorted((x[2] or x[3] or x[4] or "") for x in _named.finditer(m[4]))) if m[4] else ""
-        own = f"{tag}.{_number.sub('0', names)}" if names else tag  # numbers differ from page to page
-        path = f"{above}/{own}" if above else own
-        stack.append((tag, _outside(tag, m[4]), path, ""))
-        out.append(("open", path, ""))
-    if at < len(page):
-        put(page[at:])
+        above = stack[-1] if stack else None
+        path = above.path if above else ""
+        if tag not in INLINE:
+            names = " ".join(sorted((x[2] or x[3] or x[4] or "") for x in _named.finditer(attributes))) if attributes else ""
+            own = f"{tag}.{_number.sub('0', names)}" if names else tag  # numbers differ from page to page
+            path = xxhash.xxh3_64_hexdigest(f"{path}/{own}".encode("utf-8", "surrogatepass"))
+            out.append(("open", path, ""))
+        places.setdefault(tag, []).append(len(stack))
+        stack.append(_Open(tag, path, tag not in INLINE, _outside(tag, attributes), above))
     flush()
     drop(0)
     return out
@@ -228,13 +312,17 @@ def main_text(tokens: list, template: dict[int, tuple]) -> str:
             if order < last.get(name, -1):
                 invalid.add(name)
             last[name] = max(order, last.get(name, -1))
-    for k in seen:  # what is nested in a gap of an invalid class is no part of this page's template
-        gap, steps = template[k][2], 0
-        while gap in template and steps < 64:
-            if template[gap][0] in invalid:
-                invalid.add(template[k][0])
-                break
-            gap, steps = template[gap][2], steps + 1
+    judged: dict[int, bool] = {}  # what is nested in a gap of an invalid class is no part of this page's template
+    for k in seen:
+        way = []
+        while k in template and k not in judged and template[k][0] not in invalid:
+            judged[k] = False  # until the gaps around it are known; a gap never lies in itself
+            way.append(k)
+            k = template[k][2]
+        bad = k in template and (template[k][0] in invalid or judged[k])
+        for x in way:
+            judged[x] = bad
+    invalid.update(template[k][0] for k, bad in judged.items() if bad)
     known = lambda k: template[k][3] if k in template and template[k][0] not in invalid else None
     blocks, slot = [], None
     for i, t in enumerate(tokens):
@@ -272,7 +360,7 @@ def _tokens(batches):
                     elif slot is not None:
                         n = len(t[2])
                         slot[7] += n
-                        slot[8] += n if t[4] else 0
+                        slot[8] += n if t[6] else 0
                         slot[9] += 0 if t[3] or t[5] < LINKED else n
                 rows.extend(found.values())
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _FOUND, strict=True)], schema=_FOUND)
