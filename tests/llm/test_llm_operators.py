@@ -67,6 +67,26 @@ def test_exact_deduplicate_by_row(spark):
     assert got == [(0, "b"), (5, "a"), (7, "c\td")]
 
 
+def test_repeated_rows_stay_once(spark):
+    """Rows that repeat an id and text are one document, null ids too; other texts under the id are not touched."""
+    base = " ".join(f"w{i}" for i in range(40))
+    data = [(1, base, "b", "x"), (1, base, "a", "x"), (1, "  " + base, "a", "x"), (1, "other words", "a", "x"), (None, "lone", "a", "x"), (None, "lone", "a", "x"), (2, None, "a", "x"), (3, base + " é", "a", "x"), (3, base + " é", "a", "x")]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, _content string").repartition(4)
+    got = Counter((r.doc_id, r.text, r.lang) for r in exact_dedup.deduplicate(df).collect())
+    assert got == Counter([(1, "other words", "a"), (None, "lone", "a"), (2, None, "a"), (3, base + " é", "a"), (1, "  " + base, "a"), (1, base, "a")])
+    near = Counter((r.doc_id, (r.text or "").strip()) for r in near_dedup.deduplicate(df).collect())
+    assert near == Counter([(1, base), (1, "other words"), (None, "lone"), (2, "")])
+
+
+def test_mix_by_text_of_an_id(spark):
+    """Each text of an id has its own plan: what the plan leaves out is not taken with another text."""
+    data = [(7, "long " * 100, "a"), (7, "three short words", "a"), *[(i, "w " * 20, "b") for i in range(30, 33)], *[(i, "x " * 20, "c") for i in range(40, 45)]]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    for seed in range(3):  # the target of a is 43 words
+        got = Counter((r.doc_id, r.text) for r in mixing.resample(df, seed=seed).collect())
+        assert got[7, "long " * 100] == 0 and got[7, "three short words"] == 1
+
+
 def test_near_deduplicate_by_row(spark):
     base = [f"W{i}" for i in range(60)]
     near, other = " ".join(base[:-1] + ["é"]), "quite another text under the same id, of no copies"
@@ -96,6 +116,33 @@ def test_near_dedup(docs, shingle, percent):
     assert {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got} == {(i, len(s), find(i), find(i) == i) for i, s in sets.items()}
 
 
+BROKEN = {
+    "unclosed tag": ("<a " * 200_000, 1.5), "unclosed quote": ('<a "' * 200_000, 1.5), "depth": ('<div class="col"><section>' * 30_000, 6), "quoted end": ('<a "x>"' * 100_000, 1.5), "declaration": ("<!" * 300_000, 1.5),
+    "two quotes": ("<a \"'<a '\"" * 80_000, 1.5), "lists": ("<li><ul>" + "<div>" * 60_000 + "<li></li>" * 30_000, 6), "inline": ("<b>" * 60_000 + "<p>x</p>" * 30_000, 6), "script": ("<script>" * 80_000, 1.5), "blocks": ("<div>text " * 50_000, 6),
+}
+
+
+@pytest.mark.parametrize("kind", BROKEN)
+def test_broken_pages_take_linear_time(kind):
+    """Twice the page takes about twice as long, where it was four times."""
+    import time
+
+    page, seconds = BROKEN[kind]
+    started = time.process_time()
+    tokens = html_extract.parse(page)
+    assert time.process_time() - started < 4 * seconds and len(tokens) <= len(page)
+    assert all(len(t[1]) <= 16 for t in tokens)
+
+
+def test_html_names_in_articles():
+    """In an article a name bars a part only as a whole, and no paragraph; tags and roles always do."""
+    page = (
+        '<div class="related-work">out</div><article><h1>T</h1><p>Intro.</p><section class="related-work"><p>A</p></section><div class="search-results-analysis">B</div><p class="notice">C</p>'
+        '<div class="share-bar">no</div><div class="comment-list"><p>no</p></div><section role="search">no</section><aside>no</aside><header>no</header><p>a < b "quoted <i>x</i></p></article>'
+    )
+    assert html_extract.main_text(html_extract.parse(page), {}) == 'T\n\nIntro.\n\nA\n\nB\n\nC\n\na < b "quoted x'
+
+
 def test_near_dedup_across_hubs(spark):
     """A chain and a star of near copies in one bucket, more than a block of them."""
     r = random.Random(3)

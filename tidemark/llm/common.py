@@ -11,7 +11,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -141,3 +141,20 @@ def without(docs: DataFrame, gone: DataFrame, id_col: str, content, content_col:
     told = docs.withColumn(own, content)
     both = gone.select(F.col(id_col).cast("long").alias(name), F.col(content_col).alias(other))
     return told.join(both, told[id_col].cast("long").eqNullSafe(F.col(name)) & (F.col(own) == F.col(other)), "left_anti").drop(own)
+
+
+def stays(docs: DataFrame, verdicts: DataFrame, id_col: str, content, content_col: str) -> DataFrame:
+    """The rows of ``docs`` that ``verdicts`` (id, ``content_col``, kept; a row for each of ``docs``) keeps. Rows that
+    repeat an id and content are one document: the first by all its columns stays."""
+    verdicts = store(verdicts.select(F.col(id_col), content_col, "kept"))
+    rest = without(docs, verdicts.filter("not kept"), id_col, content, content_col)
+    again = verdicts.filter("kept").groupBy(id_col, content_col).agg(F.count("*").alias("n")).filter("n > 1")
+    if again.isEmpty():
+        return rest
+    own, place = fresh(docs, "_content"), fresh(docs, "_place")
+    same = rest.withColumn(own, content)
+    other = again.select(F.col(id_col).alias(fresh(docs, "_again")), F.col(content_col).alias(fresh(docs, "_again_content")))
+    match = same[id_col].cast("long").eqNullSafe(other[0]) & (same[own] == other[1])
+    order = Window.partitionBy(F.col(id_col).cast("long"), own).orderBy(*[F.col(f"`{c}`").cast("string").asc_nulls_last() for c in docs.columns])
+    first = same.join(other, match, "left_semi").withColumn(place, F.row_number().over(order)).filter(F.col(place) == 1)
+    return without(rest, again, id_col, content, content_col).unionByName(first.drop(own, place))

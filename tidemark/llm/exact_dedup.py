@@ -9,8 +9,9 @@ contents are equal exactly when the texts are.
 
 Defined results. Null text counts as empty. Of equal texts the smallest doc_id stays; a
 null doc_id is larger than any other and stays only in a group without ids. Rows that
-repeat a doc_id and text are one document and share a verdict; each text of an id has its own. An empty table gives an empty one.
-Columns other than the id and the text are not read, whatever their names.
+repeat a doc_id and text are one document and share a verdict, and ``deduplicate`` keeps one of them; each text of an id has its own.
+Texts of any length are compared whole: a task holds the distinct texts it has read up to ``FLUSH_BYTES`` and one beyond. An empty table
+gives an empty one. Columns other than the id and the text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE, join_salted, small_batches, store, without
+from tidemark.llm.common import SPACE, join_salted, small_batches, stays, store
 
 SALTS = 16
 #: Bytes of distinct text that a task holds before it hands its entries on, and ids in one entry.
@@ -117,9 +118,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
+    """The rows of ``docs`` that stay, with all their columns; of rows that repeat an id and text, one."""
     content = F.unhex(F.sha2(F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), SPACE, " "), 256))
-    return without(docs, classes(docs, id_col, text_col).filter("not kept"), id_col, content, "digest")
+    return stays(docs, classes(docs, id_col, text_col), id_col, content, "digest")
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

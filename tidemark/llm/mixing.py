@@ -16,8 +16,8 @@ Bounds: the driver holds a row for each source and each membership pattern (neve
 document); more than ``max_patterns`` patterns raise an error.
 
 Defined results. Null and empty texts have size 0 and are never taken. A null source is a
-source of its own, last in order. Rows that repeat a doc_id and source are taken alike. An
-empty table gives an empty one. Other columns are not read.
+source of its own, last in order. Rows with equal hashes go by id, then size. Of a text of any length only its size
+is planned with. An empty table gives an empty one. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -195,9 +195,13 @@ def mix_by_source(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def resample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, seed: int = 0) -> DataFrame:
-    """The mix itself: the rows of ``docs`` that it takes, each as often as it takes them."""
-    plan = mix_by_source(docs, id_col, text_col, source_col, seed=seed).filter("taken > 0")
+    """The mix itself: the rows of ``docs`` that it takes, each as often as it takes them. An id may stand for several texts:
+    each is planned and taken for itself. Rows that repeat an id, text and source are taken equally often, as often as the most taken of them."""
     name, times, nth = (fresh(docs, c) for c in ("_id", "_times", "_nth"))
-    often = plan.groupBy(F.col(id_col).alias(name)).agg(F.max(F.expr("taken div size")).cast("int").alias(times))
-    taken = docs.join(often, docs[id_col].eqNullSafe(F.col(name))).drop(name)
+    source, text = F.col(source_col).cast("string"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    key = F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(text, F.coalesce(source, F.lit(""))).alias("print"))
+    sized = docs.select(key.alias("id"), F.array(source).alias("sources"), n_words(F.col(text_col)).alias("size"))
+    plan = mix(sized, id_col="id", seed=seed)[0].filter("taken > 0")
+    often = plan.groupBy(F.col("id").alias(name)).agg(F.max(F.expr("taken div size")).cast("int").alias(times))
+    taken = docs.join(often, key["id"].eqNullSafe(F.col(name)["id"]) & (key["print"] == F.col(name)["print"])).drop(name)
     return taken.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(nth, times)

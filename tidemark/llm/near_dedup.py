@@ -20,7 +20,8 @@ Candidates miss a pair at a threshold t itself with probability (1 - t ** ROWS)
 
 Defined results. Null and empty texts have no shingles and are linked with nothing. A row
 without an id is linked with nothing and has no component. Rows that repeat an id and text
-are copies. An empty table gives an empty one. Other columns are not read.
+are copies; ``deduplicate`` keeps one of them. Of a component the smallest id stays. Texts of any length are read whole; a task
+that verifies holds the texts of one chunk or of two blocks. An empty table gives an empty one. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE, join_salted, small_batches, store, without, word_hashes
+from tidemark.llm.common import SPACE, join_salted, small_batches, stays, store, word_hashes
 
 BANDS, ROWS, BATCH = 32, 5, 20
 MISS = 1e-6
@@ -347,10 +348,11 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, shingle: int = 5, perce
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that stay, one document of each component, with all their columns."""
+    """The rows of ``docs`` that stay, one document of each component, with all their columns; of rows that repeat an id and words, one."""
     words = F.trim(F.regexp_replace(F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), UPPER, UPPER.lower()), SPACE, " "))
     node = F.substring(F.unhex(F.sha2(words, 256)), 1, 16)  # as _describe has it
-    return without(docs, _linked(docs, id_col, text_col, **options).filter("not kept"), id_col, node, "node")
+    none = F.substring(F.unhex(F.sha2(F.lit(""), 256)), 1, 16)  # texts without a word
+    return stays(docs, _linked(docs, id_col, text_col, **options).withColumn("node", F.coalesce("node", none)), id_col, node, "node")
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
