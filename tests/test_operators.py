@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.config import DedupConfig, FilterConfig, RankingConfig
 from tidemark.functions import language
 from tidemark.operators import cluster, dedup, filtering, geo, normalize, ranking, sentiment, serving, summarize, text, vectors
-from tidemark.sources import collector, files, html
+from tidemark.sources import files, html
 
 NOW = dt.datetime(2024, 1, 30)
 
@@ -379,12 +379,6 @@ def test_dead_letters(spark):
     assert {r.value for r in files.replay_dead(dead).collect()} == set(lines[1:])
 
 
-def test_collector(spark):
-    spark.dataSource.register(collector.CollectorSource)
-    df = spark.read.format("collector").option("items", json.dumps([{"i": i} for i in range(50)])).option("page_size", "20").option("max_items", "45").load()
-    assert df.count() == 45 and df.rdd.getNumPartitions() == 3
-
-
 def test_wall(spark):
     post = {"id": 1, "owner_id": -2, "from_id": 5, "text": "t", "date": 1700000000, "views": {"count": 3}, "attachments": [{"type": "doc"}, {"type": "video"}, {"type": "photo"}]}
     df = spark.createDataFrame([(json.dumps(post),), (json.dumps(post | {"text": " "}),)], "raw string")

@@ -123,19 +123,29 @@ def feed_items(items: DataFrame, feed_url: str = "") -> DataFrame:
     return rows.filter(F.col("text").isNotNull())
 
 
-def split_raw(lines: DataFrame, value_col: str = "value") -> tuple[DataFrame, DataFrame]:
-    """(good raw messages, dead letters) of JSON lines. Unknown keys and missing required fields are dead letters:
-    {"error": ..., "message": ...}."""
+def judged(lines: DataFrame, value_col: str = "value") -> DataFrame:
+    """``lines`` with _m (the message's fields) and _e: why a line is no raw message, null where it is one.
+    Unknown keys and missing required fields are errors."""
     v = F.col(value_col)
     fields = F.array(*[F.lit(f.name) for f in RAW.fields])
     shape = T.StructType([f if f.name != "raw_payload" else T.StructField("raw_payload", T.VariantType()) for f in RAW.fields])
-    rows = lines.select(v.alias("_v"), F.from_json(v, shape, {"mode": "PERMISSIVE"}).alias("_m"), F.json_object_keys(v).alias("_k"))
+    rows = lines.withColumns({"_m": F.from_json(v, shape, {"mode": "PERMISSIVE"}), "_k": F.json_object_keys(v)})
     error = F.when(F.col("_k").isNull(), "not a JSON object").when(F.size(F.array_except("_k", fields)) > 0, F.concat(F.lit("unknown fields: "), F.array_join(F.array_except("_k", fields), ", "))).when(
         F.concat(*[F.col(f"_m.{r}").isNull().cast("string") for r in REQUIRED]).contains("true"), "a required field is missing"
     )
-    rows = rows.withColumn("_e", error)
+    return rows.withColumn("_e", error).drop("_k")
+
+
+def fields_of(rows: DataFrame, *keep: str) -> DataFrame:
+    """The raw messages of ``judged`` lines."""
     cols = [F.col(f"_m.{f.name}") if f.name != "raw_payload" else F.to_json("_m.raw_payload").alias("raw_payload") for f in RAW.fields]
-    return rows.filter("_e IS NULL").select(*cols), rows.filter("_e IS NOT NULL").select(F.to_json(F.struct(F.col("_e").alias("error"), F.col("_v").alias("message"))).alias("value"))
+    return rows.select(*cols, *keep)
+
+
+def split_raw(lines: DataFrame, value_col: str = "value") -> tuple[DataFrame, DataFrame]:
+    """(good raw messages, dead letters) of JSON lines. Dead letters: {"error": ..., "message": ...}."""
+    rows = judged(lines.select(F.col(value_col).alias("_v")), "_v")
+    return fields_of(rows.filter("_e IS NULL")), rows.filter("_e IS NOT NULL").select(F.to_json(F.struct(F.col("_e").alias("error"), F.col("_v").alias("message"))).alias("value"))
 
 
 def replay_dead(letters: DataFrame) -> DataFrame:
