@@ -13,6 +13,10 @@ from tidemark.operators.dedup import _cut
 from tidemark.operators.ranking import ntz
 
 
+#: Clusters whose ids may be broadcast.
+MANY = 100_000
+
+
 def enrich(members: DataFrame, now: dt.datetime, config: ClusterConfig | None = None) -> DataFrame:
     """cluster_id and its counts; ``members``: cluster_id, doc_id, author_id, source_type, reach, created_at, region."""
     c = config or ClusterConfig()
@@ -388,7 +392,7 @@ def density_model(docs: DataFrame, partition: str, config: ClusterConfig | None
     kinds = dict(docs.dtypes)
     rows = docs.select(partition, "doc_id", "embedding")
     one_task = lambda df: df.groupBy(partition).applyInPandas(run, f"{partition} {kinds[partition]}, doc_id {kinds['doc_id']}, core double, {TREE}")
-    sizes = rows.groupBy(partition).agg(F.count("*").alias("size")).cache()
+    sizes = rows.groupBy(partition).agg(F.count("*").alias("size"))
     # the windows as numbers, null included
     large = sizes.filter(F.col("size") > max_rows).select(F.col(partition).alias("window_key"))
     if large.isEmpty():
@@ -471,18 +475,21 @@ def latest_model(snapshots: DataFrame) -> DataFrame:
 def recompute(docs: DataFrame, old: DataFrame, now: dt.datetime, config: ClusterConfig | None = None, *, hours: int = 72) -> dict[str, DataFrame]:
     """A full run over the documents of the last ``hours``: ``assignments``, ``clusters`` (of the kept ids: those of
     ``old``, cluster_id and centroid, that a new cluster is most alike to; other clusters get ids above all of them),
-    ``metrics`` and ``changed`` (ids of the event). ``docs`` as for ``enrich``, with embedding; noise has cluster -1."""
+    ``metrics`` and ``changed`` (ids of the event), and what ``predict`` needs later: ``model`` and ``ids`` (label,
+    cluster_id). ``docs`` as for ``enrich``, with embedding; noise has cluster -1."""
     c = config or ClusterConfig()
     inside = docs.filter(F.col("created_at").between(ntz(now - dt.timedelta(hours=hours)), ntz(now)))
-    labels = _cut(density_clusters(inside.withColumn("window", F.lit(0)), "window").select("doc_id", F.col("label").alias("new_id")))
+    model = _cut(density_model(inside.withColumn("window", F.lit(0)), "window", c).drop("window"))
+    labels = model.select("doc_id", F.col("label").alias("new_id"))
     found = inside.drop("cluster_id").join(labels, "doc_id")
     new = _cut(vectors.centroids(found.filter("new_id >= 0").withColumnRenamed("new_id", "cluster_id"), "cluster_id"))
     match = _cut(reconcile(new, old, c).select("new_id", "old_id"))
     above = F.broadcast(old.agg(F.coalesce(F.max("cluster_id") + 1, F.lit(0)).alias("base")))  # one row
-    ids = labels.join(F.broadcast(match), "new_id", "left").crossJoin(above)  # as many rows as documents, one on the right
-    kept = F.when(F.col("new_id") < 0, -1).otherwise(F.coalesce("old_id", F.col("new_id") + F.col("base"))).cast("long")
-    assignments = _cut(ids.select("doc_id", kept.alias("cluster_id")))
-    return {"assignments": assignments, **rebuild(inside.drop("cluster_id").join(assignments, "doc_id"), now, c)}
+    named = new.select(F.col("cluster_id").alias("new_id")).join(match, "new_id", "left").crossJoin(above)  # clusters, with one row on the right
+    ids = _cut(named.select(F.col("new_id").alias("label"), F.coalesce("old_id", F.col("new_id") + F.col("base")).cast("long").alias("cluster_id")))
+    kept = labels.join(F.broadcast(ids) if ids.count() <= MANY else ids, F.col("new_id") == F.col("label"), "left")
+    assignments = _cut(kept.select("doc_id", F.coalesce("cluster_id", F.lit(-1)).cast("long").alias("cluster_id")))
+    return {"assignments": assignments, **rebuild(inside.drop("cluster_id").join(assignments, "doc_id"), now, c), "model": model, "ids": ids}
 
 
 def rebuild(members: DataFrame, now: dt.datetime, config: ClusterConfig | None = None, touched: DataFrame | None = None) -> dict[str, DataFrame]:
