@@ -256,3 +256,8 @@ ORACLES = {
     "source_urls": """SELECT event_id, CASE WHEN event_id % 5 = 0 THEN concat('https://a.example/', event_id) WHEN event_id % 3 = 0 THEN concat('https://vk.com/wall', user_id, '_', event_id)
       WHEN event_id % 3 = 1 THEN concat('https://vk.com/wall', user_id, '_', event_id, '?reply=7') END AS source_url FROM events""",
 }
+
+ORACLES["streaming_rank"] = ORACLES["rank_topics"]
+ORACLES["streaming_hourly_counts"] = """
+SELECT date_trunc('hour', ts) AS hour, event_type AS source_type, count(*) AS count, CAST(sum(floor(value)) AS BIGINT) AS reach FROM events GROUP BY ALL
+"""

@@ -12,7 +12,8 @@ from tidemark.config import ClusterConfig, DedupConfig, RankingConfig, SummaryCo
 from tidemark.functions import language
 from tidemark.operators import cluster, dedup, filtering, geo, normalize, ranking, sentiment, serving, summarize, text, vectors
 from tidemark.plans import adapters as A
-from tidemark.sources import html
+from tidemark.sources import html, tables
+from tidemark.streaming import history, jobs
 
 NOW = A.NOW
 PERIODS = RankingConfig().periods
@@ -412,6 +413,35 @@ def source_urls(spark, sf):
     return e.select("event_id", text.source_url(kind, ident, payload).alias("source_url"))
 
 
+def streaming_rank(spark, sf):
+    """The last snapshot of a stream of events that comes in several micro-batches."""
+    at = tables.shared_folder(spark, "streaming_rank")
+    events = A.table(spark, sf, "events").select("event_id", "event_type")
+    jobs.ranking_job(jobs.replayed(events, f"{at}/in", "event_id", 2), A.clusters(spark), lambda: A.ranking_docs(spark, sf), f"{at}/out", f"{at}/check", NOW, RankingConfig(periods=(24,))).awaitTermination()
+    out = spark.read.parquet(f"{at}/out")
+    last = out.agg(F.max("batch_id").alias("batch_id"))
+    out = out.join(F.broadcast(last), "batch_id").withColumn("geo_regions", F.array_join("geo_regions", ","))  # one row
+    cols = ["period_hours", "cluster_id", "rank", "score", "size", "weighted_size", "unique_authors", "unique_sources", "reach_total", "growth_rate", "sentiment_score", "geo_regions", "is_new", "is_growing"]
+    return r6(out.select(*cols), "score", "growth_rate", "sentiment_score")
+
+
+def streaming_hourly_counts(spark, sf):
+    """Events by hour and type, in four micro-batches out of order; late ones correct closed hours."""
+    at = tables.shared_folder(spark, "streaming_hourly_counts")
+    events = A.table(spark, sf, "events").select("event_id", F.col("ts").alias("created_at"), F.col("event_type").alias("source_type"), F.floor("value").alias("reach"))
+    jobs.hours_job(jobs.replayed(events, f"{at}/in", "event_id"), f"{at}/out", f"{at}/check").awaitTermination()
+    return jobs.hours(spark, f"{at}/out").select(F.col("hour").cast("timestamp_ntz").alias("hour"), "source_type", "count", "reach")
+
+
+def streaming_preprocess(spark, sf):
+    """All documents in three micro-batches, out of order, as the stream leaves them."""
+    at = tables.shared_folder(spark, "streaming_preprocess")
+    docs = A.text_docs(spark, sf).select("doc_id", "text", "author_id", "created_at", "is_official")
+    jobs.preprocess_job(jobs.replayed(docs, f"{at}/in", "doc_id", 3), f"{at}/out", f"{at}/check", A.FILTER, supported=("en", "de", "fr", "es")).awaitTermination()
+    out = history.current(spark, f"{at}/out")
+    return out.select("doc_id", "language", "filter_status", F.array_join("filter_reasons", ",").alias("filter_reasons"), "token_count", "text_sha256", "canonical_doc_id", "duplicate_cluster_size", "near_duplicate_flag", F.array_join("anomaly_flags", ",").alias("anomaly_flags"), F.round("quality_weight", ROUND).alias("quality_weight"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -421,5 +451,6 @@ QUERIES = {
         geo_bbox, geo_toponym, geo_priority, nearest_region, cluster_centroids, cluster_cohesion, cluster_metrics, cluster_enrichment, reconcile_clusters, batch_cosine_stats, nearest_topic, online_assign, buffered_candidates,
         unassigned_docs, density_clusters, representative_docs, chunk_windows, sentiment_from_scores, documents_page, top_filtered, export_rows, pipeline_stats, health_status, table_metrics, documents_with_ml,
         latest_upsert, official_documents, parse_summary, validate_summary, passage_text, annotate_language, source_urls,
+        streaming_rank, streaming_hourly_counts, streaming_preprocess,
     )
 }
