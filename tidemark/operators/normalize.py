@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -59,6 +60,35 @@ def setdefaults(payload: Column, defaults: dict[str, Column]) -> Column:
     return F.to_json(F.map_concat(F.map_filter(more, lambda k, _: ~F.map_contains_key(m, k)), m), {"ignoreNullFields": "false"})
 
 
+#: What a raw message lends to its payload where the payload has no such key: key -> field of the message.
+DEFAULTS = {
+    "source_id": "source_id", "author_id": "author_id", "user_id": "author_id", "text": "text", "body": "text", "message": "text", "parent_id": "parent_id", "created_at": "created_at_utc", "published_at": "created_at_utc",
+    "collected_at": "collected_at", "media_type": "media_type", "reach": "reach", "likes": "likes", "reposts": "reposts", "comments_count": "comments_count", "is_official": "is_official",
+}
+
+
+def with_defaults(raw: DataFrame) -> DataFrame:
+    """Raw messages with ``raw_payload`` as the normaliser reads it: absent keys come from the message, a present null stays.
+    So ``created_at`` of the message comes before a wall post's ``date``, and ``message`` before a body that is not there."""
+    kinds = dict(raw.dtypes)
+
+    def value(field: str) -> Column:
+        if kinds[field].startswith("timestamp"):
+            return F.date_format(F.col(field).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+        return F.col(field)
+
+    return raw.withColumn("raw_payload", setdefaults(F.coalesce("raw_payload", F.lit("{}")), {k: value(f) for k, f in DEFAULTS.items()}))
+
+
+def contract(raw: DataFrame, registry: dict[str, dict]) -> DataFrame:
+    """The contract's rows of raw messages of all sources. ``registry``: source type -> configuration, as ``files.source_config`` resolves it;
+    a source type without one is read by the kind that its name starts with."""
+    rows = with_defaults(raw)
+    names = sorted({t for pair in TYPES.values() for t in pair} | set(registry))
+    parts = [normalize(rows.filter(F.col("source_type") == name), registry.get(name) or {"source": name.split("_")[0]}) for name in names]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def present(v: Column, path: str) -> Column:
     return F.variant_get(v, f"$.{path}", "variant").isNotNull()
 

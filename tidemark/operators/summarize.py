@@ -78,6 +78,21 @@ def validate(df: DataFrame, config: SummaryConfig | None = None) -> DataFrame:
     return df.withColumn("invalid_reason", reason)
 
 
+def broken_rule(summary: str, phrases: list[str], texts: list[str], config: SummaryConfig | None = None) -> str | None:
+    """``validate`` for one answer, where a task asks again with the reason."""
+    c = config or SummaryConfig()
+    plain = lambda t: " ".join((t or "").casefold().split())
+    words, own = [w.casefold() for w in _word.findall(summary)], [plain(p) for p in phrases]
+    bad, sources = sorted(set(words) & set(FORBIDDEN_WORDS)), [plain(t) for t in texts]
+    missing = [p for p, q in zip(phrases, own, strict=True) if not any(q in t for t in sources)]
+    rules = (
+        (not summary.strip(), "описание отсутствует"), (len(words) < c.min_words, "описание слишком короткое"), (len(words) > c.max_words, "описание слишком длинное"),
+        (bool(bad), f"запрещённые слова: {', '.join(bad)}"), (not c.min_phrases <= len(phrases) <= c.max_phrases, "нужно 5-7 ключевых фраз"), (len(set(own)) < len(own), "ключевые фразы повторяются"),
+        ("" in own, "обнаружена пустая ключевая фраза"), (bool(missing), f"ключевая фраза не найдена в текстах: {missing[0] if missing else ''}"),
+    )
+    return next((text for broken, text in rules if broken), None)
+
+
 def prompt_text(text: Column, max_chars: int = 500) -> Column:
     t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
     return F.regexp_replace(F.substring(t, 1, max_chars), r"(?U)\s+$", "")
