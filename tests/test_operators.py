@@ -257,6 +257,33 @@ def test_hdbscan_finds_blobs():
     assert (labels[80:] == -1).sum() >= 4 and 0 <= strength.min() <= strength.max() <= 1
 
 
+@pytest.mark.parametrize("clustered,block_rows,regions", [(True, 64, 4096), (True, 64, 3), (False, 100, 4096), (True, 5000, 4096)])
+def test_nearest_against_all_pairs(spark, clustered, block_rows, regions):
+    """Equal to all pairs on clustered and random vectors, ties by id; clustered ones compare a small share of the pairs."""
+    import numpy as np
+
+    from tidemark.operators import neighbours
+
+    r = np.random.default_rng(6)
+    x = r.normal(0, 1, (30, 8))[r.integers(0, 30, 1200)] + r.normal(0, 0.05, (1200, 8)) if clustered else r.normal(0, 1, (1200, 3))
+    x[1150:] = x[7]  # many equal rows
+    q = np.vstack([x[::40], r.normal(0, 1, (5, x.shape[1]))])
+    rows = spark.createDataFrame([(i, v.tolist(), float(i)) for i, v in enumerate(x)], "doc_id long, embedding array<double>, core double").repartition(3)
+    asked = spark.createDataFrame([(1000 + i, v.tolist()) for i, v in enumerate(q)], "doc_id long, embedding array<double>")
+    got = {n.doc_id: n for n in neighbours.nearest(asked, rows, 9, ("core",), pivots=12, block_rows=block_rows, regions=regions).collect()}
+    u, w = neighbours.unit(x), neighbours.unit(q)
+    for i in range(len(q)):
+        d = np.sqrt(((u - w[i]) ** 2).sum(1)).round(7)
+        want = np.lexsort((np.arange(len(x)), d))[:9]
+        near = got[1000 + i].near
+        assert [round(n.d, 6) for n in near] == pytest.approx(d[want], abs=2e-6)
+        assert {n.id for n in near if n.d < d[want[-1]] - 1e-5} == {int(j) for j in want if d[j] < d[want[-1]] - 1e-5} and all(n.core == n.id for n in near)
+    share = sum(n.compared for n in got.values()) / (len(q) * len(x))
+    assert share < (0.25 if clustered and block_rows < 1000 and regions > 3 else 2)
+    few = neighbours.nearest(asked, rows.limit(4), 9, block_rows=2)
+    assert {len(n.near) for n in few.collect()} == {4}
+
+
 def test_predict_against_brute_force(spark):
     """Label and strength of new points by all distances, one at a time; edge rows have a defined result."""
     import numpy as np

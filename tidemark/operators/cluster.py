@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import ClusterConfig
-from tidemark.operators import vectors
+from tidemark.operators import neighbours, vectors
 from tidemark.operators.dedup import _cut
 from tidemark.operators.ranking import ntz
 
@@ -404,59 +404,23 @@ def density_model(docs: DataFrame, partition: str, config: ClusterConfig | None
     return small.unionByName(dealt.join(large, "w").withColumn(partition, F.col("window_key")).drop("w", "window_key"))
 
 
-def predict(docs: DataFrame, model: DataFrame, config: ClusterConfig | None = None, block_rows: int = 4096) -> DataFrame:
+def predict(docs: DataFrame, model: DataFrame, config: ClusterConfig | None = None, block_rows: int = 2048) -> DataFrame:
     """doc_id, label, strength and assigned of documents that came after the model was made, as HDBSCAN's
     approximate prediction has it. ``model``: rows of ``density_model`` of one window with their embedding.
 
     A document's neighbours are its 2 * ``min_samples`` nearest model rows; its core distance is that to
     number ``min_samples`` (from 0). The neighbour at the least mutual reachability, the smallest doc_id
     among equals, gives the label if the document is dense enough to be in that neighbour's cluster. Only
-    strictly more than the threshold assigns, the rest waits in the buffer. All documents meet all model
-    rows, in packed blocks; with an empty model each document has label -1. Rows without id or vector count
+    strictly more than the threshold assigns, the rest waits in the buffer. Neighbours are exact, without
+    all pairs (``neighbours.nearest``); with an empty model each document has label -1. Rows without id or vector count
     for nothing in the model; a document without a vector has label -1, and of repeated ids one row is given."""
-    import numpy as np
-    import pandas as pd
-
     c = config or ClusterConfig()
-    near, kind = 2 * c.min_samples, dict(docs.dtypes)["doc_id"]
-    traits = ["core", "label", "leaves", "birth", "top"]
-
-    def packed(df, cols, name):
-        """One row a block: ids, unit vectors and the columns of ``cols``."""
-
-        def pack(pdf):
-            x = np.stack([np.asarray(v, float) for v in pdf["embedding"]])
-            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-            return pd.DataFrame({name: [pdf["block"].iloc[0]], f"{name}_ids": [pdf["doc_id"].tolist()], f"{name}_x": [x.tobytes()], **{k: [pdf[k].to_numpy(float).tobytes()] for k in cols}})
-
-        whole = df.filter("doc_id IS NOT NULL AND embedding IS NOT NULL")
-        blocks = max(1, -(-whole.count() // block_rows))
-        dealt = whole.select("doc_id", "embedding", *cols, F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block"))
-        ids = f"array<{dict(df.dtypes)['doc_id']}>"
-        return blocks, dealt.groupBy("block").applyInPandas(pack, f"{name} long, {name}_ids {ids}, {name}_x binary" + "".join(f", {k} binary" for k in cols))
-
+    traits = ("core", "label", "leaves", "birth", "top")
+    whole = "doc_id IS NOT NULL AND embedding IS NOT NULL"
     fresh = docs.dropDuplicates(["doc_id"])
-    _, asked = packed(fresh, [], "q")
-    blocks, known = packed(model, traits, "m")
-    met = asked.withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>"))).join(known, "m")
-
-    def meet(batches):
-        for b in batches:
-            for r in b.itertuples():
-                x = np.frombuffer(r.q_x).reshape(len(r.q_ids), -1)
-                y, own = np.frombuffer(r.m_x).reshape(len(r.m_ids), -1), {k: np.frombuffer(getattr(r, k)) for k in traits}
-                order = np.argsort(r.m_ids, kind="stable")  # smaller ids first among equals
-                y, ids = y[order], np.asarray(r.m_ids)[order]
-                for at, d in _distances(x, y):
-                    best = np.argsort(d, axis=1, kind="stable")[:, :near]
-                    rows = [[{"d": float(np.sqrt(d[i, j])), "id": ids[j], **{k: float(own[k][order[j]]) for k in traits}} for j in js] for i, js in enumerate(best)]
-                    yield pd.DataFrame({"doc_id": r.q_ids[at : at + len(d)], "near": rows})
-
-    fields = f"d double, id {dict(model.dtypes)['doc_id']}, " + ", ".join(f"{k} double" for k in traits)
-    found = met.mapInPandas(meet, f"doc_id {kind}, near array<struct<{fields}>>")
-    nearest = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, near)
-    rows = found.groupBy("doc_id").agg(nearest.alias("n"))
-    own_core = F.try_element_at("n", F.least(F.size("n"), F.lit(c.min_samples + 1)))["d"]
+    known = model.filter(whole).select("doc_id", "embedding", *traits)
+    rows = neighbours.nearest(fresh.filter(whole), known, 2 * c.min_samples, traits, block_rows=block_rows).filter(F.size("near") > 0).select("doc_id", F.col("near").alias("n"))
+    own_core = F.try_element_at("n", F.greatest(F.lit(1), F.least(F.size("n"), F.lit(c.min_samples + 1))))["d"]
     reach = F.transform("n", lambda v: F.struct(F.greatest(v["d"], v["core"], F.col("own")).alias("reach"), v["id"].alias("id"), v.alias("v")))
     best = rows.withColumn("own", own_core).select("doc_id", F.array_min(reach).alias("b"))
     v, density = F.col("b.v"), F.when(F.col("b.reach") > 0, F.least(1 / F.col("b.reach"), F.lit(1e12))).otherwise(1e12)
