@@ -493,3 +493,28 @@ def test_recompute_keeps_ids(spark):
     part = cluster.rebuild(docs.join(out["assignments"], "doc_id"), NOW, touched=spark.createDataFrame([(7,)], "cluster_id long"))
     assert [(x.cluster_id, x.size) for x in part["clusters"].collect()] == [(7, sizes[7])]
     assert cluster.latest_model(spark.createDataFrame([(1, NOW), (2, NOW)], "snapshot_id int, created_at timestamp_ntz")).head().snapshot_id == 2
+
+
+def test_bursts_of_a_hot_key(spark):
+    """One key with all rows, across many buckets of time: equal to counting windows one by one, and dealt to many tasks."""
+    r, base = random.Random(9), dt.datetime(2024, 1, 1)
+    minutes = sorted(r.randint(0, 20_000) for _ in range(900)) + [960, 960, 959, 1920, 1921] * 3
+    rows = [(i, "hot", base + dt.timedelta(minutes=m, seconds=r.randint(0, 59))) for i, m in enumerate(minutes)] + [(5000, "hot", None), (5001, None, base)]
+    df = spark.createDataFrame(rows, "doc_id long, author_id string, created_at timestamp_ntz")
+    width, at = dt.timedelta(minutes=60), {i: t for i, k, t in rows if k and t}
+    times = sorted(at.values())
+    ends = {t: [x for x in times if t - width <= x <= t] for t in set(times)}
+    want = {}
+    for i, t in at.items():
+        covering = [(len(w), e, w[0]) for e, w in ends.items() if t <= e <= t + width and len(w) >= 6]
+        if covering:
+            n, e, start = max(covering)
+            want[i] = (n, start, e)
+    got = {x.doc_id: (x["size"], x.window_start, x.window_end) for x in filtering.bursts(df, ("author_id",), "created_at", 60, 6, "f").collect()}
+    assert got == want and len(want) > 100
+    session = {}  # gaps of 25 minutes end a session
+    for a, b in zip([None, *times], times):
+        session[b] = session.get(b, session.get(a, 0) + (a is not None and b - a >= dt.timedelta(seconds=120)))
+    bots = {i for i, t in at.items() if any(t <= e <= t + width and len(w) >= 4 and session[w[0]] == session[e] for e, w in ends.items())}
+    assert {x.doc_id for x in filtering.bot_timing(df, ("author_id",), "created_at", 60, 4, 1500).collect()} == bots and bots
+    assert filtering._dealt(df, "created_at", 3_600_000_000).select("_bucket").distinct().count() > 20

@@ -1,7 +1,7 @@
 """Content filter and coordinated-activity flags.
 
 Lexicons are substring tests on lower-cased text with collapsed white space. Windows are
-range frames, one shuffle by key: ``count`` over the window that ends at a row finds full
+range frames, one shuffle by key and bucket of event time: ``count`` over the window that ends at a row finds full
 windows, ``max`` over the windows that start after it says whether one of them covers it.
 """
 
@@ -49,17 +49,31 @@ def with_baseline(df: DataFrame, config: FilterConfig | None = None) -> DataFram
     return df.withColumns({"filter_status": status, "quality_weight": weight})
 
 
+#: Windows that a bucket of event time is long; rows within a window of its ends are in two buckets.
+BUCKET_WINDOWS = 16
+
+
+def _dealt(df: DataFrame, at: str, window_us: int) -> DataFrame:
+    """Rows dealt to buckets of event time, each with what lies within one window of its ends, so that all windows around a bucket's own
+    rows are whole. A key with very many rows is then many tasks, not one. ``_own``: whether a row is the bucket's own."""
+    size = BUCKET_WINDOWS * window_us
+    rows = df.withColumn("_us", F.unix_micros(F.col(at).cast("timestamp")))
+    home, into = F.floor(F.col("_us") / size), F.pmod(F.col("_us"), F.lit(size))
+    near = F.array_compact(F.array(F.lit(0), F.when(into <= window_us, -1), F.when(into >= size - window_us, 1)))
+    rows = rows.withColumn("_off", F.explode(F.when(F.col("_us").isNull(), F.array(F.lit(0))).otherwise(near)))
+    return rows.withColumns({"_bucket": home + F.col("_off"), "_own": F.col("_off") == 0}).drop("_off")
+
+
 def bursts(df: DataFrame, keys: tuple[str, ...], at: str, minutes: int, threshold: int, flag: str, id_col: str = "doc_id") -> DataFrame:
     """(id, flag, size, window_start, window_end, confidence): documents covered by a window of
     ``minutes`` that holds at least ``threshold`` documents of one key; the largest covering
     window counts, then the latest."""
-    seconds = 60 * minutes * 1_000_000
-    rows = df.withColumn("_us", F.unix_micros(F.col(at).cast("timestamp")))
-    back = Window.partitionBy(*keys).orderBy("_us").rangeBetween(-seconds, 0)
-    ahead = Window.partitionBy(*keys).orderBy("_us").rangeBetween(0, seconds)
-    rows = rows.withColumns({"_n": F.count("*").over(back), "_ws": F.min("_us").over(back)})
+    width = 60 * minutes * 1_000_000
+    rows = _dealt(df, at, width)
+    span = Window.partitionBy(*keys, "_bucket").orderBy("_us")
+    rows = rows.withColumns({"_n": F.count("*").over(span.rangeBetween(-width, 0)), "_ws": F.min("_us").over(span.rangeBetween(-width, 0))})
     full = F.when(F.col("_n") >= threshold, F.struct(F.col("_n").alias("n"), F.col("_us").alias("we"), F.col("_ws").alias("ws")))
-    rows = rows.withColumn("_best", F.max(full).over(ahead)).filter("_best IS NOT NULL")
+    rows = rows.withColumn("_best", F.max(full).over(span.rangeBetween(0, width))).filter("_own AND _best IS NOT NULL")
     over = (F.col("_best.n") - threshold) / F.lit(float(threshold))
     return rows.select(
         id_col, *keys, F.lit(flag).alias("flag"), F.col("_best.n").alias("size"),
@@ -70,17 +84,17 @@ def bursts(df: DataFrame, keys: tuple[str, ...], at: str, minutes: int, threshol
 
 def bot_timing(df: DataFrame, keys: tuple[str, ...], at: str, minutes: int, threshold: int, gap_seconds: int, id_col: str = "doc_id") -> DataFrame:
     """Bursts whose documents follow each other in less than ``gap_seconds``: all in one session."""
-    micro = 1_000_000
-    rows = df.withColumn("_us", F.unix_micros(F.col(at).cast("timestamp")))
-    order = Window.partitionBy(*keys).orderBy("_us", id_col)
+    width, micro = 60 * minutes * 1_000_000, 1_000_000
+    rows = _dealt(df, at, width)
+    order = Window.partitionBy(*keys, "_bucket").orderBy("_us", id_col)
     gap = F.col("_us") - F.lag("_us").over(order)
     rows = rows.withColumn("_gap", (F.coalesce(gap, F.lit(0)) >= gap_seconds * micro).cast("int"))
     rows = rows.withColumn("_sid", F.sum("_gap").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    span = Window.partitionBy(*keys).orderBy("_us")
-    back, ahead = span.rangeBetween(-60 * minutes * micro, 0), span.rangeBetween(0, 60 * minutes * micro)
+    span = Window.partitionBy(*keys, "_bucket").orderBy("_us")
+    back, ahead = span.rangeBetween(-width, 0), span.rangeBetween(0, width)
     rows = rows.withColumns({"_n": F.count("*").over(back), "_lo": F.min("_sid").over(back), "_hi": F.max("_sid").over(back), "_ws": F.min("_us").over(back)})
     full = F.when((F.col("_n") >= max(threshold, 2)) & (F.col("_lo") == F.col("_hi")), F.struct(F.col("_n").alias("n"), F.col("_us").alias("we"), F.col("_ws").alias("ws")))
-    rows = rows.withColumn("_best", F.max(full).over(ahead)).filter("_best IS NOT NULL")
+    rows = rows.withColumn("_best", F.max(full).over(ahead)).filter("_own AND _best IS NOT NULL")
     return rows.select(
         id_col, *keys, F.lit("bot_timing").alias("flag"), F.col("_best.n").alias("size"),
         F.timestamp_micros("_best.ws").cast("timestamp_ntz").alias("window_start"), F.timestamp_micros("_best.we").cast("timestamp_ntz").alias("window_end"),
