@@ -514,7 +514,7 @@ def test_bursts_of_a_hot_key(spark):
     assert got == want and len(want) > 100
     session = {}  # gaps of 25 minutes end a session
     for a, b in zip([None, *times], times):
-        session[b] = session.get(b, session.get(a, 0) + (a is not None and b - a >= dt.timedelta(seconds=120)))
+        session[b] = session.get(b, session.get(a, 0) + (a is not None and b - a >= dt.timedelta(seconds=1500)))
     bots = {i for i, t in at.items() if any(t <= e <= t + width and len(w) >= 4 and session[w[0]] == session[e] for e, w in ends.items())}
     assert {x.doc_id for x in filtering.bot_timing(df, ("author_id",), "created_at", 60, 4, 1500).collect()} == bots and bots
     assert filtering._dealt(df, "created_at", 3_600_000_000).select("_bucket").distinct().count() > 20
