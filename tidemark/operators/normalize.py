@@ -81,7 +81,7 @@ def with_defaults(raw: DataFrame) -> DataFrame:
 
 
 def contract(raw: DataFrame, registry: dict[str, dict]) -> DataFrame:
-    """The contract's rows of raw messages of all sources. ``registry``: source type -> configuration, as ``files.source_config`` resolves it;
+    """The contract's rows of raw messages of all sources. ``registry``: source type -> configuration, as ``settings.source_config`` resolves it;
     a source type without one is read by the kind that its name starts with."""
     rows = with_defaults(raw)
     names = sorted({t for pair in TYPES.values() for t in pair} | set(registry))

@@ -109,9 +109,13 @@ def request_metrics(log: DataFrame) -> DataFrame:
         F.count("*").alias("requests"), F.count_if(F.col("status") < 400).alias("ok"), F.count_if(F.col("status").between(400, 499)).alias("refused"), F.count_if(F.col("status") >= 500).alias("failed"),
         F.coalesce(F.avg(F.col("hit").cast("double")), F.lit(0.0)).alias("hit_ratio"),
     )
-    at = F.row_number().over(Window.orderBy("latency_ms")) - 1  # the window is a few thousand rows
-    p99 = log.select("latency_ms", at.alias("i")).join(F.broadcast(stats.select("requests")), F.col("i") == F.rint((F.col("requests") - 1) * 0.99)).select(F.col("latency_ms").alias("p99_ms"))
-    return stats.join(F.broadcast(p99), how="left")
+    # the p99 by counts of equal latencies: what is ordered are a rolling window's distinct values, one row of them an array
+    ends = log.groupBy("latency_ms").agg(F.count("*").alias("n")).agg(F.array_sort(F.collect_list(F.struct("latency_ms", "n"))).alias("v"))
+    both = stats.join(F.broadcast(ends))  # one row each
+    rank = F.rint((F.col("requests") - 1) * 0.99)
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("x"))
+    found = F.aggregate("v", start, lambda a, e: F.struct((a["n"] + e["n"]).alias("n"), F.when((a["n"] <= rank) & (a["n"] + e["n"] > rank), e["latency_ms"].cast("double")).otherwise(a["x"]).alias("x")))
+    return both.select(*stats.columns, found["x"].alias("p99_ms"))
 
 
 def documents_with_ml(docs: DataFrame, fingerprints: DataFrame, results: DataFrame) -> DataFrame:
@@ -137,9 +141,19 @@ def official(docs: DataFrame, registry: DataFrame, *, source_ids: tuple[str, ...
     return docs.join(known, ["source_type", "source_id"], "left").withColumn("is_official", yes).drop("_r")
 
 
+# Where a map without points is centred, and the sizes of its markers.
+MAP_CENTER, LEAST_RADIUS, MOST_RADIUS, RADIUS_STEP = (47.4743, 40.6964), 8, 28, 0.9
+
+
 def map_points(items: DataFrame) -> DataFrame:
-    """Mean point of located items: lat, lon."""
-    return items.agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
+    """Mean point of located items: lat, lon; the fixed centre where there are none."""
+    return items.agg(*[F.coalesce(F.avg(c), F.lit(d)).alias(c) for c, d in zip(("lat", "lon"), MAP_CENTER, strict=True)])
+
+
+def marker_radius(mentions: Column) -> Column:
+    """A marker's radius in pixels: it grows with the square root of the mentions, within bounds; halves go up."""
+    size = F.floor(LEAST_RADIUS + F.sqrt(F.greatest(mentions, F.lit(1))) * RADIUS_STEP + 0.5)
+    return F.greatest(F.lit(LEAST_RADIUS), F.least(F.lit(MOST_RADIUS), size)).cast("int")
 
 
 def latest(df: DataFrame, at: str, id_col: str, n: int = 5) -> DataFrame:

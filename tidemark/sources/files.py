@@ -6,8 +6,6 @@ JSON text, so that the normaliser sees them as they came.
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -162,18 +160,6 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
-def source_registry(text: str) -> dict[str, dict]:
-    """A registry as JSON: {"defaults": {...}, "sources": {name: {...}}}, defaults merged into each source."""
-    data = json.loads(text)
-    return {name: data.get("defaults", {}) | own for name, own in data.get("sources", {}).items()}
-
-
-def source_config(registry: dict[str, dict], source_type: str, source_id: str) -> dict:
-    """A source's own entry, else its kind's, else a generic one."""
-    kind = source_type.split("_")[0]
-    return registry.get(f"{source_type}:{source_id}") or registry.get(source_type) or registry.get(kind) or {"source": kind}
-
-
 #: Options of the topics; a Kafka connector is needed where they are used.
 KAFKA_READ = {"startingOffsets": "earliest", "failOnDataLoss": "true", "maxOffsetsPerTrigger": "100000"}
 KAFKA_WRITE = {"kafka.linger.ms": "50", "kafka.batch.size": "32768", "kafka.compression.type": "lz4"}
