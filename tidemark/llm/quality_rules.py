@@ -4,7 +4,7 @@ Each rule votes for a document (1), against it (-1) or abstains (0). Documents a
 their votes, and expectation-maximisation over those counts estimates the share of good
 documents and of a few kinds of bad ones and, of each rule, how often its votes are against each;
 an abstention says nothing. Junk is of several kinds and each rule sees only some, so the kinds
-are found first: the commonest sets of two or more rules that vote against the same documents.
+are found first: the common sets of two or more rules that vote against the same documents, as many as the data show.
 Rules are believed to err: ``ERRORS`` of a class more votes than were counted are against and
 for it, a share of the class, so that the belief is alike at every corpus size. One vote against
 is then fatal only if the accuracies and the other votes say so. A document's quality
@@ -32,8 +32,9 @@ WINDOW = 5
 MAX_REPEAT_PERCENT = 20
 #: A rule's votes that are taken to be errors, as a share of a class.
 ERRORS = 0.02
-#: Kinds of bad documents: at most so many, each the start of at least this share of the documents.
-KINDS, LEAST_KIND = 5, 0.002
+#: A set of rules starts a kind of bad documents of its own if at least this share of the documents shows it, so there are at most
+#: 1 / LEAST_KIND kinds; a rarer set belongs to the kinds that it is like.
+LEAST_KIND = 0.002
 ROUNDS = 500
 
 
@@ -123,7 +124,7 @@ def kinds_of(counts: list[tuple[tuple[int, ...], int]]) -> list[frozenset[int]]:
             sets[against] = sets.get(against, 0) + n
     least, found = LEAST_KIND * sum(n for _, n in counts), []
     for s in sorted(sets, key=lambda s: (-sets[s], sorted(s))):
-        if sets[s] >= least and len(found) < KINDS and all(2 * len(s & f) < len(s | f) for f in found):
+        if sets[s] >= least and all(2 * len(s & f) < len(s | f) for f in found):
             found.append(s)
     return found or [frozenset()]
 
