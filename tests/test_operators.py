@@ -2,6 +2,7 @@ import datetime as dt
 import hashlib
 import json
 import math
+import os
 import random
 
 import pytest
@@ -518,3 +519,28 @@ def test_bursts_of_a_hot_key(spark):
     bots = {i for i, t in at.items() if any(t <= e <= t + width and len(w) >= 4 and session[w[0]] == session[e] for e, w in ends.items())}
     assert {x.doc_id for x in filtering.bot_timing(df, ("author_id",), "created_at", 60, 4, 1500).collect()} == bots and bots
     assert filtering._dealt(df, "created_at", 3_600_000_000).select("_bucket").distinct().count() > 20
+
+
+def test_ngram_language_model(spark):
+    """Weights are those of counting by hand; held-out documents are told apart; texts without evidence are unknown."""
+    from collections import Counter
+
+    docs = [("the cat and the dog", "en"), ("the house", "en"), ("der Hund und die Katze", "de"), (None, "de"), ("?", None), ("x" * 50, "en")]
+    df = spark.createDataFrame(docs, "text string, lang string")
+    model = language.fit(df, smoothing=0.5)
+    grams = {lang: Counter(f" {w} "[i : i + 3] for t, own in docs if own == lang and t for w in t.lower().split() if len(w) <= 40 for i in range(len(w))) for lang in ("en", "de")}
+    kinds = max(len(g) for g in grams.values())
+    for lang, g in grams.items():
+        total = sum(g.values()) + 0.5 * kinds
+        assert model.weights[lang] == pytest.approx({k: math.log((n + 0.5) / total) for k, n in g.items()}) and model.unseen[lang] == pytest.approx(math.log(0.5 / total))
+    got = language.annotate(spark.createDataFrame([("The dogs",), ("die Hunde",), ("12 ?",), (None,), ("zzz qqq",)], "text string"), model.detector, supported=("en",)).collect()
+    assert [(r.language, r.is_supported_language) for r in got] == [("en", True), ("de", False), ("unknown", False), ("unknown", False), ("unknown", False)] and 0.5 < got[0].language_confidence <= 1
+    assert len(language.fit(df, top=2).weights["en"]) == 2
+    with pytest.raises(ValueError, match="no languages"):
+        language.fit(df.filter("lang = 'fr'"))
+    sf = "/root/testdata/sf0.001/documents.parquet"
+    if os.path.exists(sf):
+        d = spark.read.parquet(sf).select("text", "lang", F.col("doc_id"))
+        fitted = language.fit(d.filter("doc_id % 5 > 0"))
+        held = language.annotate(d.filter("doc_id % 5 = 0 AND lang IS NOT NULL AND length(text) > 20"), fitted.detector).select("lang", "language").collect()
+        assert len(held) > 20 and sum(r.lang == r.language for r in held) >= 0.9 * len(held)

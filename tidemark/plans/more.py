@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.config import CRISIS, RankingConfig, SummaryConfig
+from tidemark.functions import language
 from tidemark.operators import normalize, ranking, sentiment, serving, summarize, text, vectors
 from tidemark.plans import adapters as A
 from tidemark.plans.oracles import DOCS, ORACLES, RANK
@@ -201,11 +202,19 @@ def demojized_text(spark, sf):
     return out.select("doc_id", "token_count", F.sha2("normalized_text", 256).alias("text_sha"), F.array_join("cleanup_flags", ",").alias("cleanup_flags"))
 
 
+def ngram_language(spark, sf):
+    """Languages by a model of the labelled documents that are not held out (every fifth is)."""
+    d = A.table(spark, sf, "documents").select("doc_id", "text", "lang", (F.col("doc_id") % 5 == 0).alias("held_out"))
+    model = language.fit(d.filter("NOT held_out"))
+    out = language.annotate(d, model.detector, supported=tuple(model.weights))
+    return out.select("doc_id", "lang", "held_out", "language", F.round("language_confidence", 6).alias("confidence"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         wall_posts, wall_comments, channel_dump, feed_articles, raw_consumer, dead_letters, replay_raw, raw_contract, event_round_trip, sentiment_batch, regenerate_topics, description_history, generation_cost,
-        pooled_chunks, crisis_ranking, upsert_by_bucket, request_statistics, demojized_text,
+        pooled_chunks, crisis_ranking, upsert_by_bucket, request_statistics, demojized_text, ngram_language,
     )
 }
 
