@@ -8,12 +8,13 @@ counted again in finer bins, until the bin holds a single key. Only (node, bin)
 the driver: at most shards * BINS rows, whatever the input. Rows move once, for their slots.
 
 The key of a dimension is its coordinate (31 bits) followed by the text's checksum, so
-equal texts stay together; a cut inside one key, which only a large group of copies needs,
-goes by doc_id in that group.
+equal texts stay together, unless keeping them so would move a cut by more than 1 % of a shard: then
+their group is cut by doc_id. In a small corpus that can be a group of two; in a large one it is one of many copies.
 
 Defined results. Null text is empty (16 bytes of size); null metadata is coordinate 0; a
 null doc_id sorts first. Rows that repeat a doc_id and text lie on the same side of every
-cut. An empty table gives an empty one. Other columns are not read.
+cut. Documents of any length stay whole, so shards are as even as their largest documents allow. An empty table gives
+an empty one. Other columns are not read.
 """
 
 from __future__ import annotations
