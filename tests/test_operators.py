@@ -27,6 +27,18 @@ def test_configs_are_checked():
         RankingConfig(weights={**RankingConfig().weights, "volume": 0.5})
 
 
+def test_growth_and_score_are_printed_like_the_sql(spark):
+    rng = random.Random(5)
+    values = [2.25, 2.35, 2.15, 5.25, 9.95, 9.96, 0.125, 0.705, 0.715, 0.995, 3.0, 0.0, 1e-9, 0.05, 123456.75]
+    values += [rng.uniform(0, 1) for _ in range(500)] + [rng.randrange(4000) / 4 / rng.choice([1, 3, 5, 10, 1000]) for _ in range(500)]
+    rows = spark.createDataFrame([(v,) for v in values], "x double").select("x", ranking.fixed(F.col("x"), 1).alias("one"), ranking.fixed(F.col("x"), 2).alias("two"))
+    assert [(r.one, r.two) for r in rows.collect()] == [(f"{v:.1f}", f"{v:.2f}") for v in values]
+    item = {"period_hours": 24, "cluster_id": 1, "rank": 1, "size": 20, "is_new": False, "is_growing": True, "growth_rate": 2.25, "geo_regions": ["a"], "score": 0.5, "sentiment_score": 0.0}
+    item |= {f"{k}_component": 0.5 for k in ranking.COMPONENTS}
+    items = spark.createDataFrame([item, item | {"cluster_id": 2, "growth_rate": 5.25}, item | {"cluster_id": 3, "score": 0.705}])
+    assert "2.2x" in ranking.explain(items).filter("cluster_id = 1").head().explanation
+
+
 def test_dynamics_jumps_at_one(spark):
     df = spark.createDataFrame([(0.5,), (1.0,), (1.000001,), (5.0,), (9.0,)], "g double").select(ranking.dynamics(F.col("g")).alias("d"))
     assert [round(r.d, 4) for r in df.collect()] == [0.0, 0.3, 0.0, 1.0, 1.0]

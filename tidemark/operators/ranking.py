@@ -31,6 +31,19 @@ def clamp(x: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """A number from 0 on with at most three digits after the point, as C and Python print it: the value of the double itself
+    is rounded, exact halves to the even digit. (``format_string`` rounds its shortest decimal form, halves up.)"""
+    scale, half = 10**digits, 2**52
+    part = (x - F.floor(x)) * float(2**53)  # no rounding: floor and power of two
+    below = (part - F.floor(part)) * scale  # nothing for numbers from 1/2 on
+    n = F.floor(part) * scale + F.floor(below)
+    q, rest = F.shiftright(n, 53), n.bitwiseAND(F.lit(2 * half - 1))
+    up = (rest > half) | ((rest == half) & ((below > F.floor(below)) | (q % 2 == 1)))
+    units = F.floor(x) * scale + q + up.cast("long")
+    return F.concat(((units - units % scale) / scale).cast("long").cast("string"), F.lit("."), F.lpad((units % scale).cast("string"), digits, "0"))
+
+
 def weighted_sum(value: Column, weight: Column, when: Column) -> Column:
     return F.sum(F.when(when, value * weight).otherwise(F.lit(0.0)))
 
@@ -141,7 +154,7 @@ def explain(items: DataFrame, weights: dict[str, float] | None = None) -> DataFr
         F.array(
             F.concat(F.col("size").cast("string"), F.lit(" упоминаний")),
             F.when(F.col("is_new"), "тема появилась менее 3 часов назад"),
-            F.when(F.col("is_growing"), F.format_string("рост в %.1fx за последние 6 часов", "growth_rate")),
+            F.when(F.col("is_growing"), F.concat(F.lit("рост в "), fixed(F.col("growth_rate"), 1), F.lit("x за последние 6 часов"))),
             F.when(spread > 1, F.concat(F.lit("охватывает "), spread.cast("string"), F.lit(" районов"))),
         )
     )
