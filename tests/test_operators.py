@@ -37,6 +37,8 @@ def test_growth_and_score_are_printed_like_the_sql(spark):
     item |= {f"{k}_component": 0.5 for k in ranking.COMPONENTS}
     items = spark.createDataFrame([item, item | {"cluster_id": 2, "growth_rate": 5.25}, item | {"cluster_id": 3, "score": 0.705}])
     assert "2.2x" in ranking.explain(items).filter("cluster_id = 1").head().explanation
+    reasons = {r.cluster_id: r.urgency_reason for r in ranking.urgency(items).collect()}
+    assert "5.2x" in reasons[2] and reasons[3].endswith(" 0.70")
 
 
 def test_dynamics_jumps_at_one(spark):

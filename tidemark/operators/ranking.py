@@ -171,10 +171,10 @@ def urgency(items: DataFrame, config: UrgencyConfig | None = None) -> DataFrame:
     wide = F.concat(F.lit("охватывает "), spread.cast("string"), F.lit(" районов"))
     wide = F.when(spread >= c.critical_geo_spread, wide)
     rules = [
-        (F.col("growth_rate") >= c.critical_growth_rate, "critical", F.format_string("рост в %.1fx за 6 часов", "growth_rate")),
+        (F.col("growth_rate") >= c.critical_growth_rate, "critical", F.concat(F.lit("рост в "), fixed(F.col("growth_rate"), 1), F.lit("x за 6 часов"))),
         (F.col("is_new") & (F.col("size") >= c.critical_new_size), "critical", F.concat(F.lit("новая тема с "), F.col("size").cast("string"), F.lit(" упоминаниями за 3 часа"))),
         (wide.isNotNull() & (F.col("sentiment_score") < c.critical_sentiment), "critical", wide),
-        (F.col("score") >= c.high_score_threshold, "high", F.concat_ws("; ", wide, F.format_string("высокий суммарный балл %.2f", "score"))),
+        (F.col("score") >= c.high_score_threshold, "high", F.concat_ws("; ", wide, F.concat(F.lit("высокий суммарный балл "), fixed(F.col("score"), 2)))),
         (F.col("is_growing"), "high", F.concat_ws("; ", wide, F.lit("активный рост"))),
         (F.col("score") >= c.medium_score_threshold, "medium", F.lit("устойчивое упоминание")),
     ]
