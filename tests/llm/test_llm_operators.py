@@ -353,6 +353,16 @@ def test_quality_rules_em_against_brute_force():
     assert all(quality_rules.posterior_of(v, *fitted) == pytest.approx(p[0], abs=1e-6) for v, p in zip(docs, post, strict=True))
 
 
+def test_letters_are_counted_by_code_point(spark):
+    import unicodedata
+
+    from tidemark.llm.quality_rules import features
+
+    rows = [(0, None), (1, ""), (2, "a1 é日 \U00020000x\U0001f600 ß"), (3, "..."), (4, "ÄÖ\n\tйцу é")]
+    found = {r.id: r.n_letters for r in features(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {i: sum(unicodedata.category(c)[0] == "L" for c in t or "") for i, t in rows}
+
+
 def test_repeated_words(spark):
     text = "a b c d e x a b c d e y y y y y y y z"
     r = quality_rules.features(spark.createDataFrame([(1, text)], "doc_id long, text string")).head()

@@ -83,7 +83,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.regexp_count("text", F.lit(r"\p{Lu}{3,}")).cast("long").alias("n_shouted"),
         F.regexp_count("text", F.lit(r"[.!?](?:\s|$)")).cast("long").alias("n_stops"),
         F.regexp_count("text", F.lit(r"!!|\?\?")).cast("long").alias("n_excited"),
-        F.regexp_count("text", F.lit(r"\p{L}")).cast("long").alias("n_letters"),
+        F.length(F.regexp_replace("text", r"\P{L}+", "")).cast("long").alias("n_letters"),
         F.regexp_count("text", F.lit(r"[\p{L}\p{N}][.,;:!?)\x{201d}\x22]?(?=[\x20\x09-\x0D]|$)")).cast("long").alias("n_plain"),
         F.size(F.filter("words", lambda w, i: (i > 0) & (w == F.get("words", i - 1)))).cast("long").alias("n_again"),
     )
