@@ -244,6 +244,36 @@ def test_near_duplicates_of_documents(spark, tmp_path):
     assert got == dict(enumerate(group))
 
 
+@pytest.mark.parametrize("block", [512, 3])
+def test_shared_hashes_and_pairs_from_their_first_bucket(spark, monkeypatch, block):
+    """Shingles that the broadcast has are not hashed again; a pair that shares several buckets comes once, however buckets are dealt."""
+    import random
+
+    r = random.Random(3)
+    texts = [" ".join(r.choice("abcdefgh") * r.randint(1, 3) for _ in range(r.randint(0, 12))) for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate(dict.fromkeys(texts))), "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(dedup, "SEEN", 8)
+    monkeypatch.setattr(dedup, "BLOCK", block)
+    common = dedup.common_hashes(df, 5, 16)
+    known = dedup._Hashes(16)
+    known.common = common.value
+    assert len(known.common) > 50
+    monkeypatch.setattr(dedup, "_lows", lambda shingles, prefixes: pytest.fail("hashed again") if shingles else [])
+    assert len(known._of(list(known.common))[0]) == len(known.common) + 1
+    monkeypatch.undo()
+    monkeypatch.setattr(dedup, "BLOCK", block)
+    signed = df.select("doc_id", dedup.text_sketch(F.col("text"), 5, 16, common).alias("s")).select("doc_id", "s.signature", "s.size").cache()
+    rows = {x.doc_id: x for x in signed.collect()}
+    want = {x.doc_id: list(x.s) for x in df.select("doc_id", dedup.signature(dedup.shingles(F.col("text")), 16).alias("s")).collect()}
+    assert {i: list(x.signature) for i, x in rows.items()} == want
+    config = DedupConfig(permutations=16, bands=8, threshold=0.6)
+    got = [tuple(x) for x in dedup.candidates(dedup.bands(signed, config)).collect()]
+    every = {(i, j) for i in want for j in want if i < j and any(want[i][k : k + 2] == want[j][k : k + 2] for k in range(0, 16, 2))}
+    assert len(got) == len(set(got)) and set(got) == every and len(every) > 30
+    fit = lambda i, j: not min(rows[i].size, rows[j].size) or min(rows[i].size, rows[j].size) >= 0.6 * max(rows[i].size, rows[j].size)
+    assert {tuple(x) for x in dedup.candidates(dedup.bands(signed, config, "doc_id", "size"), threshold=0.6).collect()} == {p for p in every if fit(*p)}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 30)] + [(50, 51), (60, 50)]
     got = {r.node: r.component for r in dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
