@@ -400,6 +400,33 @@ def test_predict_against_brute_force(spark):
     assert {p.label for p in cluster.predict(new, model.limit(0), c).collect()} == {-1}
 
 
+@pytest.mark.parametrize("equal", [False, True])
+def test_forests_of_blocks_make_the_tree(equal):
+    """Joined forests of pairs of blocks have at each distance the components of all pairs, without a pass for each round."""
+    import types
+
+    import numpy as np
+    import pandas as pd
+
+    r = np.random.default_rng(4)
+    x = np.round(r.normal(0, 1, (60, 2)), 0 if equal else 9)  # equal: many ties and equal rows
+    core = np.abs(r.normal(0, 0.2, 60)).round(1)
+    blocks = [types.SimpleNamespace(block=k, n=20, nodes=np.arange(k, 60, 3).astype("<i8").tobytes(), vectors=x[k::3].tobytes(), core=core[k::3].tobytes()) for k in range(3)]
+    met = [cluster._block_forest(pd.DataFrame([vars(blocks[i]), vars(blocks[j])][: 1 + (i < j)])) for i in range(3) for j in range(i, 3)]
+    assert all(len(e[0]) == (19 if i == j else 39) for e, (i, j) in zip(met, [(i, j) for i in range(3) for j in range(i, 3)], strict=True))
+    d, a, b = (np.concatenate(v) for v in zip(*met, strict=True))
+    kept = cluster._forest(d, a, b)
+    assert len(kept) == 59 and set(zip(a[kept].tolist(), b[kept].tolist(), strict=True)) <= {(i, j) for i in range(60) for j in range(i + 1, 60)}
+    assert {*range(60)} == {*a[kept].tolist(), *b[kept].tolist()}
+    squares = (x * x).sum(1)
+    full = np.maximum(np.maximum(np.sqrt(np.maximum(0, squares[:, None] + squares - 2 * x @ x.T)), core[:, None]), core)
+    i, j = np.triu_indices(60, 1)
+    assert np.sort(d[kept]) == pytest.approx(np.sort(full[i, j][cluster._forest(full[i, j], i, j)]), abs=1e-7)
+    prim, _ = cluster.spanning_tree(x, 3)
+    within = np.maximum(np.maximum(np.sqrt(np.maximum(0, squares[:, None] + squares - 2 * x @ x.T)), (c := np.sort(np.sqrt(np.maximum(0, squares[:, None] + squares - 2 * x @ x.T)), axis=1)[:, 3])[:, None]), c)
+    assert np.sort(within[i, j][cluster._forest(within[i, j], i, j)]) == pytest.approx(sorted(e[0] for e in prim), abs=1e-6)
+
+
 def test_density_clusters_beyond_one_task(spark):
     """Windows larger than a task give the groups and strengths of one task, null window included."""
     import numpy as np

@@ -216,17 +216,17 @@ def condensed(edges, n: int, min_cluster_size: int) -> dict:
 
 def _smallest(pdf, k: int):
     """Of a pair of blocks: for each block, its rows' k + 1 least squared distances to the other's rows."""
-    for left, right in _both(pdf):
-        import numpy as np
-
-        x, y = _vectors(left), _vectors(right)
-        out = np.concatenate([np.partition(np.pad(d, ((0, 0), (0, max(0, k + 1 - d.shape[1]))), constant_values=np.inf), k, axis=1)[:, : k + 1] for _, d in _distances(x, y)])
-        yield left.block, out
-
+    import numpy as np
 
-def _both(pdf):
     rows = list(pdf.sort_values("block").itertuples())
-    return [(rows[0], rows[0])] if len(rows) == 1 else [(rows[0], rows[1]), (rows[1], rows[0])]
+    least = lambda d: np.ascontiguousarray(np.partition(np.pad(d, ((0, 0), (0, max(0, k + 1 - d.shape[1]))), constant_values=np.inf), k, axis=1)[:, : k + 1])
+    here, there = [], []
+    for _, d in _distances(_vectors(rows[0]), _vectors(rows[-1])):
+        here.append(least(d))
+        there.append(least(np.ascontiguousarray(d.T)))
+    yield rows[0].block, np.concatenate(here)
+    if len(rows) > 1:
+        yield rows[1].block, least(np.concatenate(there, axis=1))
 
 
 def _vectors(row):
@@ -244,34 +244,105 @@ def _distances(x, y, tile: int = 512):
         yield at, np.maximum(0, sx[at : at + tile, None] + sy - 2 * x[at : at + tile] @ y.T)
 
 
-def _nearest_outside(pdf):
-    """Of a pair of blocks: the least edge (distance, a, b) by mutual reachability that leaves each component."""
+def _joined(comp, at, rank, other):
+    """Components after each took its edge of least rank: ``at`` are the components that edges leave, ``other`` those that they
+    reach. Returns the new components of old ones, and the numbers of the edges taken; ranks are distinct for distinct edges."""
+    import numpy as np
+
+    n = int(comp.max()) + 1
+    best = np.full(n, len(rank))
+    order = np.argsort(rank, kind="stable")
+    np.minimum.at(best, at[order], np.arange(len(order)))
+    own = np.flatnonzero(best < len(order))
+    took = order[best[own]]
+    up = np.arange(n)
+    up[own] = other[took]
+    both = up[up] == np.arange(n)  # two that took the same edge: the lesser is the root
+    up = np.where(both & (np.arange(n) < up), np.arange(n), up)
+    while (up != up[up]).any():
+        up = up[up]
+    return up, took
+
+
+def _block_forest(pdf):
+    """Edges (distance, a, b) of a spanning forest of least weight of the mutual reachabilities between two blocks, or inside one."""
+    import numpy as np
+
+    rows = list(pdf.sort_values("block").itertuples())
+    left, right = rows[0], rows[-1]
+    core, other = np.frombuffer(left.core), np.frombuffer(right.core)
+    nodes, far = np.frombuffer(left.nodes, "<i8"), np.frombuffer(right.nodes, "<i8")
+    reach = np.empty((left.n, right.n))
+    for at, d in _distances(_vectors(left), _vectors(right)):
+        np.maximum(np.maximum(np.sqrt(d), core[at : at + len(d), None]), other, out=reach[at : at + len(d)])
+    if len(rows) == 1:
+        reach[np.tril_indices(left.n)] = np.inf
+    n, base = (left.n, 0) if len(rows) == 1 else (left.n + right.n, left.n)
+    comp, edges = np.arange(n), [np.empty((0, 3))]
+    row, col = np.arange(left.n), np.arange(right.n)
+    reach_ = np.ascontiguousarray(reach.T)
+    j, i = reach.argmin(axis=1), reach_.argmin(axis=1)
+    near, near_ = reach[row, j], reach_[col, i]
+
+    def again(table, least, to, mine, its):
+        """The nearest outside, of those whose nearest is inside by now; for the others it still is the nearest."""
+        stale = np.flatnonzero(np.isfinite(least) & (mine == its[to]))
+        for at in range(0, len(stale), 256):
+            k = stale[at : at + 256]
+            part = table[k]
+            part[mine[k, None] == its] = np.inf
+            to[k] = part.argmin(axis=1)
+            least[k] = part[np.arange(len(k)), to[k]]
+
+    while True:
+        mine, its = comp[: left.n], comp[base:]
+        again(reach, near, j, mine, its)
+        again(reach_, near_, i, its, mine)
+        x, y = np.concatenate([row, i]), np.concatenate([j, col])
+        d, at = np.concatenate([near, near_]), np.concatenate([mine, its])
+        to = np.concatenate([its[j], mine[i]])
+        x, y, d, at, to = (v[np.isfinite(d)] for v in (x, y, d, at, to))
+        if not len(d):
+            break
+        _, rank = np.unique(np.rec.fromarrays([d, x, y]), return_inverse=True)
+        up, took = _joined(comp, at, rank, to)
+        took = took[np.unique(rank[took], return_index=True)[1]]
+        edges.append(np.column_stack([d[took], nodes[x[took]], far[y[took]]]))
+        comp = up[comp]
+    found = np.concatenate(edges)
+    a, b = found[:, 1].astype("<i8"), found[:, 2].astype("<i8")
+    return found[:, 0], np.minimum(a, b), np.maximum(a, b)
+
+
+def _forest(d, a, b):
+    """Numbers of the edges of a spanning forest of least weight, ties by the smaller nodes."""
     import numpy as np
 
-    best: dict[int, tuple] = {}
-    for left, right in _both(pdf):
-        x, y = _vectors(left), _vectors(right)
-        core, other = np.frombuffer(left.core), np.frombuffer(right.core)
-        comp, across = np.frombuffer(left.comp, "<i8"), np.frombuffer(right.comp, "<i8")
-        nodes, far = np.frombuffer(left.nodes, "<i8"), np.frombuffer(right.nodes, "<i8")
-        for at, d in _distances(x, y):
-            to = slice(at, at + len(d))
-            d = np.maximum(np.maximum(np.sqrt(d), core[to, None]), other)
-            d[comp[to, None] == across] = np.inf
-            j = d.argmin(axis=1)
-            for i, m in enumerate(d[np.arange(len(d)), j].tolist()):
-                if m < np.inf:
-                    a, b = int(nodes[at + i]), int(far[j[i]])
-                    c, edge = int(comp[at + i]), (m, min(a, b), max(a, b))
-                    if c not in best or edge < best[c]:
-                        best[c] = edge
-    return best
+    order = np.lexsort((b, a, d))
+    ends = np.unique(np.concatenate([a, b]), return_inverse=True)[1].reshape(2, -1)
+    x, y = ends[0][order], ends[1][order]
+    comp, kept, live = np.arange(ends.max(initial=-1) + 1), [], np.arange(len(order))
+    while True:
+        live = live[comp[x[live]] != comp[y[live]]]
+        if not len(live):
+            return order[np.sort(np.concatenate([np.empty(0, int), *kept]))]
+        p, q = comp[x[live]], comp[y[live]]
+        up, took = _joined(comp, np.concatenate([p, q]), np.concatenate([live, live]), np.concatenate([q, p]))
+        kept.append(np.unique(np.concatenate([live, live])[took]))
+        comp = up[comp]
+
+
+#: Blocks to a side of a group whose forests are joined in one task.
+FAN = 8
+#: Tasks at most over the pairs of blocks.
+PAIR_TASKS = 4096
 
 
 def _large_windows(docs: DataFrame, c: ClusterConfig, block_rows: int) -> DataFrame:
     """HDBSCAN where a window does not fit a task: rows are dealt to blocks, pairs of blocks give
-    the core distances and, round by round, each component's least outgoing edge (Boruvka). All
-    pairs of rows are compared; only n - 1 edges of a window, no vectors, meet in one task.
+    the core distances and then a spanning forest each. What is not in a pair's forest is in no tree, so
+    the forests of ``FAN`` by ``FAN`` blocks, and of such groups, are joined until one is left. All
+    pairs of rows are compared twice; only n - 1 edges of a window, no vectors, meet in one task.
     ``docs``: w, doc_id, embedding; returns w, doc_id, core and the columns of ``TREE``."""
     import numpy as np
     import pandas as pd
@@ -292,13 +363,20 @@ def _large_windows(docs: DataFrame, c: ClusterConfig, block_rows: int) -> DataFr
 
     blocks = _cut(rows.groupBy("w", "block").applyInPandas(pack, f"w {w}, block long, blocks long, size long, n long, nodes binary, vectors binary"))
 
+    most = blocks.agg(F.max("blocks")).head()[0] or 1
+    tasks = max(1, min(most * (most + 1) // 2, PAIR_TASKS))
+
     def pairs(df):
-        met = df.join(blocks.select("w", F.col("block").alias("other")), "w")  # numbers of blocks, no rows
-        return met.withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")}).groupBy("w", "left", "right")
+        # numbers of blocks, not a join by window: its partitioning would leave all pairs of a window to one task
+        met = df.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        return met.withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")}).repartition(tasks, "w", "left", "right").groupBy("w", "left", "right")
+
+    def whole(pdf):  # not a block that meets an empty one
+        return len(pdf) == 2 or pdf["left"].iloc[0] == pdf["right"].iloc[0]
 
     def close(pdf):
         k = min(c.min_samples, int(pdf["size"].iloc[0]) - 1)
-        found = [(b, out.tobytes()) for b, out in _smallest(pdf, k)]
+        found = [(b, out.tobytes()) for b, out in _smallest(pdf, k)] if whole(pdf) else []
         return pd.DataFrame({"w": [pdf["w"].iloc[0]] * len(found), "block": [b for b, _ in found], "least": [x for _, x in found], "k": k})
 
     def core(pdf):
@@ -308,50 +386,26 @@ def _large_windows(docs: DataFrame, c: ClusterConfig, block_rows: int) -> DataFr
 
     cores = pairs(blocks).applyInPandas(close, f"w {w}, block long, least binary, k int").groupBy("w", "block").applyInPandas(core, f"w {w}, block long, core binary")
     blocks_ = _cut(blocks.join(cores, ["w", "block"]))
-    comps = blocks_.select("w", "block", F.col("nodes").alias("comp"))
-    edges = None
-
-    def leave(pdf):
-        found = _nearest_outside(pdf)
-        return pd.DataFrame({"w": [pdf["w"].iloc[0]] * len(found), "comp": list(found), "d": [e[0] for e in found.values()], "a": [e[1] for e in found.values()], "b": [e[2] for e in found.values()]})
-
-    def join(pdf):
-        """Edges that joined so far, and the components of each block's nodes."""
-        known = pdf[pdf["kind"] == 0].sort_values(["old", "d", "a", "b"], ascending=[False, True, True, True])
-        parts = [(r.block, np.frombuffer(r.nodes, "<i8")) for r in pdf[pdf["kind"] == 1].itertuples()]
-        parent: dict[int, int] = {}
-
-        def find(v):
-            while parent.setdefault(v, v) != v:
-                parent[v] = parent[parent[v]]
-                v = parent[v]
-            return v
-
-        kept = []
-        for r in known.itertuples():
-            a, b = find(r.a), find(r.b)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                kept.append((r.d, r.a, r.b))
-        out = [(0, None, None, *e) for e in kept]
-        out += [(1, block, np.array([find(v) for v in nodes.tolist()], "<i8").tobytes(), None, None, None) for block, nodes in parts]
-        df = pd.DataFrame(out, columns=["kind", "block", "comp", "d", "a", "b"]).astype({"block": "Int64", "a": "Int64", "b": "Int64", "d": float})
-        return df.assign(w=[pdf["w"].iloc[0]] * len(df))[["w", "kind", "block", "comp", "d", "a", "b"]]
-
-    none = F.lit(None)
-    nodes_of = blocks_.select("w", F.lit(1).alias("kind"), "block", "nodes", none.cast("double").alias("d"), none.cast("long").alias("a"), none.cast("long").alias("b"), F.lit(False).alias("old"))
+
+    def span(pdf):
+        d, a, b = _block_forest(pdf) if whole(pdf) else ([], [], [])
+        return pd.DataFrame({"w": [pdf["w"].iloc[0]] * len(d), "left": pdf["left"].iloc[0] // FAN, "right": pdf["right"].iloc[0] // FAN, "d": d, "a": a, "b": b})
+
+    def fewer(pdf):
+        kept = pdf.iloc[_forest(pdf["d"].to_numpy(), pdf["a"].to_numpy(), pdf["b"].to_numpy())]
+        return kept.assign(left=kept["left"] // FAN, right=kept["right"] // FAN)
+
+    kind = f"w {w}, left long, right long, d double, a long, b long"
+    edges = pairs(blocks_).applyInPandas(span, kind)
+    wide = -(-most // FAN)
     while True:
-        found = pairs(blocks_.join(comps, ["w", "block"])).applyInPandas(leave, f"w {w}, comp long, d double, a long, b long")
-        least = found.groupBy("w", "comp").agg(F.min(F.struct("d", "a", "b")).alias("e")).select("w", "e.*").distinct()
-        fresh = _cut(least)
-        if fresh.isEmpty():
+        edges = edges.groupBy("w", "left", "right").applyInPandas(fewer, kind)
+        if wide == 1:
             break
-        as_rows = lambda e, old: e.select("w", F.lit(0).alias("kind"), none.cast("long").alias("block"), none.cast("binary").alias("nodes"), "d", "a", "b", F.lit(old).alias("old"))
-        given = as_rows(fresh, False) if edges is None else as_rows(fresh, False).unionByName(as_rows(edges, True))
-        state = _cut(given.unionByName(nodes_of).groupBy("w").applyInPandas(join, f"w {w}, kind int, block long, comp binary, d double, a long, b long"))
-        edges, comps = state.filter("kind = 0").select("w", "d", "a", "b"), state.filter("kind = 1").select("w", "block", "comp")
+        wide = -(-wide // FAN)
 
     def label(pdf):
+        pdf = pdf.sort_values(["d", "a", "b"])
         nodes, flat = np.unique(pdf[["a", "b"]].to_numpy("<i8"), return_inverse=True)
         ends = flat.reshape(-1, 2)
         found = condensed(list(zip(pdf["d"].tolist(), ends[:, 0].tolist(), ends[:, 1].tolist(), strict=True)), len(nodes), c.min_cluster_size)
