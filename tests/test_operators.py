@@ -368,6 +368,29 @@ def test_nearest_against_all_pairs(spark, clustered, block_rows, regions):
     assert {len(n.near) for n in few.collect()} == {4}
 
 
+def test_nearest_compares_alike_queries_at_once(spark):
+    """Many queries against few rows, together and one by one: the same neighbours, equal rows by id; a block takes alike ones at once."""
+    import numpy as np
+
+    from tidemark.operators import neighbours
+
+    r = np.random.default_rng(9)
+    x = r.normal(0, 1, (300, 6))
+    x[200:260] = x[5]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "doc_id long, embedding array<double>")
+    take = lambda **sizes: {n.doc_id: [(p.id, round(p.d, 9)) for p in n.near] for n in neighbours.nearest(rows, rows, 7, pivots=3, block_rows=100, **sizes).collect()}
+    together = take()
+    old, neighbours.FEW = neighbours.FEW, 10**9
+    try:
+        assert take() == together
+    finally:
+        neighbours.FEW = old
+    u = neighbours.unit(x)
+    for i in range(300):
+        d = np.sqrt(((u - u[i]) ** 2).sum(1)).round(9)
+        assert [p for p, _ in together[i]] == np.lexsort((np.arange(300), d))[:7].tolist()
+
+
 def test_predict_against_brute_force(spark):
     """Label and strength of new points by all distances, one at a time; edge rows have a defined result."""
     import numpy as np

@@ -7,8 +7,8 @@ and largest distance of its rows to each pivot, so for a query with its own dist
 * no row is farther than the least sum of a query's distance and the range's end.
 
 The second bound gives a radius that holds k rows before anything is compared; meeting one run of blocks makes it the k-th
-distance there. Then a query meets only those blocks that the first bound lets into its radius, and in them compares
-only rows whose own distances to the pivots do. Ranges of at most ``REGIONS`` runs of blocks are held by every task, so
+distance there. Then a query meets only those blocks that the first bound lets into its radius; queries of like distances
+go together, and compare only rows whose own distances to the pivots may suit one of them. Ranges of at most ``REGIONS`` runs of blocks are held by every task, so
 what is shipped does not grow with the table; which pivots are chosen (from a sample of ``SAMPLE`` rows) changes the work and not the result.
 """
 
@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 from tidemark.operators.dedup import _cut
 
 SAMPLE, PIVOTS, REGIONS, MEET = 1024, 16, 4096, 4096
+#: Queries that a block is compared with at once, alike ones: the rows that the distances to the pivots allow any of them.
+#: Fewer than ``FEW`` alike ones go one by one.
+TOGETHER, FEW = 64, 16
 #: Distances are double precision; a bound within this share decides nothing.
 SLACK = 1e-7
 
@@ -139,17 +142,29 @@ def _met(routed: DataFrame, blocks: DataFrame, pivots, carry: list[str], k: int)
             ids, table = np.asarray(r.ids), np.frombuffer(r.d).reshape(len(r.ids), -1)
             x, more = np.frombuffer(r.x).reshape(len(ids), -1), {c: np.frombuffer(getattr(r, c)) for c in carry}
             low, high, squares = table.min(0), table.max(0), (x * x).sum(1)
-            q = unit(left["embedding"])
-            own = distances(q, pivots)
-            for i, (doc, radius) in enumerate(zip(left["doc_id"].tolist(), left["radius"].tolist(), strict=True)):
-                limit = radius * (1 + SLACK) + SLACK
-                if np.maximum(np.maximum(low - own[i], own[i] - high), 0).max() > limit:
-                    continue
-                at = np.flatnonzero(np.abs(table - own[i]).max(1) <= limit)
-                d = np.sqrt(np.maximum(0, squares[at] + (q[i] * q[i]).sum() - 2 * x[at] @ q[i]))
-                best = np.argsort(d, kind="stable")[:k]
-                best = best[d[best] <= limit]
-                out.append((doc, [{"d": float(d[j]), "id": ids[at[j]].item() if hasattr(ids[at[j]], "item") else ids[at[j]], **{c: float(v[at[j]]) for c, v in more.items()}} for j in best], len(at)))
+            q, docs = unit(left["embedding"]), left["doc_id"].tolist()
+            own, limit = distances(q, pivots), left["radius"].to_numpy(float) * (1 + SLACK) + SLACK
+            met = np.flatnonzero(np.maximum(np.maximum(low - own, own - high), 0).max(1) <= limit)
+            # alike ones together: of one nearest pivot and of like radius
+            kind = own.argmin(1) * 4096 + np.frexp(np.minimum(limit, 8))[1]
+            met = met[np.lexsort((own.min(1)[met], kind[met]))]
+            runs = np.split(met, np.flatnonzero(np.diff(kind[met])) + 1)
+            for c in (run[at : at + step] for run in runs for step in [TOGETHER if len(run) >= FEW else 1] for at in range(0, len(run), step)):
+                reach, mine = limit[c, None], q[c]
+                rows = np.flatnonzero(((table >= (own[c] - reach).min(0)) & (table <= (own[c] + reach).max(0))).all(1))
+                far = squares[rows] + (mine * mine).sum(1)[:, None] - 2 * mine @ x[rows].T  # squares, to choose by
+                most = limit[c] ** 2
+                many = np.flatnonzero((far <= most[:, None]).sum(1) > 4 * k)
+                if len(many):
+                    most[many] = np.minimum(most[many], np.partition(far[many], k - 1, axis=1)[:, k - 1])
+                i, j = np.nonzero(far <= (most * (1 + SLACK) + SLACK)[:, None])
+                d = np.sqrt(((x[rows[j]] - mine[i]) ** 2).sum(1))
+                i, j, d = (v[d <= limit[c[i]]] for v in (i, j, d))
+                order = np.lexsort((j, d, i))
+                ends = np.searchsorted(i[order], np.arange(len(c) + 1)).tolist()
+                for n, e in enumerate(c.tolist()):
+                    best = order[ends[n] : min(ends[n + 1], ends[n] + k)]
+                    out.append((docs[e], [{"d": float(d[b]), "id": ids[rows[j[b]]].item() if hasattr(ids[rows[j[b]]], "item") else ids[rows[j[b]]], **{t: float(v[rows[j[b]]]) for t, v in more.items()}} for b in best], len(rows)))
         return pd.DataFrame(out, columns=["doc_id", "near", "compared"])
 
     kind = held["ids"].removeprefix("array<")[:-1]
