@@ -204,3 +204,28 @@ def test_generations_switch_at_once(spark, tmp_path):
     assert runs.table("a").count() == 5 and runs.current()["number"] == 2
     runs.write({"a": spark.range(6), "b": spark.range(1)})
     assert len(runs.clear(keep=2)) == 1 and runs.table("a").count() == 6
+
+
+def test_channel_dump_is_read_once_and_posts_leave_their_channel(spark, tmp_path):
+    """Odd channels and posts; the dump is parsed for posts and comments together, and no post carries its whole channel."""
+    import re
+
+    from tidemark.sources import files
+
+    at = "2024-01-01T00:00:00Z"
+    post = lambda i, **more: {"id": i, "text": f"t{i}", "created_at": at} | more
+    lines = [
+        {"id": "a", "owner_id": "o", "is_official": True, "posts": [post(1, comments=[{"id": "c", "text": "x", "created_at": at, "likes": 2}, {"id": "d", "text": " ", "created_at": at}]), post(2, text=" ", comments=[{"id": "e", "text": "y", "created_at": at}]), post(3, is_official=False, channel_id="z", author_id="w")]},
+        {"id": "b", "posts": None}, {"id": "b"}, {"id": "b", "posts": []}, {"id": "b", "posts": "none"}, {"channels": [{"id": 7, "posts": [post(1, comments=None, reach=5)]}, {"id": 8, "posts": json.dumps([post(9)])}]}, {"channels": []},
+    ]
+    (tmp_path / "d.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    rows = files.channel_messages(spark, str(tmp_path / "d.jsonl"))
+    got = {r.source_id: (r.source_type, r.parent_id, r.author_id, r.text, r.is_official, r.reach, r.likes) for r in rows.collect()}
+    assert got == {
+        "a_1": ("max_post", None, "o", "t1", True, 0, 0), "a_1_c": ("max_comment", "a_1", "unknown", "x", False, 0, 2), "a_2_e": ("max_comment", "a_2", "unknown", "y", False, 0, 0), "z_3": ("max_post", None, "w", "t3", False, 0, 0),
+        "7_1": ("max_post", None, "unknown", "t1", False, 5, 0), "8_9": ("max_post", None, "unknown", "t9", False, 0, 0),
+    }
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+    carried = [g.split("[")[2] for g in re.findall(r"Generate explode\(posts.*", plan)]
+    assert carried and not any(re.search(r"\bc#", c) for c in carried)

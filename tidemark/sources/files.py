@@ -38,25 +38,30 @@ def appeals(spark: SparkSession, path: str) -> DataFrame:
 def channel_messages(spark: SparkSession, path: str) -> DataFrame:
     """Posts and comments of nested channel dumps (channels -> posts -> comments), as raw messages."""
     rows = json_rows(spark, path)
-    v = F.parse_json("raw_payload")
-    ch = rows.select(F.explode(F.from_json(F.coalesce(F.variant_get(v, "$.channels", "string"), F.concat(F.lit("["), F.col("raw_payload"), F.lit("]"))), "array<variant>")).alias("c"))
-    posts = ch.select("c", F.explode(F.coalesce(F.from_json(F.variant_get("c", "$.posts", "string"), "array<variant>"), F.array().cast("array<variant>"))).alias("p"))
     get = lambda x, k, t="string": F.variant_get(x, f"$.{k}", t)
-    channel = F.coalesce(get("p", "channel_id"), get("c", "id"))
-    post_id = F.concat_ws("_", channel, get("p", "id"))
 
-    def message(x: str, kind: str, source_id: Column, parent: Column, author: Column, official: Column, replies: str) -> list[Column]:
+    def items(x, k: str, *otherwise: Column) -> Column:
+        return F.coalesce(F.try_variant_get(x, f"$.{k}", "array<variant>"), F.from_json(get(x, k), "array<variant>"), *otherwise)
+
+    v = F.parse_json("raw_payload")
+    ch = rows.select(F.explode_outer(items(v, "channels", F.array(v))).alias("c")).filter("c IS NOT NULL")
+    # what posts need of their channel, so that no post carries the whole of it
+    ch = ch.select(get("c", "id").alias("channel"), get("c", "owner_id").alias("owner"), get("c", "is_official", "boolean").alias("official"), items("c", "posts").alias("posts"))
+    posts = ch.select("channel", "owner", "official", F.explode_outer("posts").alias("p")).filter("p IS NOT NULL")
+    posts = posts.select("owner", "official", "p", F.concat_ws("_", F.coalesce(get("p", "channel_id"), "channel"), get("p", "id")).alias("post_id"))
+
+    def message(x, kind: str, source_id: Column, parent: Column, author: Column, official: Column, replies: str) -> Column:
         n = lambda k: F.coalesce(get(x, k, "bigint"), F.lit(0)).alias(k)
-        return [
+        return F.struct(
             F.lit(kind).alias("source_type"), source_id.alias("source_id"), parent.alias("parent_id"), author.alias("author_id"), F.trim(get(x, "text")).alias("text"), F.lit("text").alias("media_type"),
             F.to_timestamp(get(x, "created_at")).alias("created_at_utc"), F.current_timestamp().alias("collected_at"), official.alias("is_official"), n("reach"), n("likes"), n("reposts"),
             F.coalesce(get(x, replies, "bigint"), F.lit(0)).alias("comments_count"), F.to_json(x).alias("raw_payload"),
-        ]
+        )
 
-    own = posts.select(*message("p", "max_post", post_id, F.lit(None).cast("string"), F.coalesce(get("p", "author_id"), get("c", "owner_id"), F.lit("unknown")), F.coalesce(get("p", "is_official", "boolean"), get("c", "is_official", "boolean"), F.lit(False)), "comments_count"))
-    under = posts.select("c", "p", F.explode(F.coalesce(F.from_json(get("p", "comments"), "array<variant>"), F.array().cast("array<variant>"))).alias("m"))
-    replies = under.select(*message("m", "max_comment", F.concat_ws("_", post_id, get("m", "id")), post_id, F.coalesce(get("m", "author_id"), F.lit("unknown")), F.coalesce(get("m", "is_official", "boolean"), F.lit(False)), "replies_count"))
-    return own.unionByName(replies).filter("text <> ''")
+    own = message("p", "max_post", F.col("post_id"), F.lit(None).cast("string"), F.coalesce(get("p", "author_id"), "owner", F.lit("unknown")), F.coalesce(get("p", "is_official", "boolean"), "official", F.lit(False)), "comments_count")
+    reply = lambda m: message(m, "max_comment", F.concat_ws("_", "post_id", get(m, "id")), F.col("post_id"), F.coalesce(get(m, "author_id"), F.lit("unknown")), F.coalesce(get(m, "is_official", "boolean"), F.lit(False)), "replies_count")
+    replies = F.transform(F.coalesce(items("p", "comments"), F.array().cast("array<variant>")), reply)
+    return posts.select(F.explode_outer(F.concat(F.array(own), replies)).alias("m")).select("m.*").filter("text <> ''")
 
 
 def vk_post(raw: Column) -> dict[str, Column]:
