@@ -274,6 +274,20 @@ def test_shared_hashes_and_pairs_from_their_first_bucket(spark, monkeypatch, blo
     assert {tuple(x) for x in dedup.candidates(dedup.bands(signed, config, "doc_id", "size"), threshold=0.6).collect()} == {p for p in every if fit(*p)}
 
 
+def test_pairs_of_buckets_compare_plain_columns(spark, monkeypatch):
+    """A pair costs comparisons of numbers, no arrays, and comes from the first band that both share, also where bands are skipped."""
+    monkeypatch.setattr(dedup, "BLOCK", 4)
+    r = random.Random(5)
+    rows = [(i, [r.choice("ab") if r.random() < 0.7 else f"{i}-{k}" for k in range(6)]) for i in range(40)] + [(99, ["x"] * 6)]
+    got = dedup.candidates(dedup.bands(spark.createDataFrame(rows, "doc_id long, signature array<string>"), DedupConfig(permutations=6, bands=6)))
+    pairs = [tuple(x) for x in got.collect()]
+    want = {(i, j) for i, x in rows for j, y in rows if i < j and any(p == q for p, q in zip(x, y, strict=True))}
+    assert len(pairs) == len(set(pairs)) and set(pairs) == want and len(want) > 300
+    assert "array" not in got._jdf.queryExecution().optimizedPlan().toString()
+    alone = spark.createDataFrame([(1, ["a", "b"]), (2, ["c", "d"])], "doc_id long, signature array<string>")
+    assert dedup.candidates(dedup.bands(alone, DedupConfig(permutations=2, bands=2))).collect() == []
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 30)] + [(50, 51), (60, 50)]
     got = {r.node: r.component for r in dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
