@@ -68,6 +68,24 @@ def test_known_shingles_are_not_hashed_again(monkeypatch):
     assert sum(asked) < 20  # those across the seam
 
 
+@pytest.mark.parametrize("n", [5, 15])
+def test_common_shingles_are_looked_up_at_once(monkeypatch, n):
+    """Only shingles that are not common are asked for one by one, and the table changes no signature; with 15 characters few letters fit."""
+    r = random.Random(6)
+    texts = ["".join(r.choice("abcdefghij klmnopqrstuvw") for _ in range(r.choice([0, 3, n, n + 1, 40, 900]))) for _ in range(60)]
+    texts += [texts[-1] + "\ud800\U0001f600 \0\0\0\0\0\0 zß", "a" * 300, "\0" * 40]
+    hashes, plain = dedup._Hashes(8), dedup._Hashes(8)
+    known = sorted({t[i : i + n] for t in texts[:50] for i in range(len(t) - n + 1)} | {"\0" * n, "short"})
+    hashes.common = dict(zip(known, dedup._lows(known, hashes.prefixes), strict=True))
+    asked, of = [], hashes._of
+    monkeypatch.setattr(hashes, "_of", lambda shingles: asked.extend(shingles) or of(shingles))
+    want = [[min(int(hashlib.sha256(f"{k}:{x}".encode("utf-8", "surrogatepass")).hexdigest()[:16], 16) for x in dedup._shingle_set(t, n)) for k in range(8)] for t in texts]
+    assert hashes.least(texts, n).tolist() == want == plain.least(texts, n).tolist()
+    assert asked and (n > 5 or not {*asked} & {*known})
+    assert hashes.least(texts, n, cut=37).tolist() == want
+    assert n > 5 or len(hashes.table.place) - 1 == sum(len(s) == n for s in known)
+
+
 def test_pairs_that_marks_rule_out_are_not_alike(spark):
     rng = random.Random(4)
     words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(2000)]
