@@ -709,3 +709,26 @@ def test_ngram_language_model(spark):
         fitted = language.fit(d.filter("doc_id % 5 > 0"))
         held = language.annotate(d.filter("doc_id % 5 = 0 AND lang IS NOT NULL AND length(text) > 20"), fitted.detector).select("lang", "language").collect()
         assert len(held) > 20 and sum(r.lang == r.language for r in held) >= 0.9 * len(held)
+
+
+@pytest.mark.parametrize("links", [True])
+def test_pairs_shuffle_no_texts_or_marks(spark, links):
+    """Nearly all pairs share a bucket and few are alike: what is shuffled follows the rows, not the pairs."""
+    r = random.Random(17)
+    words = ["".join(r.choice("abcdefghijklm") for _ in range(6)) for _ in range(400)]
+    texts = [" ".join(r.sample(words, 200)) for _ in range(400)]
+    texts += [" ".join(t.split()[:-6]) for t in texts[:20]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4).cache()
+    rows.count()
+    config = DedupConfig(permutations=32, bands=32)
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    before = written()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {(x.a, x.b) for x in (dedup.near_links if links else dedup.near_pairs)(rows, config).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    moved = written() - before
+    assert {(i, 400 + i) for i in range(20)} <= got and len(got) < 200
+    assert moved < 60 * len(texts) * (len(texts) - 1) / 2, moved
