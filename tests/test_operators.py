@@ -711,7 +711,7 @@ def test_ngram_language_model(spark):
         assert len(held) > 20 and sum(r.lang == r.language for r in held) >= 0.9 * len(held)
 
 
-@pytest.mark.parametrize("links", [True])
+@pytest.mark.parametrize("links", [True, False])
 def test_pairs_shuffle_no_texts_or_marks(spark, links):
     """Nearly all pairs share a bucket and few are alike: what is shuffled follows the rows, not the pairs."""
     r = random.Random(17)
